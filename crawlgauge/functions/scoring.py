@@ -34,7 +34,8 @@ def band(value: Column, *steps, default) -> Column:
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """NULL stays NULL (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def schema_score(errors: Column, warnings: Column) -> Column:

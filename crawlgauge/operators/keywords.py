@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.scoring import band, mean_of_present, whole
 from ..sources.dimensions import STOPWORDS
-from .skew import HOT_ROWS, lookup_join, top_per_group
+from .skew import HOT_ROWS, lookup_join, shuffle_width, top_per_group
 
 DOC = ["site", "doc"]
 
@@ -22,11 +22,12 @@ DOC = ["site", "doc"]
 def article_terms(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """Term counts: (site, doc, word_count, term, tf, first_pos) for 1- to 3-grams of the filtered tokens.
 
-    Articles are partitioned by (site, doc) first: the text moves once, and the counts per (site, doc, term) as well
-    as everything later grouped by article need no further shuffle. ``first_pos`` counts through all 1-grams, then
+    Articles are partitioned by (site, doc) first: the text moves once, and the counts per (site, doc, term) need no
+    further shuffle. The number of partitions is set, because the rows grow many times after it and adaptive
+    execution would merge partitions by the size of the text. ``first_pos`` counts through all 1-grams, then
     2-grams, then 3-grams, so it also orders terms by length.
     """
-    placed = articles.select(*DOC, "word_count", "body_text").repartition(*DOC)
+    placed = articles.select(*DOC, "word_count", "body_text").repartition(shuffle_width(articles), *DOC)
     grams = T.ngrams_upto3(T.tokens(F.col("body_text"), stopwords))
     return (
         placed.select(*DOC, "word_count", F.posexplode(grams).alias("pos", "term"))

@@ -13,7 +13,7 @@ from ..operators.history import change_kind
 from ..operators.skew import HOT_ROWS, lookup_join, previous_values
 
 KEYS = ["site", "layer"]
-STATE = "site string, layer string, run_ts timestamp, tie bigint, score double"
+COLUMNS = [*KEYS, "run_ts", "tie", "score"]
 
 
 def _last_rows(rows: DataFrame) -> DataFrame:
@@ -52,12 +52,11 @@ def start_alerts(runs: DataFrame, folder: str, period: str = "day", available_no
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{folder}/last/batch={batch_id - 1}"
-        empty = spark.createDataFrame([], STATE)
-        last = spark.read.schema(STATE).parquet(before) if batch_id > 0 else empty
-        batch.persist()
+        batch = batch.select(*COLUMNS).persist()
+        last = spark.read.schema(batch.schema).parquet(before) if batch_id > 0 else batch.limit(0)
         changes = score_changes(batch, last, period).where(F.col("change").isNotNull())
         changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
-        newest = _last_rows(last.unionByName(batch.select(*last.columns)))
+        newest = _last_rows(last.unionByName(batch))
         newest.write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
         batch.unpersist()
 
