@@ -18,6 +18,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import each
 from ..session import cut_lineage
 from .skew import HOT_ROWS, lookup_join
 
@@ -91,7 +92,7 @@ def buckets(keyword_table: DataFrame, top_k: int, threshold: float, min_shared:
             if t in table[a]:
                 reach = F.when(F.col("size") == a, F.lit(table[a][t])).otherwise(reach)
         rows.append(F.when(reach.isNotNull(), _tagged(_subsets(F.col("terms"), t), t, reach)).otherwise(nothing))
-    exploded = sets.select(*DOC, "size", F.explode(F.concat(*rows)).alias("b")).select(
+    exploded = each(sets, [*DOC, "size"], F.concat(*rows), "b").select(
         *DOC, "size", F.concat_ws(":", "b.t", "b.bucket").alias("bucket"), "b.reach"
     )
     # sizes are kept in the key: within one bucket size t only sizes up to ``reach`` may meet

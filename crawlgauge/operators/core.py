@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import html as H
 from ..functions import text as T
+from ..functions.rows import each
 from ..sources.dimensions import AI_BOTS, EXPECTED_FILES, OPTIONAL_TYPES, REQUIRED_TYPES, SECURITY_HEADERS
 from ..sources.tables import look_up_files
 from .findings import all_checks, check, ok_or, one_row_per_check
@@ -29,9 +30,10 @@ def _file(path: str) -> Column:
 def ai_file_checks() -> list[Column]:
     """llms.txt and llms-full.txt: present, line count, article section, word count."""
     short, full = _file("llms.txt"), _file("llms-full.txt")
-    lines = F.size(F.split(F.trim(short), r"\r\n|\r|\n"))
+    trimmed = F.regexp_replace(short, r"(?U)^\s+|\s+$", "")
+    lines = F.size(F.split(trimmed, r"\r\n|\r|\n"))
     return [
-        check("llms_txt", 101, ok_or(short.isNotNull()), F.when(F.trim(short) == "", 0).otherwise(lines)),
+        check("llms_txt", 101, ok_or(short.isNotNull()), F.when(trimmed == "", 0).otherwise(lines)),
         check(
             "llms_txt_articles",
             102,
@@ -53,7 +55,7 @@ def robots_directives(robots: DataFrame) -> DataFrame:
     """
     line = F.trim(F.regexp_replace("line", r"#.*$", ""))
     parsed = (
-        robots.select("site", F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("pos", "line"))
+        each(robots, ["site"], F.split("content", r"\r\n|\r|\n"), "line", "pos")
         .select(
             "site",
             "pos",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import jsonld as J
+from ..functions.rows import each
 from ..sources.dimensions import AI_BOTS
 from ..sources.tables import first_per_site
 from .skew import HOT_ROWS, lookup_join
@@ -196,7 +197,7 @@ def sitemap_index(files: DataFrame, about: DataFrame) -> DataFrame:
 
 def font_links(pages: DataFrame) -> DataFrame:
     """Distinct Google Fonts stylesheets per site."""
-    return pages.select("site", F.explode(H.google_font_links(F.col("html"))).alias("url")).distinct()
+    return each(pages, ["site"], H.google_font_links(F.col("html")), "url").distinct()
 
 
 def self_hosted_fonts(pages: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import each
 from ..functions.scoring import band, mean_of_present, whole
 from ..sources.dimensions import STOPWORDS
-from .skew import HOT_ROWS, lookup_join, shuffle_width, top_per_group
+from .skew import HOT_ROWS, lookup_join, per_site_join, shuffle_width, top_per_group
 
 DOC = ["site", "doc"]
 
@@ -28,21 +29,45 @@ def article_terms(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     2-grams, then 3-grams, so it also orders terms by length.
     """
     placed = articles.select(*DOC, "word_count", "body_text").repartition(shuffle_width(articles), *DOC)
-    grams = T.ngrams_upto3(T.tokens(F.col("body_text"), stopwords))
     return (
-        placed.select(*DOC, "word_count", F.posexplode(grams).alias("pos", "term"))
+        each(_grams(placed, stopwords), [*DOC, "word_count"], "grams", "term", "pos")
         .groupBy(*DOC, "word_count", "term")
         .agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
     )
 
 
-def idf(terms: DataFrame, articles: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Document frequency and ln((n + 1) / (df + 1)) + 1 per (site, term)."""
-    frequency = terms.groupBy("site", "term").agg(F.count("*").alias("df"))
-    # a word starts at most three terms, which bounds the rows of a site in ``frequency``
+def _grams(articles: DataFrame, stopwords) -> DataFrame:
+    """Adds ``grams``; tokens and their line are columns of their own, so each is computed once."""
+    return (
+        articles.withColumn("_tokens", T.tokens(F.col("body_text"), stopwords))
+        .withColumn("_line", F.array_join("_tokens", " "))
+        .withColumn("grams", T.ngrams_upto3(F.col("_tokens"), F.col("_line")))
+    )
+
+
+def document_frequency(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
+    """(site, term, df): how many articles of the site have the term.
+
+    The terms of an article are made distinct in its own row, so the only shuffle is the one by term, after partial
+    counts.
+    """
+    placed = articles.select(*DOC, "body_text").repartition(shuffle_width(articles), *DOC)
+    distinct = _grams(placed, stopwords).select("site", F.array_distinct("grams").alias("grams"))
+    return each(distinct, ["site"], "grams", "term").groupBy("site", "term").agg(F.count("*").alias("df"))
+
+
+def _with_idf(rows: DataFrame, articles: DataFrame, spread_by: list[str], hot_rows: int) -> DataFrame:
+    """Adds n, the articles of the site, and idf = ln((n + 1) / (df + 1)) + 1; 1 where df is unknown."""
+    # a word starts at most three terms, which bounds the rows of a site
     sizes = articles.groupBy("site").agg(F.count("*").alias("n"), (F.sum("word_count") * 3).alias("_weight"))
-    joined = lookup_join(frequency, sizes, ["site"], "_weight", ["term"], "inner", hot_rows=hot_rows)
-    return joined.select("site", "term", "n", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    joined = per_site_join(rows, sizes, "_weight", spread_by, hot_rows).drop("_weight")
+    weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    return joined.withColumn("idf", F.coalesce(weight, F.lit(1.0)))
+
+
+def idf(articles: DataFrame, stopwords=STOPWORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(site, term, df, n, idf) for every term."""
+    return _with_idf(document_frequency(articles, stopwords), articles, ["term"], hot_rows)
 
 
 def _boost(articles: DataFrame) -> DataFrame:
@@ -67,20 +92,18 @@ def keywords(
     or h1. Ranked by the score rounded to 9 decimals, then by first position; the rounding keeps equal scores equal
     whatever order they were computed in.
     """
-    terms = article_terms(articles, stopwords)
-    weights = idf(terms, articles, hot_rows)
-    frequent = terms.where(F.col("tf") >= 2)
-    known = lookup_join(
-        frequent, weights.select("site", "term", "df", "idf"), ["site", "term"], "df", ["doc"], hot_rows=hot_rows
-    )
-    value = F.coalesce("idf", F.lit(1.0))
-    score = F.col("tf") / F.greatest(F.col("word_count"), F.lit(1)) * value * 1000
+    frequent = article_terms(articles, stopwords).where(F.col("tf") >= 2)
+    counted = lookup_join(
+        frequent, document_frequency(articles, stopwords), ["site", "term"], "df", ["doc"], hot_rows=hot_rows
+    )
+    known = _with_idf(counted, articles, ["doc", "term"], hot_rows)
+    score = F.col("tf") / F.greatest(F.col("word_count"), F.lit(1)) * F.col("idf") * 1000
     if boost:
         known = known.join(_boost(articles), DOC)
         term = F.col("term")
         in_title = F.contains("title_text", term) | F.contains("h1_text", term)
         score = score * F.when(F.contains("boost_text", term), 3).otherwise(1) * F.when(in_title, 2).otherwise(1)
-    scored = known.select(*DOC, "term", "first_pos", value.alias("idf"), F.round(score, 9).alias("score"))
+    scored = known.select(*DOC, "term", "first_pos", "idf", F.round(score, 9).alias("score"))
     top = top_per_group(scored, DOC, [F.desc("score"), "first_pos"], top_k)
     return top.select(*DOC, "rank", "term", "score", "idf")
 
@@ -201,12 +224,12 @@ def open_questions(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     equal a phrase. Pieces are made distinct before the join, so both sides are free of repeated keys on the right.
     """
     asked = (
-        articles.select(*DOC, F.posexplode("h2_list").alias("pos", "question"))
+        each(articles, DOC, "h2_list", "question", "pos")
         .where(F.contains("question", F.lit("?")))
         .withColumn("phrase", _phrase(F.col("question"), stopwords))
         .where(F.length("phrase") >= 8)
     )
-    covered = articles.select("site", F.explode(_title_pieces(F.col("title"))).alias("phrase")).distinct()
+    covered = each(articles, ["site"], _title_pieces(F.col("title")), "phrase").distinct()
     return asked.join(covered, ["site", "phrase"], "left_anti")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonld import elements, field, part
+from ..functions.rows import each
 from ..functions.scoring import psi_band
 from ..sources.dimensions import ACCESSIBILITY_AUDITS, FIELD_METRICS, LAB_METRICS, OPPORTUNITY_AUDITS
 from .skew import top_per_group
@@ -61,7 +62,7 @@ def lab_metrics(psi: DataFrame) -> DataFrame:
 
     rows = F.array(*[metric(name, key) for name, key in LAB_METRICS])
     return (
-        psi.select(*KEYS, F.explode(rows).alias("m"))
+        each(psi, KEYS, rows, "m")
         .select(*KEYS, "m.*")
         .withColumn("band", psi_band(F.col("score"), 0.9, 0.5))
     )
@@ -90,7 +91,7 @@ def field_metrics(psi: DataFrame) -> DataFrame:
         return present
 
     rows = F.array_compact(F.array(*[metric(name, key) for name, key in FIELD_METRICS]))
-    return psi.select(*KEYS, F.explode(rows).alias("m")).select(*KEYS, "m.*")
+    return each(psi, KEYS, rows, "m").select(*KEYS, "m.*")
 
 
 def _first_sentence(text: Column) -> Column:
@@ -110,7 +111,7 @@ def _audit_rows(psi: DataFrame, ids) -> DataFrame:
     ]
     present = F.filter(F.array(*listed), lambda r: r["a"].isNotNull())
     return (
-        psi.select(*KEYS, F.explode(present).alias("r"))
+        each(psi, KEYS, present, "r")
         .select(*KEYS, "r.*")
         .withColumn("score", field(F.col("a"), "score", "double"))
         .withColumn("title", F.coalesce(field(F.col("a"), "title", "string"), F.col("id")))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import colour as C
 from ..functions import html as H
+from ..functions.rows import each
 from ..functions.scoring import band, clamp, mean_of_present, percent, whole
 from ..sources.tables import first_css_files, with_asset_bytes
 from .findings import check, ok_or, one_row_per_check
@@ -175,7 +176,7 @@ def heading_steps(pages: DataFrame) -> DataFrame:
     levels = H.heading_levels(F.col("html"))
     before = F.concat(F.array(F.lit(None).cast("int")), levels)
     pairs = F.arrays_zip(levels.alias("level"), F.slice(before, 1, F.size(levels)).alias("prev_level"))
-    return pages.select("site", "page_id", F.posexplode(pairs).alias("pos", "s")).select(
+    return each(pages, ["site", "page_id"], pairs, "s", "pos").select(
         "site", "page_id", "pos", F.col("s.level").alias("level"), F.col("s.prev_level").alias("prev_level")
     )
 
@@ -198,7 +199,7 @@ def worst_contrast(css_files: DataFrame, n_files: int | None = 5) -> DataFrame:
     both = F.concat(role(("text", "ink", "fg"), True), role(("bg", "background", "surface"), False))
     lowered = F.lower("colour")
     colours = (
-        css.select("site", F.explode(both).alias("c"))
+        each(css, ["site"], both, "c")
         .select("site", "c.*")
         .groupBy("site", lowered.alias("hex"))
         .agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import jsonld as J
 from ..functions import text as T
+from ..functions.rows import each
 from ..functions.scoring import percent
 from ..sources.dimensions import AUTHORITIES_CONTENT, AUTHORITIES_KEYWORDS
 
@@ -187,7 +188,7 @@ def page_elements(pages: DataFrame) -> DataFrame:
     all_elements = F.concat(
         images, as_elements(H.stylesheet_refs(html), "css"), as_elements(H.blocking_script_refs(html), "js")
     )
-    return pages.select(*KEYS, F.explode(all_elements).alias("e")).select(*KEYS, "e.*")
+    return each(pages, KEYS, all_elements, "e").select(*KEYS, "e.*")
 
 
 def article_fields(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -24,26 +23,35 @@ def lookup_join(
     spread_by: list[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``big`` to ``lookup`` (unique on ``keys``), splitting hot keys over ``salts`` tasks.
+    """Join ``big`` to ``lookup`` (unique on ``keys``, the first of them text) with hot keys taken apart.
 
     ``weight`` is a lookup column at least as large as the number of ``big`` rows with that key. Keys at or above
-    ``hot_rows`` get salted on both sides. There are at most rows(big) / hot_rows of them, which bounds the list
-    that is broadcast to tell hot rows from others. ``spread_by`` are columns of ``big`` that vary within a key.
+    ``hot_rows`` are broadcast: there are at most rows(big) / hot_rows of them, which bounds what is broadcast. Their
+    rows do not take part in the shuffle join; they get a first key nothing matches, made from the ``spread_by``
+    columns, which spreads them over all tasks. ``lookup`` keeps the partitioning it was aggregated with.
     """
-    hot = lookup.where(F.col(weight) >= hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = (
-        big.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hot")
+    values = [c for c in lookup.columns if c not in keys]
+    found = F.struct(*values)
+    hot = lookup.where(F.col(weight) >= hot_rows).select(*keys, found.alias("_hot"))
+    aside = F.concat(F.lit("\u0000"), F.xxhash64(*spread_by).cast("string"))
+    marked = big.join(F.broadcast(hot), keys, "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(aside)
     )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = lookup.withColumn(
-        "_salt", F.explode(F.when(F.col(weight) >= hot_rows, every).otherwise(F.array(F.lit(0))))
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    rest = lookup.select(F.col(keys[0]).alias("_key"), *keys[1:], found.alias("_rest"))
+    joined = marked.join(rest, ["_key", *keys[1:]], "left").withColumn("_found", F.coalesce("_hot", "_rest"))
+    if how == "inner":
+        joined = joined.where(F.col("_found").isNotNull())
+    return joined.select(*big.columns, *[F.col("_found")[v].alias(v) for v in values])
+
+
+def per_site_join(
+    big: DataFrame, per_site: DataFrame, weight: str, spread_by: list[str], hot_rows: int = HOT_ROWS, most: int = 200_000
+) -> DataFrame:
+    """Inner join to a table with one row per site: broadcast when counting shows at most ``most`` rows."""
+    if per_site.limit(most + 1).count() <= most:
+        return big.join(F.broadcast(per_site), "site")
+    return lookup_join(big, per_site, ["site"], weight, spread_by, "inner", hot_rows)
 
 
 def previous_values(df: DataFrame, keys: list[str], order: list[str], values: list[str], period: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import jsonld as J
+from ..functions.rows import each
 from ..functions.scoring import schema_score
 from ..sources.dimensions import RULE_SCHEMA, known_types, schema_rule_rows
 
@@ -16,7 +17,7 @@ OBJECT_KEYS = ["site", "page_id", "blob_pos", "obj_pos"]
 def blobs(pages: DataFrame) -> DataFrame:
     """One row per JSON-LD script: (site, page_id, blob_pos, blob, v, is_valid)."""
     return (
-        pages.select("site", "page_id", F.posexplode(H.jsonld_blobs(F.col("html"))).alias("blob_pos", "blob"))
+        each(pages, ["site", "page_id"], H.jsonld_blobs(F.col("html")), "blob", "blob_pos")
         .withColumn("v", J.parse(F.col("blob")))
         .withColumn("is_valid", F.col("v").isNotNull())
     )
@@ -24,7 +25,7 @@ def blobs(pages: DataFrame) -> DataFrame:
 
 def types_anywhere(pages: DataFrame) -> DataFrame:
     """Distinct @type values at any depth, per site, with the number of pages that have them."""
-    found = blobs(pages).select("site", "page_id", F.explode(J.types_anywhere(F.col("v"))).alias("schema_type"))
+    found = each(blobs(pages), ["site", "page_id"], J.types_anywhere(F.col("v")), "schema_type")
     return (
         found.dropDuplicates(["site", "page_id", "schema_type"])
         .groupBy("site", "schema_type")
@@ -34,22 +35,15 @@ def types_anywhere(pages: DataFrame) -> DataFrame:
 
 def declared_types(pages: DataFrame) -> DataFrame:
     """Types a page declares itself: at the top, in lists and inside @graph, not in other nested fields."""
-    return (
-        blobs(pages)
-        .where("is_valid")
-        .select("site", "page_id", F.explode(J.declared_types(F.col("v"))).alias("schema_type"))
-        .distinct()
-    )
+    valid = blobs(pages).where("is_valid")
+    return each(valid, ["site", "page_id"], J.declared_types(F.col("v")), "schema_type").distinct()
 
 
 def objects(pages: DataFrame) -> DataFrame:
     """Objects that get validated: (site, page_id, blob_pos, obj_pos, obj, schema_type)."""
-    return (
-        blobs(pages)
-        .where("is_valid")
-        .select("site", "page_id", "blob_pos", F.posexplode(J.objects(F.col("v"))).alias("obj_pos", "obj"))
-        .withColumn("schema_type", J.object_type(F.col("obj")))
-    )
+    valid = blobs(pages).where("is_valid")
+    found = each(valid, ["site", "page_id", "blob_pos"], J.objects(F.col("v")), "obj", "obj_pos")
+    return found.withColumn("schema_type", J.object_type(F.col("obj")))
 
 
 def _rules(df: DataFrame, extra_rules) -> DataFrame:

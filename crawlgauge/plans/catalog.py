@@ -574,8 +574,8 @@ def _(spark, d):
 )
 def _(spark, d):
     articles = _documents(spark, d)
-    weights = K.idf(K.article_terms(articles), articles)
-    return weights.where("df >= 2").withColumn("idf", F.round("idf", 6))
+    weights = K.idf(articles)
+    return weights.where("df >= 2").select("site", "term", "n", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("document_keywords_k05_j08", O.sql("SELECT site, doc, rank, term, round(score, 6) AS score, round(idf, 6) AS idf FROM kw", **O.DOC_KW))

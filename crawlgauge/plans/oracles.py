@@ -424,7 +424,7 @@ HTACCESS_FINDINGS = (
         finding("security", "cache", 509, ok_or(f"contains({HT}, 'ExpiresByType') OR contains({HT}, 'max-age')", given=f"{HT} IS NOT NULL")),
     ]
 )
-HEADER_DUMP = "SELECT sites.site, string_agg(lower(concat(name, ': ', value)), chr(10) ORDER BY o) AS d FROM sites LEFT JOIN h ON h.site = sites.site GROUP BY sites.site"
+HEADER_DUMP = "SELECT sites.site, string_agg(lower(concat(name, ': ', value)), chr(10) ORDER BY o) FILTER (name IS NOT NULL) AS d FROM sites LEFT JOIN h ON h.site = sites.site GROUP BY sites.site"
 FONT_FINDINGS = [
     finding("fonts", "google_fonts", 703, ok_or("p IS NULL"), detail="p", source="(SELECT site, arg_min(page_id, (path, page_id)) FILTER (uses_google_fonts) AS p FROM s GROUP BY site)"),
     finding("fonts", "own_fonts", 701, ok_or("n IS NOT NULL"), "n", source="wf"),

@@ -12,6 +12,11 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Broadcast only what adaptive execution has measured: size estimates are far too low behind an explode.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+    # no sort where each partition of the smaller side is known to be small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # the last of two equal JSON keys wins
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.rows import each
 from .dimensions import EXPECTED_FILES, QUERY_TEMPLATES
 
 PAGES = "site string, page_id string, url string, path string, html string, html_bytes bigint, fetched_at timestamp"
@@ -98,10 +99,11 @@ def look_up_files(sites: DataFrame, resources: DataFrame, paths=EXPECTED_FILES)
 def sitemap_urls(resources: DataFrame, limit: int | None = None) -> DataFrame:
     """URLs of each sitemap under the site's own prefix, first occurrence kept: (site, base, loc, pos)."""
     base = F.concat(F.lit("https://"), F.col("site"))
+    maps = resources.where((F.col("path") == "sitemap.xml") & F.col("content").isNotNull())
+    listed = F.regexp_extract_all("content", F.lit("<loc>(.*?)</loc>"), 1)
     locs = (
-        resources.where((F.col("path") == "sitemap.xml") & F.col("content").isNotNull())
-        .select("site", base.alias("base"), F.posexplode(F.regexp_extract_all("content", F.lit("<loc>(.*?)</loc>"), 1)))
-        .select("site", "base", F.trim("col").alias("loc"), "pos")
+        each(maps, ["site", base.alias("base")], listed, "loc", "pos")
+        .withColumn("loc", F.trim("loc"))
         .where((F.col("loc") != "") & F.startswith("loc", F.col("base")))
     )
     urls = locs.groupBy("site", "base", "loc").agg(F.min("pos").alias("pos"))
