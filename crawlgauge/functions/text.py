@@ -89,8 +89,9 @@ def sentences(text: Column, lang: Readability = POLISH) -> Column:
     """Split after . ! ? before a capital; full stops of known abbreviations do not end a sentence."""
     text = F.regexp_replace(text, r"\.{3,}", "…")
     if lang.abbreviations:
+        # the full stop first, then a look back: only full stops are examined
         alternatives = "|".join(rf"\Q{a}\E" for a in lang.abbreviations)
-        text = F.regexp_replace(text, rf"(?iuU)\b({alternatives})\.", "$1\u0001")
+        text = F.regexp_replace(text, rf"(?iuU)\.(?<=\b(?:{alternatives})\.)", "\u0001")
     parts = F.split(text, rf"(?U)(?<=[.!?])\s+(?=[{lang.capitals}])")
     restored = F.transform(parts, lambda s: F.trim(F.replace(s, F.lit("\u0001"), F.lit("."))))
     return F.filter(restored, lambda s: s != "")
@@ -101,11 +102,15 @@ def syllables(word: Column, lang: Readability = POLISH) -> Column:
 
 
 def hard_word_count(text: Column, lang: Readability = POLISH, vowel_runs: int = 4) -> Column:
-    """Words with at least ``vowel_runs`` runs of vowels, counted in one pass over the text."""
-    v = f"[{lang.vowels}]"
-    other = rf"[\p{{L}}\p{{N}}_&&[^{lang.vowels}]]"
-    pattern = rf"{other}*+(?:{v}++{other}++){{{vowel_runs - 1}}}{v}[\p{{L}}\p{{N}}_]*+"
-    return count_of(F.lower(text), pattern)
+    """Words with at least ``vowel_runs`` runs of vowels, counted in one pass over the text.
+
+    All vowels are made the same letter first, and a match may only start at the start of a word.
+    """
+    v = lang.vowels[0]
+    same = F.translate(F.lower(text), lang.vowels, v * len(lang.vowels))
+    other = rf"[\p{{L}}\p{{N}}_&&[^{v}]]"
+    pattern = rf"(?<![\p{{L}}\p{{N}}_]){other}*+(?:{v}++{other}++){{{vowel_runs - 1}}}{v}"
+    return count_of(same, pattern)
 
 
 def fog(n_words: Column, n_sentences: Column, n_hard: Column) -> Column:

@@ -47,59 +47,62 @@ def _overlap_table(top_k: int, threshold: float, min_shared: int) -> dict[int, d
     return table
 
 
-def _subsets(items: Column, size: int) -> Column:
-    """All subsets of ``size`` of a sorted array, as one digest each."""
-    indexed = F.transform(items, lambda x, i: F.struct(i.alias("i"), x.alias("s")))
-    grown = indexed
-    for _ in range(size - 1):
-        grown = F.flatten(
-            F.transform(
-                grown,
-                lambda g: F.transform(
-                    F.filter(indexed, lambda x: x["i"] > g["i"]),
-                    lambda x: F.struct(x["i"].alias("i"), F.concat(g["s"], F.lit("\u0001"), x["s"]).alias("s")),
-                ),
-            )
-        )
-    return F.transform(grown, lambda g: F.md5(g["s"]))
+def _reach(size: Column, t: int, table: dict[int, dict[int, int]]) -> Column:
+    reach = F.lit(None).cast("int")
+    for a, of_size in table.items():
+        if t in of_size:
+            reach = F.when(size == a, F.lit(of_size[t])).otherwise(reach)
+    return reach
+
+
+def _grown(rows: DataFrame) -> DataFrame:
+    """Each keyword combination with one more keyword of the article, taken from those after its last one."""
+    longer = F.transform(
+        "rest",
+        lambda x, i: F.struct(
+            F.concat(F.col("key"), F.lit("\u0001"), x).alias("key"), F.slice("rest", i + 2, F.size("rest")).alias("rest")
+        ),
+    )
+    return each(rows, [*DOC, "size"], longer, "b").select(*DOC, "size", "b.key", "b.rest")
 
 
-def _tagged(digests: Column, size: int, reach: Column) -> Column:
-    return F.transform(
-        digests, lambda b: F.struct(F.lit(size).alias("t"), reach.alias("reach"), b.alias("bucket"))
-    )
+def _shared(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """Combinations that two or more articles of the site have, with how many."""
+    crowded = rows.groupBy("site", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return lookup_join(rows, crowded, ["site", "key"], "n", ["doc"], "inner", hot_rows=hot_rows)
 
 
 def buckets(keyword_table: DataFrame, top_k: int, threshold: float, min_shared: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(site, doc, size, bucket, reach): one row per article and bucket; ``reach`` is the largest partner size.
+    """(site, doc, size, bucket, reach, n): one row per article and bucket; ``reach`` is the largest partner size.
 
-    Keywords that only one article of the site has, and buckets with one article, connect nothing and are left out.
+    Combinations are grown one keyword at a time and only from those that several articles share, since what one
+    article alone has connects nothing. ``n`` is the number of articles in the bucket.
     """
     table = _overlap_table(top_k, threshold, min_shared)
     sizes_used = sorted({t for row in table.values() for t in row})
     if sum(comb(top_k, t) for t in sizes_used) > MAX_BUCKETS:
         raise ValueError("too many keyword combinations per article: lower top_k or min_shared")
-    targets = keyword_table.where(F.col("rank") <= top_k).select(*DOC, "term", "rank")
-    shared = targets.groupBy("site", "term").agg(F.count("*").alias("n")).where("n > 1")
+    targets = keyword_table.where(F.col("rank") <= top_k).select(*DOC, F.col("term").alias("key"))
     sizes = targets.groupBy(*DOC).agg(F.count("*").cast("int").alias("size"))
-    linked = lookup_join(targets, shared, ["site", "term"], "n", ["doc"], "inner", hot_rows=hot_rows)
-    sets = linked.groupBy(*DOC).agg(F.array_sort(F.collect_set("term")).alias("terms")).join(sizes, DOC)
-    nothing = F.array().cast("array<struct<t:int,reach:int,bucket:string>>")
-    rows = []
-    for t in sizes_used:
-        reach = F.lit(None).cast("int")
-        for a in table:
-            if t in table[a]:
-                reach = F.when(F.col("size") == a, F.lit(table[a][t])).otherwise(reach)
-        rows.append(F.when(reach.isNotNull(), _tagged(_subsets(F.col("terms"), t), t, reach)).otherwise(nothing))
-    exploded = each(sets, [*DOC, "size"], F.concat(*rows), "b").select(
-        *DOC, "size", F.concat_ws(":", "b.t", "b.bucket").alias("bucket"), "b.reach"
-    )
-    # sizes are kept in the key: within one bucket size t only sizes up to ``reach`` may meet
-    crowded = exploded.groupBy(*BUCKET).agg(F.count("*").alias("n")).where("n > 1")
-    return lookup_join(exploded, crowded, BUCKET, "n", ["doc"], "inner", hot_rows=hot_rows).select(
-        *DOC, "size", *BUCKET[1:], "reach", "n"
+    sets = _shared(targets, hot_rows).groupBy(*DOC).agg(F.array_sort(F.collect_list("key")).alias("terms"))
+    single = F.transform(
+        "terms", lambda x, i: F.struct(x.alias("key"), F.slice("terms", i + 2, F.size("terms")).alias("rest"))
     )
+    sized = sets.join(sizes, DOC)
+    rows = each(sized, [*DOC, "size"], single, "b").select(*DOC, "size", "b.key", "b.rest")
+    found = None
+    for t in range(1, max(sizes_used) + 1):
+        if t > 1:
+            rows = _grown(rows)
+        rows = cut_lineage(_shared(rows, hot_rows))
+        if t in sizes_used:
+            reach = _reach(F.col("size"), t, table)
+            level = rows.select(
+                *DOC, "size", F.concat(F.lit(f"{t}:"), "key").alias("bucket"), reach.alias("reach"), "n"
+            ).where(F.col("reach").isNotNull())
+            found = level if found is None else found.unionByName(level)
+        rows = rows.drop("n")
+    return found
 
 
 def _smallest_partner(rows: DataFrame, of: DataFrame, top_k: int, hot_rows: int) -> DataFrame:
@@ -145,7 +148,7 @@ def clusters(
     """(site, doc, leader): every article of ``articles`` with the leader of its cluster (itself if it leads)."""
     if threshold <= 0 or min_shared < 1:
         raise ValueError("threshold must be positive and min_shared at least 1")
-    rows = cut_lineage(buckets(keyword_table, top_k, threshold, min_shared, hot_rows))
+    rows = buckets(keyword_table, top_k, threshold, min_shared, hot_rows)
     lead = leaders(rows, top_k, hot_rows)
     led = rows.join(lead, DOC, "left_semi")
     joined = (

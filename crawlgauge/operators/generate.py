@@ -14,7 +14,7 @@ from ..functions import jsonld as J
 from ..functions.rows import each
 from ..sources.dimensions import AI_BOTS
 from ..sources.tables import first_per_site
-from .skew import HOT_ROWS, lookup_join
+from .skew import HOT_ROWS, lookup_join, per_site_join
 
 ERROR_PAGES = ("404.html", "500.html")
 DISALLOWED = ("/admin/", "/private/", "/.git/", "/data/")
@@ -50,11 +50,8 @@ def llms_txt(pages: DataFrame, about: DataFrame, max_pages: int = 200) -> DataFr
     """Index of the first ``max_pages`` pages by path, error pages left out."""
     rel = relative_path(F.col("path"))
     first = first_per_site(pages.select("site", "page_id", "path", "html"), max_pages, "path", "page_id")
-    named = (
-        first.withColumn("rel", rel)
-        .where(~F.col("rel").isin(*ERROR_PAGES))
-        .join(about.select("site", "base_url"), "site")
-    )
+    kept = first.withColumn("rel", rel).where(~F.col("rel").isin(*ERROR_PAGES))
+    named = per_site_join(kept, about.select("site", "base_url"), ["page_id"])
     line = F.concat(
         F.lit("- ["), _or(H.title(F.col("html")), F.col("rel")), F.lit("]("), "base_url", F.lit("/"), "rel", F.lit(")")
     )
@@ -130,8 +127,8 @@ def sitemap_entries(pages: DataFrame, about: DataFrame, max_images: int = 5) ->
         pages.select("site", "page_id", "path", "html", "fetched_at")
         .withColumn("rel", relative_path(F.col("path")))
         .where(~rel.isin(*ERROR_PAGES))
-        .join(about.select("site", "base_url"), "site")
     )
+    staged = per_site_join(staged, about.select("site", "base_url"), ["page_id"])
     entry = F.concat(
         F.lit("  <url>\n    <loc>"), _xml(F.col("loc")), F.lit("</loc>\n    <lastmod>"), "lastmod",
         F.lit("</lastmod>\n    <changefreq>"), "changefreq", F.lit("</changefreq>\n    <priority>"), "priority",
@@ -267,7 +264,7 @@ def with_schema(pages: DataFrame, about: DataFrame, today: str, lang: str = "pl-
     html, base, rel = F.col("html"), F.col("base_url"), F.col("rel")
     existing = F.flatten(F.transform(H.jsonld_blobs(html), lambda b: J.declared_types(J.parse(b))))
     staged = (
-        pages.join(about, "site")
+        per_site_join(pages, about, ["page_id"])
         .withColumn("rel", relative_path(F.col("path")))
         .withColumn("_types", existing)
         .withColumn("_title", page_title(html, rel))

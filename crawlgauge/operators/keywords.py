@@ -58,9 +58,8 @@ def document_frequency(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
 
 def _with_idf(rows: DataFrame, articles: DataFrame, spread_by: list[str], hot_rows: int) -> DataFrame:
     """Adds n, the articles of the site, and idf = ln((n + 1) / (df + 1)) + 1; 1 where df is unknown."""
-    # a word starts at most three terms, which bounds the rows of a site
-    sizes = articles.groupBy("site").agg(F.count("*").alias("n"), (F.sum("word_count") * 3).alias("_weight"))
-    joined = per_site_join(rows, sizes, "_weight", spread_by, hot_rows).drop("_weight")
+    sizes = articles.groupBy("site").agg(F.count("*").alias("n"))
+    joined = per_site_join(rows, sizes, spread_by, hot_rows)
     weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     return joined.withColumn("idf", F.coalesce(weight, F.lit(1.0)))
 

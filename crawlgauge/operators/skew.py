@@ -46,12 +46,17 @@ def lookup_join(
 
 
 def per_site_join(
-    big: DataFrame, per_site: DataFrame, weight: str, spread_by: list[str], hot_rows: int = HOT_ROWS, most: int = 200_000
+    big: DataFrame, per_site: DataFrame, spread_by: list[str], hot_rows: int = HOT_ROWS, most: int = 200_000
 ) -> DataFrame:
-    """Inner join to a table with one row per site: broadcast when counting shows at most ``most`` rows."""
+    """Inner join to a table with one row per site.
+
+    Broadcast when counting shows at most ``most`` rows, so ``big`` is not shuffled; else ``lookup_join``.
+    """
     if per_site.limit(most + 1).count() <= most:
         return big.join(F.broadcast(per_site), "site")
-    return lookup_join(big, per_site, ["site"], weight, spread_by, "inner", hot_rows)
+    weights = big.groupBy("site").agg(F.count("*").alias("_weight"))
+    weighted = per_site.join(weights, "site")
+    return lookup_join(big, weighted, ["site"], "_weight", spread_by, "inner", hot_rows).drop("_weight")
 
 
 def previous_values(df: DataFrame, keys: list[str], order: list[str], values: list[str], period: str) -> DataFrame:

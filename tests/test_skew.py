@@ -32,8 +32,8 @@ def test_lookup_join_is_a_join(spark, how, hot_rows):
 def test_per_site_join_beyond_the_broadcast_limit(spark):
     big = spark.range(50).select(F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("site"), "id")
     sizes = big.groupBy("site").agg(F.count("*").alias("n"))
-    small = skew.per_site_join(big, sizes, "n", ["id"])
-    large = skew.per_site_join(big, sizes, "n", ["id"], hot_rows=8, most=2)
+    small = skew.per_site_join(big, sizes, ["id"])
+    large = skew.per_site_join(big, sizes, ["id"], hot_rows=8, most=2)
     assert rows_of(small.select("site", "id", "n")) == rows_of(large.select("site", "id", "n"))
 
 
@@ -64,15 +64,19 @@ def leaders_one_by_one(sets, threshold=0.1, min_shared=3):
     return out
 
 
-@pytest.mark.parametrize("seed, n, vocabulary, sizes", [(3, 60, 30, (0, 15)), (4, 40, 60, (1, 6)), (5, 50, 40, (10, 15)), (6, 25, 8, (1, 4))])
-def test_clusters_follow_the_sequential_rule(spark, seed, n, vocabulary, sizes):
-    rng = random.Random(seed)
-    sets = {i: set(rng.sample(range(vocabulary), min(vocabulary, rng.randint(*sizes)))) for i in range(n)}
-    words = [("s", i, f"w{w}", r + 1) for i, ws in sets.items() for r, w in enumerate(sorted(ws))]
-    keyword_table = spark.createDataFrame(words, "site string, doc long, term string, rank int")
-    articles = spark.createDataFrame([("s", i) for i in sets], "site string, doc long")
-    got = CL.clusters(articles, keyword_table, hot_rows=5)
-    assert {r.doc: r.leader for r in got.collect()} == leaders_one_by_one(sets)
+def test_clusters_follow_the_sequential_rule(spark):
+    """Many random sites of different density at once, with hot keywords."""
+    rng = random.Random(3)
+    shapes = [(60, 30, (0, 15)), (40, 60, (1, 6)), (50, 40, (10, 15)), (25, 8, (1, 4)), (30, 200, (3, 15)), (40, 20, (2, 9))]
+    words, articles, expected = [], [], {}
+    for s, (n, vocabulary, sizes) in enumerate(shapes * 3):
+        sets = {i: set(rng.sample(range(vocabulary), min(vocabulary, rng.randint(*sizes)))) for i in range(n)}
+        articles += [(f"s{s}", i) for i in sets]
+        words += [(f"s{s}", i, f"w{w}", r + 1) for i, ws in sets.items() for r, w in enumerate(sorted(ws))]
+        expected |= {(f"s{s}", i): leader for i, leader in leaders_one_by_one(sets).items()}
+    table = spark.createDataFrame(words, "site string, doc long, term string, rank int")
+    got = CL.clusters(spark.createDataFrame(articles, "site string, doc long"), table, hot_rows=15)
+    assert {(r.site, r.doc): r.leader for r in got.collect()} == expected
 
 
 def test_clusters_compare_with_the_leader_only(spark):
