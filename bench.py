@@ -43,6 +43,7 @@ def main() -> None:
         .appName("crawlgauge-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "20g")
         .getOrCreate()

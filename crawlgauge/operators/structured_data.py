@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -58,6 +58,23 @@ def _rules(df: DataFrame, extra_rules) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, RULE_SCHEMA)
 
 
+def _broken_rule() -> Column:
+    """What is wrong with ``obj`` under the joined rule, NULL when nothing is."""
+    obj, kind = F.col("obj"), F.col("kind")
+    value = J.part(obj, F.concat(F.lit('$["'), F.col("field"), F.lit('"]')))
+    given = J.members(obj)
+    some_given = F.exists(F.split("field", r"\|"), lambda f: J.is_truthy(F.try_element_at(given, f)))
+    return (
+        F.when(kind.isin("required", "recommended"), F.when(~J.is_filled(value), "missing"))
+        .when(kind == "any_of", F.when(~F.coalesce(some_given, F.lit(False)), "none_given"))
+        .when(kind == "check", F.when(J.is_truthy(value), J.format_error(value, F.col("fmt"))))
+    )
+
+
+def _severity() -> Column:
+    return F.when(F.col("kind") == "recommended", "warning").otherwise("error")
+
+
 def issues(found: DataFrame, extra_rules: list[tuple] | None = None) -> DataFrame:
     """Broken rules of each object. Types without rules have no issues.
 
@@ -65,28 +82,11 @@ def issues(found: DataFrame, extra_rules: list[tuple] | None = None) -> DataFram
     it is, without a shuffle.
     """
     checked = found.join(F.broadcast(_rules(found, extra_rules)), "schema_type")
-    value = J.part(F.col("obj"), F.concat(F.lit('$["'), F.col("field"), F.lit('"]')))
-    given = J.members(F.col("obj"))
-    some_given = F.exists(F.split("field", r"\|"), lambda f: J.is_truthy(F.try_element_at(given, f)))
-    broken = F.coalesce(J.format_error(F.col("value"), F.col("fmt")), F.lit(""))
-    kind = F.col("kind")
-    detail = (
-        F.when(kind.isin("required", "recommended"), F.when(~J.is_filled(F.col("value")), "missing"))
-        .when(kind == "any_of", F.when(~F.coalesce(some_given, F.lit(False)), "none_given"))
-        .when(kind == "check", F.when(J.is_truthy(F.col("value")), F.nullif(broken, F.lit(""))))
-    )
     return (
-        checked.withColumn("value", value)
-        .withColumn("detail", detail)
+        checked.withColumn("detail", _broken_rule())
         .where(F.col("detail").isNotNull())
         .select(
-            *OBJECT_KEYS,
-            "schema_type",
-            F.when(kind == "recommended", "warning").otherwise("error").alias("severity"),
-            kind.alias("rule"),
-            "field",
-            "detail",
-            "ord",
+            *OBJECT_KEYS, "schema_type", _severity().alias("severity"), F.col("kind").alias("rule"), "field", "detail", "ord"
         )
     )
 
@@ -102,34 +102,34 @@ def untyped_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def page_reports(pages: DataFrame, extra_rules: list[tuple] | None = None) -> DataFrame:
-    """Types, errors and warnings per page. All keys are single pages."""
-    found = objects(pages)
-    types = found.groupBy("site", "page_id").agg(
-        F.count_if(F.col("schema_type") != "").alias("n_types"),
-        F.array_join(
-            F.transform(
-                F.array_sort(
-                    F.collect_list(
-                        F.when(F.col("schema_type") != "", F.struct("blob_pos", "obj_pos", "schema_type"))
-                    )
-                ),
-                lambda t: t["schema_type"],
-            ),
-            ",",
-        ).alias("types"),
+    """Types, errors and warnings per page, from one pass over the HTML.
+
+    Outer explodes keep pages without blobs or objects. Every object gives one row for itself (part 0) and one per
+    rule of its type (part 1), so its type and its issues are counted in the same aggregation.
+    """
+    page = ["site", "page_id"]
+    roots = pages.select(*page, F.posexplode_outer(H.jsonld_blobs(F.col("html"))).alias("blob_pos", "blob")).select(
+        *page, "blob_pos", J.parse(F.col("blob")).alias("v")
     )
-    counted = issues(found, extra_rules).groupBy("site", "page_id").agg(
-        F.count_if(F.col("severity") == "error").alias("errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"),
+    found = roots.select(*page, "blob_pos", F.posexplode_outer(J.objects(F.col("v"))).alias("obj_pos", "obj")).withColumn(
+        "schema_type", F.when(F.col("obj").isNotNull(), J.object_type(F.col("obj")))
     )
-    joined = (
-        pages.select("site", "page_id")
-        .join(types, ["site", "page_id"], "left")
-        .join(counted, ["site", "page_id"], "left")
-        .fillna(0, ["n_types", "errors", "warnings"])
-        .fillna("", ["types"])
+    parts = found.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    rules = _rules(pages, extra_rules).withColumn("part", F.lit(1))
+    checked = parts.join(F.broadcast(rules), ["schema_type", "part"], "left").withColumn("detail", _broken_rule())
+    typed = (F.col("part") == 0) & (F.col("schema_type") != "")
+    listed = F.collect_list(F.when(typed, F.struct("blob_pos", "obj_pos", "schema_type")))
+
+    def broken(severity: str) -> Column:
+        return F.count_if(F.col("detail").isNotNull() & (_severity() == severity))
+
+    counts = checked.groupBy(*page).agg(
+        F.count_if(typed).alias("n_types"),
+        F.array_join(F.transform(F.array_sort(listed), lambda t: t["schema_type"]), ",").alias("types"),
+        broken("error").alias("errors"),
+        broken("warning").alias("warnings"),
     )
-    return joined.withColumn("warnings", F.col("warnings") + (F.col("n_types") == 0).cast("bigint"))
+    return counts.withColumn("warnings", F.col("warnings") + (F.col("n_types") == 0).cast("bigint"))
 
 
 def site_summary(reports: DataFrame) -> DataFrame:
