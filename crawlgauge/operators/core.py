@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.rows import each
 from ..sources.dimensions import AI_BOTS, EXPECTED_FILES, OPTIONAL_TYPES, REQUIRED_TYPES, SECURITY_HEADERS
 from ..sources.tables import look_up_files
-from .findings import all_checks, check, ok_or, one_row_per_check
+from .findings import Check, all_checks, check, ok_or, one_row_per_check
 
 
 def site_files(sites: DataFrame, resources: DataFrame, paths=EXPECTED_FILES) -> DataFrame:
@@ -27,7 +27,7 @@ def _file(path: str) -> Column:
     return F.col(f"`{path}`")
 
 
-def ai_file_checks() -> list[Column]:
+def ai_file_checks() -> list[Check]:
     """llms.txt and llms-full.txt: present, line count, article section, word count."""
     short, full = _file("llms.txt"), _file("llms-full.txt")
     trimmed = F.regexp_replace(short, r"(?U)^\s+|\s+$", "")
@@ -118,7 +118,7 @@ def robots_verdicts(robots: DataFrame) -> DataFrame:
     )
 
 
-def robots_file_checks() -> list[Column]:
+def robots_file_checks() -> list[Check]:
     """robots.txt present, sitemap and llms.txt declared."""
     content = _file("robots.txt")
     given = content.isNotNull()
@@ -167,7 +167,7 @@ def site_marks(signals: DataFrame) -> DataFrame:
     )
 
 
-def structured_data_checks() -> list[Column]:
+def structured_data_checks() -> list[Check]:
     """Syntax without errors, and each required and optional type found somewhere on the site."""
     checks = [check("jsonld_syntax", 301, F.when(F.col("broken_blobs") == 0, "ok"), F.col("broken_blobs"))]
     for i, t in enumerate(REQUIRED_TYPES):
@@ -201,7 +201,7 @@ def _occurrences(text: Column, needle: str) -> Column:
     return F.regexp_count(text, F.lit(re.escape(needle))).cast("bigint")
 
 
-def sitemap_checks() -> list[Column]:
+def sitemap_checks() -> list[Check]:
     """sitemap.xml present, URL count, image namespace, lastmod, changefreq, priority."""
     c = _file("sitemap.xml")
     urls = F.coalesce(F.nullif(_occurrences(c, "<url>"), F.lit(0)), _occurrences(c, "<loc>"))
@@ -218,7 +218,7 @@ def sitemap(files: DataFrame) -> DataFrame:
     return one_row_per_check(files, "sitemap", sitemap_checks())
 
 
-def _header_checks(applies: Column, present, compressed: Column, cached: Column) -> list[Column]:
+def _header_checks(applies: Column, present, compressed: Column, cached: Column) -> list[Check]:
     names = [
         check(check_id, 502 + i, F.when(applies, ok_or(present(header))))
         for i, (header, check_id) in enumerate(SECURITY_HEADERS)
@@ -236,7 +236,7 @@ def header_dump(headers: DataFrame) -> DataFrame:
     return headers.select("site", F.lower(F.array_join(lines, "\n")).alias("header_dump"))
 
 
-def sent_header_checks() -> list[Column]:
+def sent_header_checks() -> list[Check]:
     """Security headers as sent."""
     text = F.coalesce("header_dump", F.lit(""))
     return [
@@ -250,7 +250,7 @@ def sent_header_checks() -> list[Column]:
     ]
 
 
-def htaccess_checks() -> list[Column]:
+def htaccess_checks() -> list[Check]:
     """Security headers as configured; the compression and cache tests differ from those on sent headers."""
     c = _file(".htaccess")
     return [
@@ -273,7 +273,7 @@ def security_from_htaccess(files: DataFrame) -> DataFrame:
     return one_row_per_check(files, "security", htaccess_checks())
 
 
-def pwa_checks() -> list[Column]:
+def pwa_checks() -> list[Check]:
     return [
         check("service_worker", 601, ok_or(_file("sw.js").isNotNull())),
         check("manifest", 602, ok_or(_file("manifest.json").isNotNull())),
@@ -290,7 +290,7 @@ def own_fonts(assets: DataFrame) -> DataFrame:
     return own.groupBy("site").agg(F.count("*").alias("n_fonts"), F.sum("bytes").alias("font_bytes"))
 
 
-def font_checks(with_own: bool) -> list[Column]:
+def font_checks(with_own: bool) -> list[Check]:
     """Google Fonts use, naming the first page by path; and the self-hosted files."""
     first = F.col("first_font_page")
     checks = [check("google_fonts", 703, F.when(first.isNotNull(), "fail").otherwise("ok"), None, first["page_id"])]
@@ -310,7 +310,7 @@ def fonts(signals: DataFrame, assets: DataFrame | None = None) -> DataFrame:
     return one_row_per_check(marks, "fonts", font_checks(assets is not None))
 
 
-def content_mark_checks() -> list[Column]:
+def content_mark_checks() -> list[Check]:
     """Question headings and pages with bibliography, author, og:image and nosnippet marks, of how many pages."""
     names = ["question_headings", "bibliography_pages", "author_pages", "og_image_pages", "nosnippet_pages"]
     return [check(n, 801 + i, F.lit("info"), F.col(n), F.col("pages")) for i, n in enumerate(names)]
@@ -320,6 +320,12 @@ def content_marks(signals: DataFrame) -> DataFrame:
     return one_row_per_check(site_marks(signals), "content_marks", content_mark_checks())
 
 
+SIGNALS = [
+    "site", "page_id", "path", "jsonld_types", "n_jsonld_broken", "uses_google_fonts", "n_question_headings",
+    "has_bibliography", "has_author", "has_og_image", "has_nosnippet",
+]  # what the core audit reads of the page signals
+
+
 def core_audit(
     signals: DataFrame,
     resources: DataFrame,

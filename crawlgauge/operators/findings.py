@@ -2,40 +2,55 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import each
+
 COLUMNS = ["site", "module", "check_id", "status", "value", "detail", "ord"]
 
 
-def check(check_id: str, ord_: int, status: Column, value: Column | None = None, detail: Column | None = None) -> Column:
-    """One finding as a struct; a NULL status means the check does not apply."""
-    return F.struct(
-        F.lit(check_id).alias("check_id"),
-        status.alias("status"),
-        (F.lit(None) if value is None else value).cast("double").alias("value"),
-        (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
-        F.lit(ord_).alias("ord"),
-    )
+@dataclass
+class Check:
+    """One check on a one-row-per-site table; a NULL status means it does not apply."""
+
+    check_id: str
+    ord: int
+    status: Column
+    value: Column | None = None
+    detail: Column | None = None
+
+
+check = Check
 
 
 def ok_or(test: Column, otherwise: str = "fail") -> Column:
     return F.when(test, "ok").otherwise(otherwise)
 
 
-def one_row_per_check(df: DataFrame, module: str, checks: list[Column]) -> DataFrame:
+def one_row_per_check(df: DataFrame, module: str, checks: list[Check]) -> DataFrame:
     """Turn a one-row-per-site table into findings."""
     return all_checks(df, {module: checks})
 
 
-def all_checks(df: DataFrame, modules: dict[str, list[Column]]) -> DataFrame:
+def all_checks(df: DataFrame, modules: dict[str, list[Check]]) -> DataFrame:
     """Findings of several modules from one row per site, in one pass."""
-    tagged = [
-        F.struct(F.lit(module).alias("module"), c.alias("c")) for module, checks in modules.items() for c in checks
-    ]
+    listed = [(module, c) for module, checks in modules.items() for c in checks]
+    names = ", ".join(
+        f"named_struct('module', '{module}', 'check_id', '{c.check_id}', 'ord', {c.ord})" for module, c in listed
+    )
+    no_value, no_detail = F.lit(None).cast("double"), F.lit(None).cast("string")
+    rows = F.arrays_zip(
+        F.expr(f"array({names})").alias("name"),
+        F.array(*[c.status for _, c in listed]).alias("status"),
+        F.array(*[no_value if c.value is None else c.value.cast("double") for _, c in listed]).alias("value"),
+        F.array(*[no_detail if c.detail is None else c.detail.cast("string") for _, c in listed]).alias("detail"),
+    )
     return (
-        df.select("site", F.explode(F.array(*tagged)).alias("f"))
-        .select("site", "f.module", "f.c.*")
+        each(df, ["site"], rows, "f")
+        .select("site", "f.name.*", "f.status", "f.value", "f.detail")
         .where(F.col("status").isNotNull())
         .select(*COLUMNS)
     )

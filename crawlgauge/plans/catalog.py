@@ -347,7 +347,8 @@ def _(spark, d):
 
 
 def _core_inputs(spark, d):
-    return _signals(spark, d), D.resources(spark, d), D.headers(spark, d), D.assets(spark, d)
+    sig = _signals(spark, d).select(*core.SIGNALS)
+    return sig, D.resources(spark, d), D.headers(spark, d), D.assets(spark, d)
 
 
 @query("core_audit_a01_a08", O.sql("SELECT * FROM fi", **O.CORE_CTES))
@@ -988,8 +989,8 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    sig, *others = _core_inputs(spark, d)
-    sig = written_table(sig, "signals")
+    _, *others = _core_inputs(spark, d)
+    sig = written_table(_signals(spark, d), "signals")
     scores = quality.module_scores(quality.performance(sig), quality.accessibility(sig), quality.content_quality(sig))
     names = ("performance", "accessibility", "content")
     rows = F.array(*[F.struct(F.lit(f"[adv] {n}").alias("module"), F.col(n).alias("score")) for n in names])
@@ -999,8 +1000,8 @@ def _(spark, d):
 
 
 def _layer_table(spark, d) -> DataFrame:
-    sig, *others = _core_inputs(spark, d)
-    sig = written_table(sig, "signals")
+    _, *others = _core_inputs(spark, d)
+    sig = written_table(_signals(spark, d), "signals")
     modules = quality.module_scores(quality.performance(sig), quality.accessibility(sig), quality.content_quality(sig))
     validator = SD.site_summary(SD.page_reports(D.pages(spark, d)))
     return history.layer_scores(core.site_score(core.core_audit(sig, *others)), modules.drop("avg_score"), validator)
