@@ -599,7 +599,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return K.cannibalisation(_document_keywords(spark, d))
+    return K.cannibalisation(written_table(_document_keywords(spark, d), "keywords"))
 
 
 # edges between similar articles, then one article per step in order: it leads unless a leader is among its neighbours
