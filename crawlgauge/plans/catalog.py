@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from ..functions import colour as C
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import clusters as CL
