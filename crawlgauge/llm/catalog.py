@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from crawlgauge.llm.line_labels import op1_line_labels
+from crawlgauge.llm.mixing import op7_mixing
 from crawlgauge.llm.packing import op2_best_fit_packing
 from crawlgauge.llm.quality_grades import op9_quality_grades
 
 QUERIES = {
+    "op1_line_labels": op1_line_labels,
+    "op7_mixing": op7_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_quality_grades": op9_quality_grades,
 }

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from crawlgauge.llm.common import prepared, table, written
 
 CAPACITY = 1024
-OPEN_BINS = 1024
-PIECES_PER_SHARD = 4096
+OPEN_BINS = 4096
+PIECES_PER_SHARD = 8192
 END_ID = 2
 TOKENIZER = "byte_bpe_50k"
 
