@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from crawlgauge.llm.line_labels import op1_line_labels
+from crawlgauge.llm.license_scan import OP4_SQL, op4_license_scan
+from crawlgauge.llm.line_spread import OP5_SQL, op5_line_spread
 from crawlgauge.llm.mixing import op7_mixing
 from crawlgauge.llm.packing import op2_best_fit_packing
 from crawlgauge.llm.quality_grades import op9_quality_grades
 
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
+    "op5_line_spread": op5_line_spread,
     "op1_line_labels": op1_line_labels,
     "op7_mixing": op7_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_quality_grades": op9_quality_grades,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op5_line_spread": OP5_SQL}
