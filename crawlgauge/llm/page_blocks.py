@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from crawlgauge.llm.common import prepared, table
 
-N_PAGES = 240
+N_PAGES = 160
 #: Blocks of a training page that are learned from; labelling reads all.
-TRAIN_BLOCKS = 48
+TRAIN_BLOCKS = 32
 HIDDEN = 20
-PATH_SLOTS, WORD_SLOTS, SIZES = 128, 32, 5
+PATH_SLOTS, WORD_SLOTS, SIZES = 512, 32, 5
 WIDTH = PATH_SLOTS + WORD_SLOTS + SIZES
 SEED = 11
 
@@ -167,7 +167,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         for word in words:
             code = zlib.crc32(word.encode("utf-8", "replace"))
             x[i, PATH_SLOTS + (code >> 1) % WORD_SLOTS] += 1 if code & 1 else -1
-        x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] /= max(1.0, float(np.sqrt(len(words))))
+        x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] /= 3 * max(1.0, float(np.linalg.norm(x[i, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS])))
         n = len(b.text)
         x[i, -SIZES:] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, b.linked / max(n, 1), i / len(blocks), sum(b.text.count(c) for c in ".,") / max(len(words), 1))
     return x
@@ -183,20 +183,20 @@ class BlockLabeller:
     def __init__(self, weights: dict[str, np.ndarray] | None = None, hidden: int = HIDDEN):
         draw = np.random.default_rng(SEED)
         self.hidden = hidden
-        self.w = weights or {
-            **{f"{d}x": draw.normal(0, 0.15, (WIDTH, 4 * hidden)) for d in "fb"},
+        self.w = weights or {k: w.astype(np.float32) for k, w in {
+            **{f"{d}x": draw.normal(0, 0.08, (WIDTH, 4 * hidden)) for d in "fb"},
             **{f"{d}h": draw.normal(0, 0.2, (hidden, 4 * hidden)) for d in "fb"},
             **{f"{d}c": np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)]) for d in "fb"},
             "o": draw.normal(0, 0.3, 2 * hidden),
             "o0": np.zeros(1),
-        }
+        }.items()}
 
     def _run(self, x: np.ndarray, on: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         """States over (pages, blocks); blocks that are padding keep the state. ``x`` is in reading order for ``d``."""
         n, t, k = len(x), x.shape[1], self.hidden
         given = x @ self.w[f"{d}x"] + self.w[f"{d}c"]
-        h, c = np.zeros((n, k)), np.zeros((n, k))
-        states, kept = np.zeros((n, t, k)), []
+        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        states, kept = np.zeros((n, t, k), np.float32), []
         for i in range(t):
             z = given[:, i] + h @ self.w[f"{d}h"]
             a, f, o, g = sigmoid(z[:, :k]), sigmoid(z[:, k : 2 * k]), sigmoid(z[:, 2 * k : 3 * k]), np.tanh(z[:, 3 * k :])
@@ -210,7 +210,7 @@ class BlockLabeller:
 
     def _back(self, x: np.ndarray, kept: list, d_states: np.ndarray, d: str) -> dict[str, np.ndarray]:
         n, t, k = len(x), x.shape[1], self.hidden
-        d_given, d_wh = np.zeros((n, t, 4 * k)), np.zeros_like(self.w[f"{d}h"])
+        d_given, d_wh = np.zeros((n, t, 4 * k), np.float32), np.zeros_like(self.w[f"{d}h"])
         dh, dc = np.zeros((n, k)), np.zeros((n, k))
         for i in range(t - 1, -1, -1):
             h, c, a, f, o, g, new, live = kept[i]
@@ -222,11 +222,11 @@ class BlockLabeller:
             d_wh += h.T @ dz
             dh = np.where(live, dz @ self.w[f"{d}h"].T, dh)
             dc = np.where(live, dnew * f, dc)
-        return {f"{d}x": np.einsum("ntw,ntk->wk", x, d_given, optimize=True), f"{d}h": d_wh, f"{d}c": d_given.sum((0, 1))}
+        return {f"{d}x": x.reshape(-1, x.shape[2]).T @ d_given.reshape(-1, 4 * k), f"{d}h": d_wh, f"{d}c": d_given.sum((0, 1))}
 
     @staticmethod
     def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(pages), max(map(len, pages)), WIDTH))
+        x = np.zeros((len(pages), max(map(len, pages)), WIDTH), np.float32)
         on = np.zeros(x.shape[:2], bool)
         for i, p in enumerate(pages):
             x[i, : len(p)], on[i, : len(p)] = p, True
@@ -247,15 +247,15 @@ class BlockLabeller:
                 out[i] = p[row, : len(pages[i])]
         return out
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 16, batch: int = 40, rate: float = 0.02) -> BlockLabeller:
-        """Adam over batches, back-propagation through time, in a fixed order."""
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], rounds: int = 18, batch: int = 48, rate: float = 0.02) -> BlockLabeller:
+        """Adam over batches, back-propagation through time, in a fixed order, the step falling to nothing."""
         pairs = [(p, y) for p, y in zip(pages, labels, strict=True) if len(p)]
         if not pairs:
             return self
         m, v = ({k: np.zeros_like(w) for k, w in self.w.items()} for _ in range(2))
         draw, step = np.random.default_rng(SEED), 0
-        for _ in range(rounds):
-            order = draw.permutation(len(pairs))
+        for turn in range(rounds):
+            order, pace = draw.permutation(len(pairs)), rate * 0.5 * (1 + np.cos(np.pi * turn / rounds))
             for start in range(0, len(order), batch):
                 some = [pairs[i] for i in order[start : start + batch]]
                 x, on = self.padded([p for p, _ in some])
@@ -265,7 +265,7 @@ class BlockLabeller:
                 f, f_kept = self._run(x, on, "f")
                 b, b_kept = self._run(x[:, ::-1], on[:, ::-1], "b")
                 both = np.concatenate([f, b[:, ::-1]], axis=2)
-                gap = (sigmoid(both @ self.w["o"] + self.w["o0"]) - y) * on / on.sum()
+                gap = ((sigmoid(both @ self.w["o"] + self.w["o0"]) - y) * on / on.sum()).astype(np.float32)
                 d_both = gap[:, :, None] * self.w["o"]
                 k = self.hidden
                 grad = {"o": np.einsum("nt,ntk->k", gap, both), "o0": np.array([gap.sum()])}
@@ -275,34 +275,52 @@ class BlockLabeller:
                 for key, g in grad.items():
                     m[key] = 0.9 * m[key] + 0.1 * g
                     v[key] = 0.999 * v[key] + 0.001 * g * g
-                    self.w[key] = self.w[key] - rate * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
+                    self.w[key] = self.w[key] - pace * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
+#: Places of main text in the changed copies of training pages; None leaves the page's own.
+MAIN_PLACES = [
+    None, None, "article", "main/article", "main", "main.content", "div.content", "div.page/div.content", "div.post", "div.container/div.entry", "section.story", "div.wrapper/main/article.post",
+]
+MAIN_LEAVES = ["p", "p", "p", "p", "h1", "h2", "h3", "ul/li", "ul/li", "ol/li", "blockquote", "table/tr/td", "pre", "section/p", "div", "figure/figcaption", "div/p", "p/b", "p/em", "h2/b"]
+FOREIGN_LEAVES = ["p", "p", "ul/li", "ul/li/a", "div", "h2", "h3", "span", "a", "button", "form/label", "div/p", "p/b", "ol/li/p", "section/p", "div.text/p", "article/p", "article.item/h3"]
+COPIES = 3
+
+
+def _path(place: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    steps = [step.partition(".") for step in place.split("/")]
+    return tuple((tag, (name,) if name else ()) for tag, _, name in steps)
+
+
 def variants(blocks: list[Block], labels: np.ndarray, draw: np.random.Generator) -> list[tuple[list[Block], np.ndarray]]:
-    """The page as it is, and a copy that lost its semantic tags or has parts moved into foreign places."""
-    out = [(blocks, labels)]
-    kind = draw.integers(3)
-    if kind == 0:  # plain containers instead of the article
-        plain = {"article": "div", "main": "div", "section": "div"}
-        out.append(([Block(b.text, tuple((plain.get(t, t), n) for t, n in b.path), b.linked) for b in blocks], labels))
-    else:
-        names = sorted(FOREIGN_NAMES - {"nav"})
-        texts = [b for b in blocks if len(b.text) > 3]
-        copies, marks = list(blocks), list(labels)
-        for _ in range(int(draw.integers(1, 4))):
-            if not texts:
-                break
-            part = [texts[int(draw.integers(len(texts)))] for _ in range(int(draw.integers(1, 3)))]
-            tag = ("aside", "div", "section", "form", "header", "footer", "nav", "div", "div")[int(draw.integers(9))]
-            name = () if tag not in ("div", "section") else (names[int(draw.integers(len(names)))],)
-            outer = (("html", ()), ("body", ()))
-            if draw.integers(2) and any(labels):
-                inside = [b.path for b, y in zip(blocks, labels, strict=True) if y]
-                outer = tuple(inside[0][:-1])
+    """The page as it is, and copies whose main text stands elsewhere and which have foreign parts before, in and after it."""
+    pick = lambda some: some[int(draw.integers(len(some)))]
+    out, names, tags = [(blocks, labels)], sorted(FOREIGN_NAMES), sorted(FOREIGN_TAGS - {"head", "option"})
+    outer = (("html", ()), ("body", ()))
+    for _ in range(COPIES if blocks else 0):
+        place = pick(MAIN_PLACES)
+        copies, marks = [], []
+        for block, label in zip(blocks, labels, strict=True):
+            path = block.path
+            if label and place:
+                path = (*outer, *_path(place), *_path(pick(MAIN_LEAVES)))
+            linked = int(len(block.text) * draw.random() * 0.6) if label and draw.integers(3) == 0 else block.linked
+            copies.append(Block(block.text, path, linked))
+            marks.append(bool(label))
+        inside = next((b.path[:-1] for b, y in zip(copies, marks, strict=True) if y), outer)
+        if place:
+            inside = (*outer, *_path(place))
+        for _ in range(int(draw.integers(0, 6))):
+            part = (pick(tags), ()) if draw.integers(2) else (pick(["div", "div", "section", "aside", "ul", "p", "span", "table"]), (pick(names),) if draw.integers(3) else (pick(names), pick(names)))
+            above = inside if draw.integers(2) else outer
+            leaf = _path(pick(FOREIGN_LEAVES))
             at = int(draw.integers(len(copies) + 1))
-            copies[at:at] = [Block(b.text, (*outer, (tag, name), ("p", ())), 0) for b in part]
-            marks[at:at] = [False] * len(part)
+            added = [Block(pick(blocks).text, (*above, part, *leaf), 0) for _ in range(int(draw.integers(1, 5)))]
+            for b in added:
+                b.linked = len(b.text) if any(t == "a" for t, _ in b.path) else 0
+            copies[at:at] = added
+            marks[at:at] = [False] * len(added)
         out.append((copies, np.array(marks, bool)))
     return out
 
