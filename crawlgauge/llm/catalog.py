@@ -6,11 +6,13 @@ from crawlgauge.llm.line_labels import op1_line_labels
 from crawlgauge.llm.license_scan import OP4_SQL, op4_license_scan
 from crawlgauge.llm.line_spread import OP5_SQL, op5_line_spread
 from crawlgauge.llm.mixing import op7_mixing
+from crawlgauge.llm.near_copies import op3_near_copies
 from crawlgauge.llm.packing import op2_best_fit_packing
 from crawlgauge.llm.page_blocks import op10_page_blocks
 from crawlgauge.llm.quality_grades import op9_quality_grades
 
 QUERIES = {
+    "op3_near_copies": op3_near_copies,
     "op10_page_blocks": op10_page_blocks,
     "op4_license_scan": op4_license_scan,
     "op5_line_spread": op5_line_spread,

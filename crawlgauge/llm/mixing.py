@@ -26,8 +26,9 @@ from crawlgauge.llm.common import WORD_PATTERN, mix64, prepared, table, written
 
 BLOCK = 256
 SLOTS_PER_SHARD = 4096
-ROWS_PER_CHUNK = 20_000
+ROWS_PER_CHUNK = 4_000
 SHARDS_PER_CHUNK = 1_000
+SHARDS_PER_TASK = 64
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_REPEATS = 2
@@ -128,11 +129,11 @@ def sized(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
 
 
-def plan_of(sizes: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Plan, int]:
+def plan_of(sizes: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Plan, dict[str | None, int]]:
     rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    return Plan([(r["source"], r["size"]) for r in rows], block, seed), sum(r["n"] for r in rows)
+    return Plan([(r["source"], r["size"]) for r in rows], block, seed), {r["source"]: r["n"] for r in rows}
 
 
 def drawn_slots(spark, plan: Plan, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
@@ -147,8 +148,8 @@ def drawn_slots(spark, plan: Plan, per_shard: int = SLOTS_PER_SHARD) -> DataFram
                 counts = np.random.default_rng([seed, int(shard)]).multinomial(per_shard, chance / chance.sum())
                 yield pd.DataFrame({"rank": np.arange(n_sources, dtype=np.int32), "shard": int(shard), "chunk": int(shard) // SHARDS_PER_CHUNK, "n": counts.astype(np.int64)})
 
-    many = max(1, min(shards, 200))
-    counts = spark.range(0, shards, 1, many).mapInPandas(draw, "rank int, shard long, chunk long, n long")
+    many = max(1, shards // SHARDS_PER_TASK)
+    counts = written(spark.range(0, shards, 1, many).mapInPandas(draw, "rank int, shard long, chunk long, n long"), "draws")
     started = with_starts(counts, ["rank"], "chunk", ["shard"], "n", "first")
     # what no shard drew goes to closing shards behind the others
     wanted = spark.createDataFrame([(i, int(n)) for i, n in enumerate(slots)], "rank int, wanted long")
@@ -178,14 +179,14 @@ def drawn_slots(spark, plan: Plan, per_shard: int = SLOTS_PER_SHARD) -> DataFram
     return ranges.mapInPandas(lay, "shard long, rank int, slot long, block long, words long")
 
 
-def taken_parts(sizes: DataFrame, plan: Plan, n_rows: int, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+def taken_parts(sizes: DataFrame, plan: Plan, n_rows: dict[str | None, int], per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """One row per document row and block of it: the document's columns, rank, start (in its source's stream),
     lo, hi (its words there, from 0), and slot and upto (words up to which the slot takes it), null if not taken."""
     spark, block = sizes.sparkSession, plan.block
-    ranks = spark.createDataFrame([(s, i) for i, s in enumerate(plan.sources)], "source string, rank int")
-    chunks = max(1, math.ceil(n_rows / ROWS_PER_CHUNK))
-    ranked = sizes.alias("s").join(F.broadcast(ranks).alias("k"), F.col("s.source").eqNullSafe(F.col("k.source"))).select("s.doc_id", "s.size", "s.text_hash", "k.rank")
-    filled = ranked.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(chunks)).cast("long"))
+    chunks = [max(1, math.ceil(n_rows.get(s, 0) / ROWS_PER_CHUNK)) for s in plan.sources]
+    ranks = spark.createDataFrame([(s, i, c) for i, (s, c) in enumerate(zip(plan.sources, chunks, strict=True))], "source string, rank int, chunks long")
+    ranked = sizes.alias("s").join(F.broadcast(ranks).alias("k"), F.col("s.source").eqNullSafe(F.col("k.source"))).select("s.doc_id", "s.size", "s.text_hash", "k.rank", "k.chunks")
+    filled = ranked.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("chunks"))).drop("chunks")
     placed = with_starts(filled, ["rank"], "chunk", ["doc_id", "text_hash"], "size", "start").drop("chunk")
     parts = placed.select(
         "*", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block")
