@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from crawlgauge.llm.line_labels import op1_line_labels
+from crawlgauge.llm.dimension_scan import op8_dimension_scan
 from crawlgauge.llm.license_scan import OP4_SQL, op4_license_scan
 from crawlgauge.llm.line_spread import OP5_SQL, op5_line_spread
 from crawlgauge.llm.mixing import op7_mixing
@@ -12,6 +13,7 @@ from crawlgauge.llm.page_blocks import op10_page_blocks
 from crawlgauge.llm.quality_grades import op9_quality_grades
 
 QUERIES = {
+    "op8_dimension_scan": op8_dimension_scan,
     "op3_near_copies": op3_near_copies,
     "op10_page_blocks": op10_page_blocks,
     "op4_license_scan": op4_license_scan,
