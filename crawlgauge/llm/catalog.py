@@ -11,8 +11,10 @@ from crawlgauge.llm.near_copies import op3_near_copies
 from crawlgauge.llm.packing import op2_best_fit_packing
 from crawlgauge.llm.page_blocks import op10_page_blocks
 from crawlgauge.llm.quality_grades import op9_quality_grades
+from crawlgauge.llm.repeated_spans import op6_repeated_spans
 
 QUERIES = {
+    "op6_repeated_spans": op6_repeated_spans,
     "op8_dimension_scan": op8_dimension_scan,
     "op3_near_copies": op3_near_copies,
     "op10_page_blocks": op10_page_blocks,
