@@ -79,14 +79,19 @@ def types_anywhere(v: Column) -> Column:
     return F.array_distinct(each)
 
 
-def declared_types(v: Column, levels: int = 4) -> Column:
-    """Types declared at the top, in lists and inside @graph (down to ``levels``), not in other nested fields."""
-    nodes = F.array(v)
-    every = nodes
-    for _ in range(levels):
-        nodes = F.flatten(F.transform(nodes, _inner_nodes))
-        every = F.concat(every, nodes)
-    return F.array_distinct(F.array_compact(F.flatten(F.transform(every, _own_types))))
+def declared_types(v: Column) -> Column:
+    """Types declared at the top, in lists and inside @graph at any depth, not in other nested fields.
+
+    Lists are opened level by level; a value has no more levels than opening brackets.
+    """
+    brackets = F.coalesce(F.regexp_count(F.to_json(v), F.lit(r"\[")), F.lit(0))
+    start = F.struct(F.array(v).alias("nodes"), F.array().cast("array<string>").alias("types"))
+
+    def deeper(s: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(s["nodes"], _own_types))
+        return F.struct(F.flatten(F.transform(s["nodes"], _inner_nodes)).alias("nodes"), F.concat(s["types"], found).alias("types"))
+
+    return F.aggregate(F.sequence(F.lit(0), brackets), start, deeper, lambda s: F.array_distinct(F.array_compact(s["types"])))
 
 
 def _inner_nodes(n: Column) -> Column:

@@ -46,6 +46,23 @@ LATIN = Readability(
 )
 
 
+#: Rules by language code; other languages take ``LATIN``.
+READABILITY = {"pl": POLISH}
+
+
+def by_language(lang: Column, measure) -> Column:
+    """``measure(rules)`` by the row's language, with the fallback for languages without rules of their own."""
+    out = None
+    for code, rules in READABILITY.items():
+        out = F.when(lang == code, measure(rules)) if out is None else out.when(lang == code, measure(rules))
+    return out.otherwise(measure(LATIN))
+
+
+def rule_name(lang: Column) -> Column:
+    """Which rules ``by_language`` takes."""
+    return by_language(lang, lambda rules: F.lit(rules.name))
+
+
 def words(text: Column) -> Column:
     return find_all(text, WORD)
 

@@ -72,20 +72,18 @@ def robots_directives(robots: DataFrame) -> DataFrame:
     )
 
 
-def compat_status(content: Column, bot: Column) -> Column:
+def compat_status(content: Column, bot: str) -> Column:
     """The line-block verdict: the text from the bot's first User-agent line up to the next one decides.
 
     In grouped records all bots but the last get an empty block there and pass; ``robots_verdicts`` reports this
     next to the group-aware status.
     """
-    pattern = F.concat(
-        F.lit(r"(?iU)User-agent:\s*\Q"), bot, F.lit(r"\E\b((?:[^\n]*\n(?!\s*User-agent:|\s*\z))*+[^\n]*)")
-    )
-    block = F.lower(F.call_function("regexp_extract", content, pattern, F.lit(1)))
+    pattern = rf"(?iU)User-agent:\s*\Q{bot}\E\b((?:[^\n]*\n(?!\s*User-agent:|\s*\z))*+[^\n]*)"
+    block = F.lower(F.regexp_extract(content, pattern, 1))
     cleaned = F.regexp_replace(block, r"(?U)disallow:\s*/(data|admin|api|private)\b[^\n]*", "")
     closed = cleaned.rlike(r"(?mdU)disallow:\s*/\s*$")
-    named = F.contains(F.lower(content), F.lower(bot))
-    return F.when(~named, "fail").when(F.rlike(content, pattern) & ~closed, "ok").otherwise("warn")
+    named = F.contains(F.lower(content), F.lit(bot.lower()))
+    return F.when(~named, "fail").when(content.rlike(pattern) & ~closed, "ok").otherwise("warn")
 
 
 def robots_verdicts(robots: DataFrame) -> DataFrame:
@@ -104,14 +102,14 @@ def robots_verdicts(robots: DataFrame) -> DataFrame:
         .groupBy("site", "agent")
         .agg(F.bool_or("blocked").alias("blocked"))
     )
-    bots = F.array(*[F.lit(name) for name, _, _ in AI_BOTS])
-    asked = robots.select("site", "content", F.posexplode(bots).alias("ord", "bot")).select(
-        "site",
-        "ord",
-        "bot",
-        F.lower("bot").alias("agent"),
-        compat_status(F.col("content"), F.col("bot")).alias("compat_status"),
+    # one literal pattern for each crawler: compiled once, not for each row
+    bots = F.array(
+        *[
+            F.struct(F.lit(i).alias("ord"), F.lit(name).alias("bot"), F.lit(name.lower()).alias("agent"), compat_status(F.col("content"), name).alias("compat_status"))
+            for i, (name, _, _) in enumerate(AI_BOTS)
+        ]
     )
+    asked = each(robots, ["site"], bots, "b").select("site", "b.*")
     status = F.when(F.col("blocked").isNull(), "fail").when(F.col("blocked"), "warn").otherwise("ok")
     return asked.join(agents, ["site", "agent"], "left").select(
         "site", "ord", "bot", status.alias("status"), "compat_status"

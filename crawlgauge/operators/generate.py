@@ -41,44 +41,47 @@ def page_description(html: Column, fallback: Column) -> Column:
     return _or(F.regexp_extract(html, GENERATOR_DESCRIPTION, 1), H.first_long_paragraph(html), fallback)
 
 
-def _lines(column: str) -> Column:
-    """Collected (path, page_id, text) structs in path order, one text per line."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda s: s["text"]), "\n")
+FILE_ROWS = ("site", "path", "part", "page_path", "page_id", "text")
 
 
-def llms_txt(pages: DataFrame, about: DataFrame, max_pages: int = 200) -> DataFrame:
-    """Index of the first ``max_pages`` pages by path, error pages left out."""
-    rel = relative_path(F.col("path"))
-    first = first_per_site(pages.select("site", "page_id", "path", "html"), max_pages, "path", "page_id")
-    kept = first.withColumn("rel", rel).where(~F.col("rel").isin(*ERROR_PAGES))
-    named = per_site_join(kept, about.select("site", "base_url"), ["page_id"])
-    line = F.concat(
-        F.lit("- ["), _or(H.title(F.col("html")), F.col("rel")), F.lit("]("), "base_url", F.lit("/"), "rel", F.lit(")")
-    )
-    listed = named.select("site", F.struct("path", "page_id", line.alias("text")).alias("l")).groupBy("site").agg(
-        _lines("l").alias("articles")
-    )
-    head = F.concat(F.lit("# "), "site_name", F.lit("\n\n> "), "description", F.lit("\n\n## Articles\n\n"))
-    return about.join(listed, "site").select(
-        "site", F.lit("llms.txt").alias("path"), F.concat(head, "articles", F.lit("\n")).alias("content")
+def joined_files(rows: DataFrame) -> DataFrame:
+    """(site, path, content): the rows of each file joined. For sites whose files fit into one cell; the rows themselves,
+    written in order by ``sinks.write_file_rows``, are the form that holds for any size."""
+    lines = F.array_sort(F.collect_list(F.struct("part", "page_path", "page_id", "text")))
+    return rows.groupBy("site", "path").agg(F.concat(F.array_join(F.transform(lines, lambda s: s["text"]), "\n"), F.lit("\n")).alias("content"))
+
+
+def _with_head(lines: DataFrame, about: DataFrame, name: str, head: Column) -> DataFrame:
+    """File rows: the head (part 0) of every site that has lines, then a row for each page (part 1)."""
+    heads = about.join(lines.select("site").distinct(), "site", "left_semi").select(
+        "site", F.lit(0).alias("part"), F.lit("").alias("page_path"), F.lit(None).cast(lines.schema["page_id"].dataType).alias("page_id"), head.alias("text")
     )
+    every = heads.unionByName(lines.select("site", F.lit(1).alias("part"), F.col("path").alias("page_path"), "page_id", "text"))
+    return every.withColumn("path", F.lit(name)).select(*FILE_ROWS)
+
+
+def llms_txt(pages: DataFrame, about: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """llms.txt as file rows, a row for each page by path, error pages left out.
+
+    ``max_pages`` is the index's own option to list only the first pages; off unless asked for.
+    """
+    narrow = pages.select("site", "page_id", "path", H.title(F.col("html")).alias("title"))
+    first = narrow if max_pages is None else first_per_site(narrow, max_pages, "path", "page_id")
+    kept = first.withColumn("rel", relative_path(F.col("path"))).where(~F.col("rel").isin(*ERROR_PAGES))
+    named = per_site_join(kept, about.select("site", "base_url"), ["page_id"])
+    line = F.concat(F.lit("- ["), _or(F.col("title"), F.col("rel")), F.lit("]("), "base_url", F.lit("/"), "rel", F.lit(")"))
+    head = F.concat(F.lit("# "), "site_name", F.lit("\n\n> "), "description", F.lit("\n\n## Articles\n"))
+    return _with_head(named.withColumn("text", line), about, "llms.txt", head)
 
 
-def llms_full_txt(pages: DataFrame, about: DataFrame, max_pages: int = 100) -> DataFrame:
-    """Title and whole visible text of the first ``max_pages`` pages by path."""
-    first = first_per_site(pages.select("site", "page_id", "path", "html"), max_pages, "path", "page_id")
+def llms_full_txt(pages: DataFrame, about: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """llms-full.txt as file rows: title and whole visible text of each page by path. ``max_pages`` as in ``llms_txt``."""
+    first = pages if max_pages is None else first_per_site(pages, max_pages, "path", "page_id")
     body = H.without_blocks(F.col("html"), H.FULL_TEXT_BOILERPLATE)
     name = F.substring_index(relative_path(F.col("path")), "/", -1)
-    section = F.concat(
-        F.lit("\n## "), _or(H.title(F.col("html")), name), F.lit("\n\n"), H.visible_text(body), F.lit("\n")
-    )
-    listed = first.select("site", F.struct("path", "page_id", section.alias("text")).alias("l")).groupBy("site").agg(
-        _lines("l").alias("texts")
-    )
-    head = F.concat(F.lit("# "), "site_name", F.lit(" — full content\n\n> "), "description", F.lit("\n\n"))
-    return about.join(listed, "site").select(
-        "site", F.lit("llms-full.txt").alias("path"), F.concat(head, "texts").alias("content")
-    )
+    section = F.concat(F.lit("\n## "), _or(H.title(F.col("html")), name), F.lit("\n\n"), H.visible_text(body), F.lit("\n"))
+    head = F.concat(F.lit("# "), "site_name", F.lit(" — full content\n\n> "), "description", F.lit("\n"))
+    return _with_head(first.select("site", "page_id", "path", section.alias("text")), about, "llms-full.txt", head)
 
 
 def robots_txt(about: DataFrame, allow_ai: bool = True, disallowed=DISALLOWED) -> DataFrame:
@@ -93,7 +96,13 @@ def robots_txt(about: DataFrame, allow_ai: bool = True, disallowed=DISALLOWED) -
         "base_url",
         F.lit("/llms.txt, "),
         "base_url",
-        F.lit("/llms-full.txt\n"),
+        F.lit("/llms-full.txt\n\n# AI training data manifest\n# Allow: "),
+        "base_url",
+        F.lit("/llms.txt\n# Allow: "),
+        "base_url",
+        F.lit("/llms-full.txt\n# Allow: "),
+        "base_url",
+        F.lit("/ai.txt\n"),
     )
     return about.select("site", F.lit("robots.txt").alias("path"), content.alias("content"))
 
@@ -104,12 +113,12 @@ def _xml(text: Column) -> Column:
     return text
 
 
-def sitemap_entries(pages: DataFrame, about: DataFrame, max_images: int = 5) -> DataFrame:
+def sitemap_entries(pages: DataFrame, about: DataFrame) -> DataFrame:
     """One <url> element per page: (site, path, page_id, loc, priority, changefreq, lastmod, xml)."""
     rel, base, html = F.col("rel"), F.col("base_url"), F.col("html")
     home = rel == "index.html"
     loc = F.concat(base, F.regexp_replace(F.concat(F.lit("/"), rel), r"/index\.html$", "/"))
-    refs = F.slice(H.find_all(html, r"""<img[^>]+src=["']([^"']+)["']""", 1), 1, max_images)
+    refs = H.find_all(html, r"""<img[^>]+src=["']([^"']+)["']""", 1)
     absolute = F.transform(
         refs,
         lambda r: F.when(F.startswith(r, F.lit("http")), r)
@@ -154,31 +163,28 @@ SITEMAP_OPEN = (
 
 
 def sitemap_files(entries: DataFrame, per_file: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """sitemap.xml per site, or numbered parts of about ``per_file`` URLs when a site is larger.
+    """Numbered parts, sitemap-1.xml and so on, of about ``per_file`` URLs each; ``sitemap_index`` lists them.
 
-    Parts are cut by a hash of the page, so a large site is written by many tasks; 20 000 keeps parts well under
-    the protocol's 50 000 URLs. ``sitemap_index`` lists the parts.
+    All sites get parts and an index, whatever their size. Parts are cut by a hash of the page, so a large site is
+    written by many tasks; 20 000 keeps parts well under the protocol's 50 000 URLs.
     """
     sizes = entries.groupBy("site").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / per_file).cast("int"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("n") / per_file).cast("bigint"))
     placed = lookup_join(entries, sizes, ["site"], "n", ["path", "page_id"], "inner", hot_rows=hot_rows)
-    numbered = placed.withColumn("part", F.pmod(F.xxhash64("path", "page_id"), F.col("parts")).cast("int"))
-    listed = (
-        numbered.select("site", "parts", "part", F.struct("path", "page_id", F.col("xml").alias("text")).alias("l"))
-        .groupBy("site", "parts", "part")
-        .agg(_lines("l").alias("urls"))
-    )
-    name = F.when(F.col("parts") == 1, "sitemap.xml").otherwise(
-        F.concat(F.lit("sitemap-"), (F.col("part") + 1).cast("string"), F.lit(".xml"))
-    )
+    code = F.conv(F.left(F.md5(F.concat_ws("#", "path", "page_id")), F.lit(8)), 16, 10).cast("bigint")
+    numbered = placed.withColumn("part", F.pmod(code, F.col("parts")) + 1)
+    urls = F.array_sort(F.collect_list(F.struct("path", "page_id", F.col("xml").alias("text"))))
+    listed = numbered.groupBy("site", "part").agg(F.array_join(F.transform(urls, lambda s: s["text"]), "\n").alias("urls"))
     return listed.select(
-        "site", name.alias("path"), F.concat(F.lit(SITEMAP_OPEN), "urls", F.lit("\n</urlset>")).alias("content")
+        "site",
+        F.concat(F.lit("sitemap-"), F.col("part").cast("string"), F.lit(".xml")).alias("path"),
+        F.concat(F.lit(SITEMAP_OPEN), "urls", F.lit("\n</urlset>")).alias("content"),
     )
 
 
 def sitemap_index(files: DataFrame, about: DataFrame) -> DataFrame:
-    """sitemap.xml of the sites whose sitemap has several parts."""
-    parts = files.where(F.col("path") != "sitemap.xml").select("site", "path")
+    """sitemap.xml of every site: the list of its parts."""
+    parts = files.select("site", "path")
     base = parts.join(about.select("site", "base_url"), "site")
     line = F.concat(F.lit("  <sitemap><loc>"), "base_url", F.lit("/"), "path", F.lit("</loc></sitemap>"))
     return base.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("parts")).select(

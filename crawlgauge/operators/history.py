@@ -79,11 +79,8 @@ def first_changes(changes: DataFrame, key: str, n: int = 10) -> DataFrame:
     return top_per_group(changes, ["site", "run_ts", "change"], [key], n)
 
 
-def diff_status(layers: DataFrame, failures: DataFrame, types: DataFrame, max_listed: int = 10) -> DataFrame:
-    """Regressions, improvements and status per site and run.
-
-    At most ``max_listed`` failure changes of each kind count, as in the report.
-    """
+def diff_status(layers: DataFrame, failures: DataFrame, types: DataFrame) -> DataFrame:
+    """Regressions, improvements and status per site and run; all changes count, whatever the report lists."""
 
     def counted(df: DataFrame, bad: Column, good: Column) -> DataFrame:
         return df.groupBy("site", "run_ts").agg(
@@ -93,12 +90,6 @@ def diff_status(layers: DataFrame, failures: DataFrame, types: DataFrame, max_li
     change = F.col("change")
     by_layer = counted(layers, change == "regression", change == "improvement")
     by_failure = counted(failures, change == "new", change == "gone")
-    by_failure = by_failure.select(
-        "site",
-        "run_ts",
-        F.least(F.col("regressions"), F.lit(max_listed)).alias("regressions"),
-        F.least(F.col("improvements"), F.lit(max_listed)).alias("improvements"),
-    )
     by_type = counted(types, change == "gone", change == "new")
     totals = (
         by_layer.unionByName(by_failure)
@@ -125,11 +116,24 @@ def score_trend(runs: DataFrame, order=("run_ts",), period: str = "month") -> Da
     return changes.withColumn("label", F.date_format("run_ts", "yyyy-MM-dd HH:mm"))
 
 
+def composite_trend(scores: DataFrame, order=("run_ts",), period: str = "month") -> DataFrame:
+    """Composite score of each run with the one before: (site, run_ts, score, prev_score, delta, label)."""
+    runs = composite(scores).select("site", F.lit("composite").alias("layer"), *order, F.col("composite").cast("double").alias("score"))
+    return score_trend(runs, order, period).drop("layer", "change")
+
+
 def finding_counts(findings: DataFrame) -> DataFrame:
-    """ok / fail / warn over all findings, per site."""
+    """ok / fail / warn over all findings of all modules, per site."""
     return findings.groupBy("site").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("ok", "fail", "warn")])
 
 
+def after_core(findings: DataFrame) -> DataFrame:
+    """Findings of the quality modules with report positions behind those of the core audit, module by module."""
+    place = {"performance": 1000, "accessibility": 2000, "content": 3000}
+    offset = F.coalesce(*[F.when(F.col("module") == m, n) for m, n in place.items()], F.lit(4000))
+    return findings.withColumn("ord", F.col("ord") + offset)
+
+
 def top_recommendations(findings: DataFrame, n: int = 10) -> DataFrame:
     """First ``n`` problems per site: fails in report order, then warnings."""
     problems = findings.where(F.col("status").isin("fail", "warn"))

@@ -14,26 +14,41 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.rows import each
 from ..functions.scoring import band, mean_of_present, whole
+from ..session import written_table
 from ..sources.dimensions import STOPWORDS
-from .skew import HOT_ROWS, lookup_join, per_site_join, shuffle_width, top_per_group
+from .skew import HOT_ROWS, lookup_join, per_site_join, top_per_group
 
 DOC = ["site", "doc"]
 
 
-def article_terms(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
+#: Pages with fewer words (indexes, error pages) are not articles.
+MIN_WORDS = 100
+
+
+def long_enough(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Articles of at least ``min_words`` words; all measures of a site are over these."""
+    return articles.where(F.col("word_count") >= min_words)
+
+
+def article_terms(articles: DataFrame, stopwords=STOPWORDS, boost: bool = False) -> DataFrame:
     """Term counts: (site, doc, word_count, term, tf, first_pos) for 1- to 3-grams of the filtered tokens.
 
-    Articles are partitioned by (site, doc) first: the text moves once, and the counts per (site, doc, term) need no
-    further shuffle. The number of partitions is set, because the rows grow many times after it and adaptive
-    execution would merge partitions by the size of the text. ``first_pos`` counts through all 1-grams, then
-    2-grams, then 3-grams, so it also orders terms by length.
+    An article is one row, so its terms are counted in the task that reads it and only counts are shuffled, never text.
+    ``first_pos`` counts through all 1-grams, then 2-grams, then 3-grams, so it also orders terms by length. With
+    ``boost`` also in_boost and in_title: whether the term is in the boosted texts, and in title or h1.
     """
-    placed = articles.select(*DOC, "word_count", "body_text").repartition(shuffle_width(articles), *DOC)
-    return (
-        each(_grams(placed, stopwords), [*DOC, "word_count"], "grams", "term", "pos")
-        .groupBy(*DOC, "word_count", "term")
-        .agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
-    )
+    kept = [*DOC, "word_count"]
+    source = articles.select(*kept, "body_text", *(_boost_columns() if boost else []))
+    marks = ["boost_text", "title_text", "h1_text"] if boost else []
+    rows = each(_grams(source, stopwords), [*kept, *marks], "grams", "term", "pos")
+    counts = [F.count("*").alias("tf"), F.min("pos").alias("first_pos")]
+    if boost:
+        term = F.col("term")
+        rows = rows.select(
+            *kept, "term", "pos", F.contains("boost_text", term).alias("_b"), (F.contains("title_text", term) | F.contains("h1_text", term)).alias("_t")
+        )
+        counts += [F.bool_or("_b").alias("in_boost"), F.bool_or("_t").alias("in_title")]
+    return rows.groupBy(*kept, "term").agg(*counts)
 
 
 def _grams(articles: DataFrame, stopwords) -> DataFrame:
@@ -45,15 +60,9 @@ def _grams(articles: DataFrame, stopwords) -> DataFrame:
     )
 
 
-def document_frequency(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
-    """(site, term, df): how many articles of the site have the term.
-
-    The terms of an article are made distinct in its own row, so the only shuffle is the one by term, after partial
-    counts.
-    """
-    placed = articles.select(*DOC, "body_text").repartition(shuffle_width(articles), *DOC)
-    distinct = _grams(placed, stopwords).select("site", F.array_distinct("grams").alias("grams"))
-    return each(distinct, ["site"], "grams", "term").groupBy("site", "term").agg(F.count("*").alias("df"))
+def document_frequency(terms: DataFrame) -> DataFrame:
+    """(site, term, df): how many articles of the site have the term; ``terms`` as of ``article_terms``."""
+    return terms.groupBy("site", "term").agg(F.count("*").alias("df"))
 
 
 def _with_idf(rows: DataFrame, articles: DataFrame, spread_by: list[str], hot_rows: int) -> DataFrame:
@@ -66,20 +75,15 @@ def _with_idf(rows: DataFrame, articles: DataFrame, spread_by: list[str], hot_ro
 
 def idf(articles: DataFrame, stopwords=STOPWORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(site, term, df, n, idf) for every term."""
-    return _with_idf(document_frequency(articles, stopwords), articles, ["term"], hot_rows)
+    return _with_idf(document_frequency(article_terms(articles, stopwords)), articles, ["term"], hot_rows)
 
 
-def _boost(articles: DataFrame) -> DataFrame:
+def _boost_columns() -> list[Column]:
     """Lower-case texts in which a term counts more."""
     every = F.concat(
         F.array("title", "h1"), F.col("h2_list"), F.array("meta_description"), F.col("article_tags")
     )
-    return articles.select(
-        *DOC,
-        F.lower(F.array_join(every, " ")).alias("boost_text"),
-        F.lower("title").alias("title_text"),
-        F.lower("h1").alias("h1_text"),
-    )
+    return [F.lower(F.array_join(every, " ")).alias("boost_text"), F.lower("title").alias("title_text"), F.lower("h1").alias("h1_text")]
 
 
 def keywords(
@@ -89,19 +93,14 @@ def keywords(
 
     A term needs tf >= 2. Score is tf / words * idf * 1000, times 3 inside the boosted texts, times 2 inside title
     or h1. Ranked by the score rounded to 9 decimals, then by first position; the rounding keeps equal scores equal
-    whatever order they were computed in.
+    whatever order they were computed in. The term counts are written once and read for both uses.
     """
-    frequent = article_terms(articles, stopwords).where(F.col("tf") >= 2)
-    counted = lookup_join(
-        frequent, document_frequency(articles, stopwords), ["site", "term"], "df", ["doc"], hot_rows=hot_rows
-    )
+    terms = written_table(article_terms(articles, stopwords, boost), "terms")
+    counted = lookup_join(terms.where(F.col("tf") >= 2), document_frequency(terms), ["site", "term"], "df", ["doc"], hot_rows=hot_rows)
     known = _with_idf(counted, articles, ["doc", "term"], hot_rows)
     score = F.col("tf") / F.greatest(F.col("word_count"), F.lit(1)) * F.col("idf") * 1000
     if boost:
-        known = known.join(_boost(articles), DOC)
-        term = F.col("term")
-        in_title = F.contains("title_text", term) | F.contains("h1_text", term)
-        score = score * F.when(F.contains("boost_text", term), 3).otherwise(1) * F.when(in_title, 2).otherwise(1)
+        score = score * F.when(F.col("in_boost"), 3).otherwise(1) * F.when(F.col("in_title"), 2).otherwise(1)
     scored = known.select(*DOC, "term", "first_pos", "idf", F.round(score, 9).alias("score"))
     top = top_per_group(scored, DOC, [F.desc("score"), "first_pos"], top_k)
     return top.select(*DOC, "rank", "term", "score", "idf")
@@ -168,67 +167,33 @@ def _phrase(question: Column, stopwords) -> Column:
     return F.array_join(F.slice(kept, 1, 3), " ")
 
 
-def _title_pieces(title: Column) -> Column:
-    """Every part of a title that a phrase of one to three words could equal: (end of a word) word (start of a word).
-
-    A title has one such piece per pair of cut points in neighbouring words, so the number is bounded by the title.
-    """
-    title_words = F.split(F.lower(title), " ")
-
-    def inner(w: Column) -> Column:
-        """Parts of one word, 8 characters or longer (shorter phrases are never asked)."""
-        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - 7, F.lit(1)))
-        return F.flatten(
-            F.transform(
-                starts,
-                lambda s: F.transform(
-                    F.sequence(F.lit(8), F.greatest(F.length(w) - s + 1, F.lit(8))), lambda n: F.substring(w, s, n)
-                ),
-            )
-        )
-
-    def ends(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.length(w)))
-
-    def starts(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, F.lit(1), i))
+#: Phrases are looked up by their first characters; shorter phrases are never asked.
+SHINGLE = 8
 
-    def crossed(left: Column, glue: Column, right: Column) -> Column:
-        return F.flatten(F.transform(ends(left), lambda a: F.transform(starts(right), lambda b: F.concat(a, glue, b))))
 
-    n = F.size(title_words)
-    one = F.flatten(F.transform(title_words, inner))
-    two = F.flatten(
-        F.transform(
-            F.filter(F.arrays_zip(title_words.alias("a"), F.slice(title_words, 2, n).alias("b")), lambda p: p["b"].isNotNull()),
-            lambda p: crossed(p["a"], F.lit(" "), p["b"]),
-        )
-    )
-    triples = F.arrays_zip(
-        title_words.alias("a"), F.slice(title_words, 2, n).alias("b"), F.slice(title_words, 3, n).alias("c")
-    )
-    three = F.flatten(
-        F.transform(
-            F.filter(triples, lambda p: p["c"].isNotNull()),
-            lambda p: crossed(p["a"], F.concat(F.lit(" "), p["b"], F.lit(" ")), p["c"]),
-        )
-    )
-    return F.array_distinct(F.filter(F.concat(one, two, three), lambda s: F.length(s) >= 8))
+def _title_shingles(title: Column) -> Column:
+    """Every run of ``SHINGLE`` characters of a title: as many as it has characters."""
+    low = F.lower(title)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (SHINGLE - 1), F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(starts, lambda i: F.substring(low, i, F.lit(SHINGLE))), lambda x: F.length(x) == SHINGLE))
 
 
 def open_questions(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """H2 questions whose phrase is in no title of the site: (site, doc, pos, question, phrase).
 
-    "In no title" is a substring test; it becomes an equality join by listing the pieces of each title that could
-    equal a phrase. Pieces are made distinct before the join, so both sides are free of repeated keys on the right.
+    "In no title" is a substring test. A title that holds a phrase holds its first ``SHINGLE`` characters, so titles meet
+    phrases by an equality join on those, and only the few that meet are tested. Both sides are distinct before.
     """
     asked = (
         each(articles, DOC, "h2_list", "question", "pos")
         .where(F.contains("question", F.lit("?")))
         .withColumn("phrase", _phrase(F.col("question"), stopwords))
-        .where(F.length("phrase") >= 8)
+        .where(F.length("phrase") >= SHINGLE)
     )
-    covered = each(articles, ["site"], _title_pieces(F.col("title")), "phrase").distinct()
+    titles = articles.select("site", F.lower("title").alias("title")).distinct()
+    pieces = each(titles, ["site", "title"], _title_shingles(F.col("title")), "start")
+    phrases = asked.select("site", "phrase", F.substring("phrase", 1, SHINGLE).alias("start")).distinct()
+    covered = phrases.join(pieces, ["site", "start"]).where(F.contains("title", F.col("phrase"))).select("site", "phrase").distinct()
     return asked.join(covered, ["site", "phrase"], "left_anti")
 
 

@@ -181,8 +181,10 @@ def heading_steps(pages: DataFrame) -> DataFrame:
     )
 
 
-def worst_contrast(css_files: DataFrame, n_files: int | None = 5) -> DataFrame:
-    """The text / background colour pair of each site with the lowest contrast.
+def worst_contrast(css_files: DataFrame, n_files: int | None = None) -> DataFrame:
+    """The text / background colour pair of each site with the lowest contrast, over all its stylesheets.
+
+    ``n_files`` reads only the first ones by path.
 
     Contrast falls with the distance of luminance, so the worst partner of a text colour is its nearest background
     neighbour in luminance order, above or below: no colour pairs are formed. Equal colours (ignoring case) are not

@@ -88,11 +88,13 @@ def jsonld_columns(html: Column) -> dict[str, Column]:
     }
 
 
-def is_article(path: Column, html: Column) -> Column:
-    """Article pages by address or by the word in the first 1000 characters (the rule's own window)."""
-    return F.contains(F.lower(path), F.lit("/artykul")) | F.contains(
-        F.substring(F.lower(html), 1, 1000), F.lit("article")
-    )
+#: Characters of a page in which the word "article" makes it one; the rule's own window.
+ARTICLE_WINDOW = 1000
+
+
+def is_article(path: Column, html: Column, window: int = ARTICLE_WINDOW) -> Column:
+    """Article pages by address, or by the word "article" in the first ``window`` characters."""
+    return F.contains(F.lower(path), F.lit("/artykul")) | F.contains(F.substring(F.lower(html), 1, window), F.lit("article"))
 
 
 def freshness_columns(published: Column, modified: Column, as_of) -> dict[str, Column]:

@@ -9,12 +9,6 @@ from pyspark.sql.window import Window
 HOT_ROWS = 1_000_000
 
 
-def shuffle_width(df: DataFrame) -> int:
-    """The session's number of shuffle partitions, at least one per core."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def lookup_join(
     big: DataFrame,
     lookup: DataFrame,

@@ -54,11 +54,11 @@ def _signals(spark, d) -> DataFrame:
 
 
 def _articles(spark, d) -> DataFrame:
-    return signals.article_fields(D.pages(spark, d))
+    return K.long_enough(signals.article_fields(D.pages(spark, d)))
 
 
 def _documents(spark, d) -> DataFrame:
-    return signals.document_articles(tables.spread(D.table(spark, d, "documents"), "doc_id"))
+    return K.long_enough(signals.document_articles(tables.spread(D.table(spark, d, "documents"), "doc_id")))
 
 
 def _document_keywords(spark, d) -> DataFrame:
@@ -426,17 +426,7 @@ def _(spark, d):
 
 @query(
     "worst_contrast_b05_b06_j07",
-    O.sql(
-        f"""SELECT site, t AS text_colour, b AS background_colour, round(ratio, 6) AS ratio,
- CASE WHEN ratio >= 7 THEN 'AAA' WHEN ratio >= 4.5 THEN 'AA' WHEN ratio >= 3 THEN 'large_text_only' ELSE 'fail' END AS band FROM (
- SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(ratio, 9), t, b) AS rn FROM (
- SELECT site, t, b, (greatest({O.luminance('t')}, {O.luminance('b')}) + 0.05) / (least({O.luminance('t')}, {O.luminance('b')}) + 0.05) AS ratio
- FROM (SELECT site, unnest(regexp_extract_all(content, '--color-(text|ink|fg)[^:]*:\\s*(#[0-9a-fA-F]+)', 2)) AS t FROM css)
- JOIN (SELECT site, unnest(regexp_extract_all(content, '--color-(bg|background|surface)[^:]*:\\s*(#[0-9a-fA-F]+)', 2)) AS b FROM css) USING (site)
- WHERE lower(t) <> lower(b))) WHERE rn = 1""",
-        sites=O.SITES,
-        css=O.CSS,
-    ),
+    O.sql("SELECT * FROM contrast", sites=O.SITES, css=O.CSS, contrast=O.CONTRAST),
 )
 def _(spark, d):
     return quality.worst_contrast(D.css_files(spark, d)).withColumn("ratio", F.round("ratio", 6))
@@ -465,16 +455,19 @@ def _(spark, d):
 
 @query(
     "readability_b11_b13",
-    f"""SELECT doc_id, w AS n_words, n AS n_sentences, h AS n_hard, round((w / n + h / w * 100) / 3, 6) AS fog FROM (
- SELECT doc_id, {O.n_of('text', O.WORD)} AS w, {O.sentence_count('text')} AS n, {O.hard_words('text')} AS h FROM documents)""",
+    f"""SELECT doc_id, rule, w AS n_words, n AS n_sentences, h AS n_hard, round((w / n + h / w * 100) / 3, 6) AS fog FROM (
+ SELECT doc_id, 'pl' AS rule, {O.n_of('text', O.WORD)} AS w, {O.sentence_count('text')} AS n, {O.hard_words('text')} AS h FROM documents WHERE lang = 'pl'
+ UNION ALL SELECT doc_id, 'latin', {O.n_of('text', O.WORD)}, {O.latin_sentence_count('text')}, {O.latin_hard_words('text')} FROM documents WHERE lang IS DISTINCT FROM 'pl')""",
 )
 def _(spark, d):
-    text = F.col("text")
+    """Rules by the document's language; ``rule`` names them."""
+    text, lang = F.col("text"), F.col("lang")
     counted = tables.spread(D.table(spark, d, "documents"), "doc_id").select(
         "doc_id",
+        T.rule_name(lang).alias("rule"),
         T.word_count(text).alias("n_words"),
-        F.size(T.sentences(text)).cast("bigint").alias("n_sentences"),
-        T.hard_word_count(text).alias("n_hard"),
+        T.by_language(lang, lambda rules: F.size(T.sentences(text, rules))).cast("bigint").alias("n_sentences"),
+        T.by_language(lang, lambda rules: T.hard_word_count(text, rules)).alias("n_hard"),
     )
     return counted.withColumn("fog", F.round(T.fog(F.col("n_words"), F.col("n_sentences"), F.col("n_hard")), 6))
 
@@ -562,20 +555,20 @@ def _(spark, d):
 
 @query(
     "term_counts_k02_k03_f07",
-    O.sql("SELECT doc, term, tf FROM terms WHERE tf >= 2", **{k: O.DOC_KW[k] for k in ("docs", "tok", "grams", "terms")}),
+    O.sql("SELECT doc, term, tf FROM terms", **{k: O.DOC_KW[k] for k in ("docs0", "docs", "tok", "grams", "terms")}),
 )
 def _(spark, d):
-    return K.article_terms(_documents(spark, d)).where("tf >= 2").select("doc", "term", "tf")
+    return K.article_terms(_documents(spark, d)).select("doc", "term", "tf")
 
 
 @query(
     "term_weights_k04",
-    O.sql("SELECT site, term, n, df, round(idf, 6) AS idf FROM df WHERE df >= 2", **{k: O.DOC_KW[k] for k in ("docs", "tok", "grams", "terms", "ns", "df")}),
+    O.sql("SELECT site, term, n, df, round(idf, 6) AS idf FROM df", **{k: O.DOC_KW[k] for k in ("docs0", "docs", "tok", "grams", "terms", "ns", "df")}),
 )
 def _(spark, d):
     articles = _documents(spark, d)
     weights = K.idf(articles)
-    return weights.where("df >= 2").select("site", "term", "n", "df", F.round("idf", 6).alias("idf"))
+    return weights.select("site", "term", "n", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("document_keywords_k05_j08", O.sql("SELECT site, doc, rank, term, round(score, 6) AS score, round(idf, 6) AS idf FROM kw", **O.DOC_KW))
@@ -961,6 +954,59 @@ def _(spark, d):
     return history.score_trend(main, ("run_ts", "tie"), "day").select("site", "layer", "label", "tie", "score", "prev_score")
 
 
+@query(
+    "composite_trend_m06",
+    O.sql(
+        f"""SELECT site, run_ts, composite AS score, prev_score, composite - prev_score AS delta, strftime(run_ts, '%Y-%m-%d %H:%M') AS label FROM (
+ SELECT *, lag(composite) OVER (PARTITION BY site ORDER BY run_ts) AS prev_score FROM (SELECT site, run_ts, CAST({O.whole(O.mean('main', 'advanced', 'validator'))} AS DOUBLE) AS composite
+ FROM (SELECT site, CAST(date_trunc('day', run_ts) AS TIMESTAMP) AS run_ts, {', '.join(f"CAST(max(floor(score)) FILTER (layer = '{n}') AS BIGINT) AS {n}" for n in ('main', 'advanced', 'validator'))} FROM ls GROUP BY ALL)))""",
+        ls=O.LAYERS,
+    ),
+)
+def _(spark, d):
+    return history.composite_trend(_daily_layers(spark, d))
+
+
+@query(
+    "first_changes_m03",
+    O.sql(
+        "SELECT site, CAST(run_ts AS TIMESTAMP) AS run_ts, change, check_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY site, run_ts, change ORDER BY check_id) AS rank FROM fc) WHERE rank <= 10",
+        **{k: O.HIST_CTES[k] for k in ("ah", "fails", "runs", "fc")},
+    ),
+)
+def _(spark, d):
+    """The first ten changes of each kind, as the report lists them (the list is the feature; ``diff_status`` counts all)."""
+    return history.first_changes(history.failure_changes(D.audit_history(spark, d)), "check_id")
+
+
+def _quality_findings(spark, d) -> DataFrame:
+    sig = written_table(_signals(spark, d), "signals")
+    stats = quality.performance(sig, signals.page_elements(D.pages(spark, d)), D.assets(spark, d))
+    found = quality.performance_findings(stats).unionByName(quality.accessibility_findings(quality.accessibility(sig)))
+    found = found.unionByName(quality.contrast_findings(quality.worst_contrast(D.css_files(spark, d))))
+    return found.unionByName(quality.content_findings(quality.content_quality(sig)))
+
+
+@query("quality_findings_b01_b04_b05_b08", O.sql("SELECT site, module, check_id, status, round(value, 6) AS value FROM qf", **O.FINDING_CTES))
+def _(spark, d):
+    """Findings of performance, accessibility, contrast and content, with their bands."""
+    return _quality_findings(spark, d).select("site", "module", "check_id", "status", F.round("value", 6).alias("value"))
+
+
+@query(
+    "finding_counts_m07",
+    O.sql(
+        """SELECT site, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'warn') AS warn
+ FROM (SELECT site, status FROM fi UNION ALL SELECT site, status FROM qf) GROUP BY site""",
+        **{**O.CORE_CTES, **O.FINDING_CTES},
+    ),
+)
+def _(spark, d):
+    """ok, fail and warn over the findings of all modules."""
+    columns = ["site", "status"]
+    return history.finding_counts(_core_findings(spark, d).select(*columns).unionByName(_quality_findings(spark, d).select(*columns)))
+
+
 def _core_findings(spark, d) -> DataFrame:
     sig, *others = _core_inputs(spark, d)
     return core.core_audit(written_table(sig, "signals"), *others)
@@ -970,12 +1016,14 @@ def _core_findings(spark, d) -> DataFrame:
     "top_recommendations_m08",
     O.sql(
         """SELECT site, rank, module, check_id, status, detail FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY CASE WHEN status = 'fail' THEN 0 ELSE 1 END, ord, module, check_id, coalesce(detail, '')) AS rank
- FROM fi WHERE status IN ('fail', 'warn')) WHERE rank <= 10""",
-        **O.CORE_CTES,
+ FROM (SELECT site, module, check_id, status, detail, ord FROM fi UNION ALL SELECT site, module, check_id, status, detail, ord FROM qf) WHERE status IN ('fail', 'warn')) WHERE rank <= 10""",
+        **{**O.CORE_CTES, **O.FINDING_CTES},
     ),
 )
 def _(spark, d):
-    return history.top_recommendations(_core_findings(spark, d))
+    """Ten problems a site, over the findings of all modules (the list of ten is the feature)."""
+    later = history.after_core(_quality_findings(spark, d))
+    return history.top_recommendations(_core_findings(spark, d).unionByName(later))
 
 
 @query(
@@ -1072,29 +1120,41 @@ REL = "SELECT *, ltrim(path, '/') AS rel FROM pg"
 NL = "chr(10)"
 
 
+def _file_rows(name: str, head: str, lines: str) -> str:
+    """Head rows of the sites that have lines, then a row for each page."""
+    return f"""SELECT site, '{name}' AS path, 1 AS part, path AS page_path, page_id, text FROM ({lines})
+ UNION ALL SELECT site, '{name}', 0, '', NULL, {head} FROM about WHERE site IN (SELECT site FROM ({lines}))"""
+
+
 @query(
     "llms_txt_g01_snk03",
     O.sql(
-        f"""SELECT site, 'llms.txt' AS path, concat('# ', any_value(site_name), {NL}, {NL}, '> ', any_value(description), {NL}, {NL}, '## Articles', {NL}, {NL},
- string_agg(concat('- [', {TITLE_OR_REL}, '](', base_url, '/', rel, ')'), {NL} ORDER BY path, page_id), {NL}) AS content
- FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY path, page_id) AS rn FROM r JOIN about USING (site)) WHERE rn <= 200 AND rel NOT IN ('404.html', '500.html') GROUP BY site""",
+        _file_rows(
+            "llms.txt",
+            f"concat('# ', site_name, {NL}, {NL}, '> ', description, {NL}, {NL}, '## Articles', {NL})",
+            f"SELECT site, path, page_id, concat('- [', {TITLE_OR_REL}, '](', base_url, '/', rel, ')') AS text FROM r JOIN about USING (site) WHERE rel NOT IN ('404.html', '500.html')",
+        ),
         pg=O.PG, r=REL, sites=O.SITES, about=O.ABOUT,
     ),
 )
 def _(spark, d):
+    """All pages of every site."""
     return generate.llms_txt(D.pages(spark, d), D.about(spark, d))
 
 
 @query(
     "llms_full_txt_g02",
     O.sql(
-        f"""SELECT site, 'llms-full.txt' AS path, concat('# ', any_value(site_name), ' — full content', {NL}, {NL}, '> ', any_value(description), {NL}, {NL},
- string_agg(concat({NL}, '## ', {TITLE_OR_REL.replace(', rel)', ", split_part(rel, '/', -1))")}, {NL}, {NL}, {O.strip(O.FULL_BODY)}, {NL}), {NL} ORDER BY path, page_id)) AS content
- FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY path, page_id) AS rn FROM r JOIN about USING (site)) WHERE rn <= 100 GROUP BY site""",
+        _file_rows(
+            "llms-full.txt",
+            f"concat('# ', site_name, ' — full content', {NL}, {NL}, '> ', description, {NL})",
+            f"SELECT site, path, page_id, concat({NL}, '## ', {TITLE_OR_REL.replace(', rel)', ", split_part(rel, '/', -1))")}, {NL}, {NL}, {O.strip(O.FULL_BODY)}, {NL}) AS text FROM r",
+        ),
         pg=O.PG, r=REL, sites=O.SITES, about=O.ABOUT,
     ),
 )
 def _(spark, d):
+    """All pages of every site."""
     return generate.llms_full_txt(D.pages(spark, d), D.about(spark, d))
 
 
@@ -1104,7 +1164,7 @@ ROBOT_HEAD = "concat_ws(chr(10), '# AI crawlers', " + ", ".join(f"'User-agent: {
 @query(
     "robots_txt_g03",
     O.sql(
-        f"SELECT site, 'robots.txt' AS path, concat({ROBOT_HEAD}, 'Sitemap: ', base_url, '/sitemap.xml', {NL}, '# Text files: ', base_url, '/llms.txt, ', base_url, '/llms-full.txt', {NL}) AS content FROM about",
+        f"SELECT site, 'robots.txt' AS path, concat({ROBOT_HEAD}, 'Sitemap: ', base_url, '/sitemap.xml', {NL}, '# Text files: ', base_url, '/llms.txt, ', base_url, '/llms-full.txt', {NL}, {NL}, '# AI training data manifest', {NL}, '# Allow: ', base_url, '/llms.txt', {NL}, '# Allow: ', base_url, '/llms-full.txt', {NL}, '# Allow: ', base_url, '/ai.txt', {NL}) AS content FROM about",
         sites=O.SITES,
         about=O.ABOUT,
     ),
@@ -1115,22 +1175,36 @@ def _(spark, d):
 
 ENTRY = rf"""SELECT site, path, page_id, regexp_replace(concat(base_url, '/', rel), '/index\.html$', '/') AS loc, strftime(fetched_at, '%Y-%m-%d') AS lastmod,
  CASE WHEN rel = 'index.html' THEN 'daily' ELSE 'weekly' END AS changefreq, CASE WHEN rel = 'index.html' THEN '1.0' ELSE '0.8' END AS priority,
- coalesce(array_to_string(list_transform(regexp_extract_all(html, '<img[^>]+src=["'']([^"'']+)["'']', 1)[1:5], lambda i: concat('    <image:image>', chr(10), '      <image:loc>',
+ coalesce(array_to_string(list_transform(regexp_extract_all(html, '<img[^>]+src=["'']([^"'']+)["'']', 1), lambda i: concat('    <image:image>', chr(10), '      <image:loc>',
  CASE WHEN starts_with(i, 'http') THEN i WHEN starts_with(i, '/') THEN concat(base_url, i) ELSE concat(base_url, '/', i) END, '</image:loc>', chr(10), '    </image:image>', chr(10))), ''), '') AS images
  FROM r JOIN about USING (site) WHERE rel NOT IN ('404.html', '500.html')"""
 
 
-@query(
-    "sitemap_xml_g04",
-    O.sql(
-        f"""SELECT site, 'sitemap.xml' AS path, concat('<?xml version="1.0" encoding="UTF-8"?>', {NL}, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"', {NL},
+def _sitemap_sql(per_file: int) -> str:
+    parts = f"""SELECT site, concat('sitemap-', CAST(part AS STRING), '.xml') AS path, concat('<?xml version="1.0" encoding="UTF-8"?>', {NL}, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"', {NL},
  '        xmlns:image="http://www.google.com/schemas/sitemap-image/0.9">', {NL}, string_agg(concat('  <url>', {NL}, '    <loc>', loc, '</loc>', {NL}, '    <lastmod>', lastmod, '</lastmod>', {NL},
- '    <changefreq>', changefreq, '</changefreq>', {NL}, '    <priority>', priority, '</priority>', {NL}, images, '  </url>'), {NL} ORDER BY path, page_id), {NL}, '</urlset>') AS content FROM e GROUP BY site""",
-        pg=O.PG, r=REL, sites=O.SITES, about=O.ABOUT, e=ENTRY,
-    ),
-)
+ '    <changefreq>', changefreq, '</changefreq>', {NL}, '    <priority>', priority, '</priority>', {NL}, images, '  </url>'), {NL} ORDER BY path, page_id), {NL}, '</urlset>') AS content
+ FROM (SELECT *, ('0x' || substr(md5(concat(path, '#', CAST(page_id AS STRING))), 1, 8))::BIGINT % CAST(ceil(count(*) OVER (PARTITION BY site) / {per_file}) AS BIGINT) + 1 AS part FROM e) GROUP BY site, part"""
+    body = f"""SELECT site, path, content FROM parts UNION ALL SELECT site, 'sitemap.xml', concat('<?xml version="1.0" encoding="UTF-8"?>', {NL}, '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', {NL},
+ string_agg(concat('  <sitemap><loc>https://', site, '/', path, '</loc></sitemap>'), {NL} ORDER BY path), {NL}, '</sitemapindex>') FROM parts GROUP BY site"""
+    return O.sql(body, pg=O.PG, r=REL, sites=O.SITES, about=O.ABOUT, e=ENTRY, parts=parts)
+
+
+def _sitemaps(spark, d, **options) -> DataFrame:
+    about = D.about(spark, d)
+    files = generate.sitemap_files(generate.sitemap_entries(D.pages(spark, d), about), **options)
+    return files.unionByName(generate.sitemap_index(files, about))
+
+
+@query("sitemap_xml_g04", _sitemap_sql(20_000))
+def _(spark, d):
+    return _sitemaps(spark, d)
+
+
+@query("sitemap_parts_g04", _sitemap_sql(7))
 def _(spark, d):
-    return generate.sitemap_files(generate.sitemap_entries(D.pages(spark, d), D.about(spark, d)))
+    """The same files with small parts, so that sites of any size have several."""
+    return _sitemaps(spark, d, per_file=7)
 
 
 @query(
@@ -1212,6 +1286,19 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/days")
 
 
+@query(
+    "daily_page_audit_batch_st01",
+    O.sql(
+        """SELECT site, CAST(date_trunc('day', fetched_at) AS TIMESTAMP) AS day, count(*) AS pages, count(*) FILTER (NOT has_lang OR skips_level OR n_landmarks < 3) AS poor_pages,
+ count(*) FILTER (age_days > 365) AS stale_pages FROM s JOIN (SELECT page_id, fetched_at FROM pg) USING (page_id) GROUP BY ALL""",
+        **O.SIG_CTES,
+    ),
+)
+def _(spark, d):
+    """Every day of a finished crawl."""
+    return page_audit.daily_page_audit_batch(D.pages(spark, d), D.AS_OF)
+
+
 @query(
     "regression_alerts_st02",
     O.sql(

@@ -153,6 +153,14 @@ SHARED_ASSETS = [
 CSS = """concat(':root{--color-text:#', CASE WHEN k % 2 = 0 THEN '1a2b3c' ELSE '777777' END, ';--color-ink-soft: #5a6b7',
  CAST(k % 10 AS STRING), ';--color-bg:#', CASE WHEN k % 3 = 0 THEN 'fff' ELSE 'F0F0E8' END, ';--color-surface: #d0d4d8}')"""
 
+N_CSS = 7
+
+
+def css_text(i: int) -> str:
+    """Text of a site's ``i``-th stylesheet."""
+    return CSS.replace("k %", f"(k + {i - 1}) %")
+
+
 # One stored page-speed document per page. Numbers stay short so both engines print them alike.
 PSI_BODY = """concat('{"lighthouseResult":{"categories":{"performance":{"score":0.', CAST(10 + page_id % 90 AS STRING),
  '},"accessibility":{"score":0.', CAST(10 + (page_id * 7) % 90 AS STRING),
@@ -243,7 +251,9 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def css_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sites(spark, sf_dir).select("site", F.lit("css/s1.css").alias("path"), F.expr(CSS).alias("content"))
+    """Seven stylesheets a site, each with colours of its own."""
+    files = F.array(*[F.struct(F.lit(f"css/s{i}.css").alias("path"), F.expr(css_text(i)).alias("content")) for i in range(1, N_CSS + 1)])
+    return sites(spark, sf_dir).select("site", F.explode(files).alias("f")).select("site", "f.*")
 
 
 def psi_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

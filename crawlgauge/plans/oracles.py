@@ -96,7 +96,7 @@ ASSETS = (
     "FROM pages WHERE page_id % 4 = 1 UNION ALL "
     + " UNION ALL ".join(f"SELECT site, {p}, {b} FROM sites" for p, b in D.SHARED_ASSETS)
 )
-CSS = f"SELECT site, 'css/s1.css' AS path, {D.CSS} AS content FROM sites"
+CSS = " UNION ALL ".join(f"SELECT site, 'css/s{i}.css' AS path, {D.css_text(i)} AS content FROM sites" for i in range(1, D.N_CSS + 1))
 PSI = f"""SELECT concat(url, '#', CAST(page_id AS STRING)) AS url,
  CASE WHEN page_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS strategy, CAST({D.PSI_BODY} AS JSON) AS v FROM pages"""
 PROBES = f"""SELECT a.conv_id, a.turn, concat('provider-', CAST(a.conv_id % 4 AS STRING)) AS provider, q.text AS query,
@@ -170,6 +170,19 @@ def hard_words(text: str) -> str:
     return f"len(list_filter({every(f'lower({text})', WORD)}, lambda w: len(regexp_extract_all(w, '[aąeęioóuyźż]+')) >= 4))"
 
 
+LATIN_VOWELS = "aàáâãäåąeèéêëęiìíîïoòóôõöøuùúûüyýÿ"
+
+
+def latin_sentence_count(text: str) -> str:
+    """Without abbreviations; a sentence ends before any capital."""
+    found = every(f"regexp_replace({text}, '\\.{{3,}}', '…', 'g')", r"[.!?]\s+\p{Lu}")
+    return f"CASE WHEN trim({text}) = '' THEN 0 ELSE len({found}) + 1 END"
+
+
+def latin_hard_words(text: str) -> str:
+    return f"len(list_filter({every(f'lower({text})', WORD)}, lambda w: len(regexp_extract_all(w, '[{LATIN_VOWELS}]+')) >= 4))"
+
+
 SPACES = r"\s+"
 
 
@@ -260,7 +273,8 @@ ARTICLES = f"""SELECT site, page_id AS doc, {strip("regexp_extract(html, '(?is)<
 ART = f"""SELECT *, {n_of('body_text', WORD)} AS word_count,
  array_to_string({tokens_by_space('body_text')}[1:200], ' ') AS first_200,
  {n_of('body_text', NUM_KW)} + {n_of('body_text', YEAR)} AS fact_count FROM art0"""
-ART_CTES = dict(pg=PG, art0=ARTICLES, art=ART)
+# an article has 100 words or more
+ART_CTES = dict(pg=PG, art0=ARTICLES, art1=ART, art="SELECT * FROM art1 WHERE word_count >= 100")
 DOC_ART = f"SELECT source AS site, doc_id AS doc, text AS body_text, {n_of('text', WORD)} AS word_count, '' AS title, '' AS h1, '' AS boost FROM documents"
 
 
@@ -288,7 +302,7 @@ def keyword_ctes(source: str, boost: str, title: str, h1: str, top: int = 15) ->
     )
 
 
-DOC_KW = dict(docs=DOC_ART, **keyword_ctes("docs", "''", "''", "''"))
+DOC_KW = dict(docs0=DOC_ART, docs="SELECT * FROM docs0 WHERE word_count >= 100", **keyword_ctes("docs", "''", "''", "''"))
 PAGE_KW = dict(
     **ART_CTES,
     **keyword_ctes(
@@ -495,6 +509,42 @@ CONTENT = f"""SELECT site, pages, fog, avg_sentence_words, long_sentence_pct, fa
  FROM s WHERE is_article OR site NOT IN (SELECT site FROM s WHERE is_article) GROUP BY site)"""
 MODULES = "SELECT p.site, p.score AS performance, a.score AS accessibility, c.score AS content, CAST(floor((p.score + a.score + c.score) / 3) AS BIGINT) AS avg_score FROM perf p JOIN a11y a ON a.site = p.site JOIN content c ON c.site = p.site"
 QUALITY_CTES = dict(perf=PERF, a11y=A11Y, content=CONTENT, modules=MODULES)
+
+
+def quality_finding(ord_: int, module: str, name: str, source: str, status: str, value: str) -> str:
+    detail = "concat(text_colour, '/', background_colour)" if name == "contrast" else "NULL"
+    return f"SELECT site, '{module}' AS module, '{name}' AS check_id, {status} AS status, CAST({value} AS DOUBLE) AS value, {detail} AS detail, {1000 + ord_} AS ord FROM {source}"
+
+
+def banded(value: str, ok: str, warn: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN NULL WHEN {value} >= {ok} THEN 'ok' WHEN {value} >= {warn} THEN 'warn' ELSE 'fail' END"
+
+
+QUALITY_FINDINGS = [
+    ("performance", "html_weight", "pa", "CASE WHEN avg_html_bytes > 200000 THEN 'fail' WHEN avg_html_bytes > 100000 THEN 'warn' ELSE 'ok' END", "avg_html_bytes"),
+    ("performance", "modern_images", "pa", banded("modern_pct", "80", "50"), "modern_pct"),
+    ("performance", "lazy_images", "pa", banded("lazy_pct", "80", "30"), "lazy_pct"),
+    ("performance", "image_alt", "pa", "CASE WHEN n_img_src > 0 THEN CASE WHEN alt_pct >= 95 THEN 'ok' ELSE 'fail' END END", "alt_pct"),
+    ("performance", "picture", "pa", "CASE WHEN picture_pages > 0 THEN 'ok' END", "picture_pages"),
+    ("performance", "css_weight", "pa", "CASE WHEN css_bytes > 150000 THEN 'warn' END", "css_bytes"),
+    ("performance", "blocking_scripts", "pa", "CASE WHEN js_bytes > 0 AND n_blocking_scripts > 0 THEN 'warn' END", "n_blocking_scripts"),
+    ("performance", "font_preload", "pa", "CASE WHEN font_preload_pages > 0 THEN 'ok' ELSE 'fail' END", "font_preload_pages"),
+    ("accessibility", "html_lang", "a11y", "CASE WHEN lang_pages = pages THEN 'ok' ELSE 'fail' END", "pages - lang_pages"),
+    ("accessibility", "skip_link", "a11y", "CASE WHEN skip_link_pages > 0 THEN 'ok' ELSE 'warn' END", "skip_link_pages"),
+    ("accessibility", "alt_coverage", "a11y", "CASE WHEN n_img > 0 THEN 'info' END", pct("n_img_alt", "n_img")),
+    ("accessibility", "single_h1", "a11y", "CASE WHEN multi_h1_pages = 0 THEN 'ok' ELSE 'warn' END", "multi_h1_pages"),
+    ("accessibility", "heading_order", "a11y", "CASE WHEN level_skip_pages = 0 THEN 'ok' ELSE 'fail' END", "level_skip_pages"),
+    ("accessibility", "landmarks", "a11y", "CASE WHEN landmark_pages = pages THEN 'ok' ELSE 'warn' END", "landmark_pages"),
+    ("accessibility", "input_labels", "a11y", "CASE WHEN n_inputs > 0 THEN CASE WHEN n_inputs_unlabelled = 0 THEN 'ok' ELSE 'fail' END END", "n_inputs_unlabelled"),
+    ("accessibility", "contrast", "contrast", "CASE WHEN band IN ('AAA', 'AA') THEN 'ok' WHEN band = 'large_text_only' THEN 'warn' ELSE 'fail' END", "ratio"),
+    ("content", "readability", "content", "CASE WHEN fog < 13 THEN 'ok' WHEN fog < 17 THEN 'warn' WHEN fog IS NOT NULL THEN 'fail' END", "fog"),
+    ("content", "sentence_length", "content", "CASE WHEN avg_sentence_words > 25 THEN 'warn' WHEN avg_sentence_words IS NOT NULL THEN 'info' END", "avg_sentence_words"),
+    ("content", "fact_density", "content", banded("fact_density", "8", "4"), "fact_density"),
+    ("content", "citation_density", "content", banded("citation_density", "5", "2"), "citation_density"),
+    ("content", "question_headings", "content", "CASE WHEN h2_question_pct IS NOT NULL THEN CASE WHEN h2_question_pct >= 30 THEN 'ok' ELSE 'warn' END END", "h2_question_pct"),
+    ("content", "tldr", "content", "'info'", "tldr_pages"),
+    ("content", "stale", "content", "CASE WHEN stale_pages > 0 THEN 'info' END", "stale_pages"),
+]
 CARDS = """SELECT site, CAST(floor(avg(p)) AS BIGINT) AS performance, CAST(floor(avg(a)) AS BIGINT) AS accessibility, CAST(floor(avg(b)) AS BIGINT) AS best_practices, CAST(floor(min(q)) AS BIGINT) AS seo FROM (
  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS site, round(100 * CAST(v->>'$.lighthouseResult.categories.performance.score' AS DOUBLE)) AS p,
  round(100 * CAST(v->>'$.lighthouseResult.categories.accessibility.score' AS DOUBLE)) AS a, round(100 * CAST(v->>'$.lighthouseResult.categories."best-practices".score' AS DOUBLE)) AS b,
@@ -549,7 +599,19 @@ HIST_CTES = dict(
     days="SELECT site, CAST(date_trunc('day', run_ts) AS TIMESTAMP) AS run_ts, change FROM ch",
     diff="""SELECT site, run_ts, CAST(sum(r) AS BIGINT) AS regressions, CAST(sum(i) AS BIGINT) AS improvements FROM (
  SELECT site, run_ts, count(*) FILTER (change = 'regression') AS r, count(*) FILTER (change = 'improvement') AS i FROM days GROUP BY ALL
- UNION ALL SELECT site, run_ts, least(10, count(*) FILTER (change = 'new')), least(10, count(*) FILTER (change = 'gone')) FROM fc GROUP BY ALL
+ UNION ALL SELECT site, run_ts, count(*) FILTER (change = 'new'), count(*) FILTER (change = 'gone') FROM fc GROUP BY ALL
  UNION ALL SELECT site, run_ts, count(*) FILTER (change = 'gone'), count(*) FILTER (change = 'new') FROM tc GROUP BY ALL) GROUP BY ALL""",
     st="SELECT *, CASE WHEN regressions > improvements THEN 'REGRESSION' WHEN improvements > 0 THEN 'IMPROVEMENT' ELSE 'STABLE' END AS status FROM diff",
 )
+
+CONTRAST = f"""SELECT site, t AS text_colour, b AS background_colour, round(ratio, 6) AS ratio,
+ CASE WHEN ratio >= 7 THEN 'AAA' WHEN ratio >= 4.5 THEN 'AA' WHEN ratio >= 3 THEN 'large_text_only' ELSE 'fail' END AS band FROM (
+ SELECT *, row_number() OVER (PARTITION BY site ORDER BY round(ratio, 9), t, b) AS rn FROM (
+ SELECT site, t, b, (greatest({luminance('t')}, {luminance('b')}) + 0.05) / (least({luminance('t')}, {luminance('b')}) + 0.05) AS ratio
+ FROM (SELECT site, unnest(regexp_extract_all(content, '--color-(text|ink|fg)[^:]*:\\s*(#[0-9a-fA-F]+)', 2)) AS t FROM css)
+ JOIN (SELECT site, unnest(regexp_extract_all(content, '--color-(bg|background|surface)[^:]*:\\s*(#[0-9a-fA-F]+)', 2)) AS b FROM css) USING (site)
+ WHERE lower(t) <> lower(b))) WHERE rn = 1"""
+FINDING_CTES = dict(
+    **SIG_CTES, sites=SITES, assets=ASSETS, el=ELEMENTS, sized=SIZED, perf=PERF, ps=PERF_SIZES, pa=PERF_ALL, a11y=A11Y, content=CONTENT, css=CSS, contrast=CONTRAST,
+    qf="SELECT * FROM (" + " UNION ALL ".join(quality_finding(i, *f) for i, f in enumerate(QUALITY_FINDINGS)) + ") WHERE status IS NOT NULL",
+)

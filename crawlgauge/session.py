@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Tables written by this process, until ``remove_written``.
+WRITTEN: list[str] = []
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -30,15 +33,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Where none is set a temporary folder serves on a local master, as in tests; on a cluster that is an error, as
+    executors don't see the driver's disk.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         folder = named
     elif context.getCheckpointDir():
         folder = context.getCheckpointDir()
-    else:
+    elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
         folder = tempfile.mkdtemp(prefix="crawlgauge-")
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -54,4 +63,13 @@ def written_table(df, name: str):
     """Write ``df`` to the shared folder and read it back: several passes then read only the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/crawlgauge/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written_table`` has written in this process; call it when results have been used."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while WRITTEN:
+        path = hadoop(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

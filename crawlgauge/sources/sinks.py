@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import site_bucket
+
 
 def site_slug(name: Column) -> Column:
     """Folder-safe site name: [A-Za-z0-9_-], at most 60 characters, 'site' when empty."""
@@ -19,16 +21,27 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def save_snapshot(runs: DataFrame, path: str) -> None:
-    """Append audit runs, by site slug and date."""
+    """Append audit runs, by date and bucket of the site: a day is a bounded number of folders, and each bucket one task's.
+
+    The slug is a column for people to read; two sites may share it, so nothing is found by it.
+    """
     (
         runs.withColumn("site_slug", site_slug(F.col("site")))
         .withColumn("run_date", F.to_date("run_ts"))
+        .withColumn("site_bucket", site_bucket(F.col("site")))
+        .repartition("run_date", "site_bucket")
         .write.mode("append")
-        .partitionBy("run_date", "site_slug")
+        .partitionBy("run_date", "site_bucket")
         .parquet(path)
     )
 
 
+def write_file_rows(rows: DataFrame, path: str) -> None:
+    """Files as rows (site, path, part, page_path, page_id, text), each file's rows in order; a file of any size."""
+    order = ["site", "path", "part", "page_path", "page_id"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
 def write_site_files(files: DataFrame, path: str) -> None:
     """Generated files as rows (site, path, content)."""
     files.select("site", "path", "content").write.mode("overwrite").parquet(path)

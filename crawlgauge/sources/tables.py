@@ -13,7 +13,14 @@ from .dimensions import EXPECTED_FILES, QUERY_TEMPLATES
 PAGES = "site string, page_id string, url string, path string, html string, html_bytes bigint, fetched_at timestamp"
 RESOURCES = "site string, path string, content string, size bigint, error string"
 PROBE_RESPONSES = "provider string, model string, query string, response_text string, error string"
-AUDIT_RUNS = "site string, run_ts timestamp, layer string, score double"
+#: Folders that snapshots of one day are spread over.
+SITE_BUCKETS = 64
+
+
+def site_bucket(site: Column) -> Column:
+    return F.pmod(F.xxhash64(site), F.lit(SITE_BUCKETS)).cast("int")
+
+
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -142,12 +149,12 @@ def asset_key(ref: Column) -> Column:
 
 def with_asset_bytes(refs: DataFrame, assets: DataFrame) -> DataFrame:
     """Bytes of each distinct (site, ref); 0 when remote or missing. ``refs`` must be distinct on (site, ref)."""
-    return (
-        refs.withColumn("_key", F.coalesce(asset_key(F.col("ref")), F.lit("")))
-        .join(assets.select("site", F.col("path").alias("_key"), "bytes"), ["site", "_key"], "left")
-        .withColumn("bytes", F.coalesce("bytes", F.lit(0)).cast("bigint"))
-        .drop("_key")
-    )
+    keyed = refs.withColumn("_key", asset_key(F.col("ref")))
+    size = F.coalesce("bytes", F.lit(0)).cast("bigint")
+    # remote references have no row to meet: they stay where they are, so no task gets all of a site's
+    remote = keyed.where(F.col("_key").isNull()).withColumn("bytes", F.lit(0).cast("bigint"))
+    local = keyed.where(F.col("_key").isNotNull()).join(assets.select("site", F.col("path").alias("_key"), "bytes"), ["site", "_key"], "left")
+    return local.withColumn("bytes", size).select(*refs.columns, "bytes").unionByName(remote.select(*refs.columns, "bytes"))
 
 
 def first_css_files(css_files: DataFrame, n: int = 5) -> DataFrame:
@@ -171,9 +178,11 @@ def topic_queries(topics: DataFrame, max_queries: int | None = None) -> DataFram
 
 
 def read_history(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
-    """Stored audit runs in time order; a site filter prunes partitions."""
+    """Stored audit runs, sorted by site and time within each partition; a site filter prunes by its bucket."""
     runs = spark.read.parquet(path)
-    return (runs if site is None else runs.where(F.col("site") == site)).orderBy("site", "run_ts")
+    if site is not None:
+        runs = runs.where((F.col("site_bucket") == site_bucket(F.lit(site))) & (F.col("site") == site))
+    return runs.sortWithinPartitions("site", "run_ts")
 
 
 def read_psi_folder(spark: SparkSession, folder: str) -> DataFrame:

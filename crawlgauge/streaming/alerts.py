@@ -1,7 +1,10 @@
 """Regression alerts on a stream of layer scores.
 
-The last score per (site, layer) is kept as a table in the shared folder, one version per micro-batch. A batch that is
-run again after a failure reads the same version and overwrites its own output, so nothing is counted twice.
+Scores are kept as a table in the shared folder, one folder per micro-batch, only ever added to. A micro-batch finds the
+score before each new row, and each row that a new one now precedes, among the rows of the keys it touches; both are
+written as changes of this batch, and a reader takes the newest version of a change. So rows may come in any order and
+in any files: late rows correct what was said before, and the result is that of all rows in time order. A batch that is
+run again after a failure reads what earlier batches wrote and overwrites its own output, so nothing is counted twice.
 """
 
 from __future__ import annotations
@@ -10,62 +13,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.history import change_kind
-from ..operators.skew import HOT_ROWS, lookup_join, previous_values
+from ..operators.skew import previous_values
 
 KEYS = ["site", "layer"]
-COLUMNS = [*KEYS, "run_ts", "tie", "score"]
-
-
-def _last_rows(rows: DataFrame) -> DataFrame:
-    """Newest score per (site, layer)."""
-    return (
-        rows.groupBy(*KEYS)
-        .agg(F.max_by(F.struct("run_ts", "tie", "score"), F.struct("run_ts", "tie")).alias("s"))
-        .select(*KEYS, "s.*")
-    )
-
-
-def score_changes(batch: DataFrame, last: DataFrame, period: str = "day", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Changes in ``batch`` given the ``last`` score per key; rows not newer than it are dropped as late."""
-    counts = batch.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    known = counts.join(
-        last.select(*KEYS, F.col("run_ts").alias("last_ts"), F.col("tie").alias("last_tie"), F.col("score").alias("last_score")),
-        KEYS,
-        "left",
-    )
-    placed = lookup_join(batch, known, KEYS, "n", ["run_ts", "tie"], hot_rows=hot_rows)
-    newer = F.struct("run_ts", "tie") > F.struct(F.col("last_ts"), F.col("last_tie"))
-    fresh = placed.where(F.col("last_ts").isNull() | newer).withColumn("_period", F.date_trunc(period, "run_ts"))
-    before = previous_values(fresh.drop("n", "last_ts", "last_tie"), KEYS, ["run_ts", "tie"], ["score"], "_period")
-    prev = F.coalesce("prev_score", "last_score")
-    return before.select(
-        *KEYS, "run_ts", "tie", "score", prev.alias("prev_score"), change_kind(F.col("score") - prev).alias("change")
-    )
+ROW = [*KEYS, "run_ts", "tie"]
+COLUMNS = [*ROW, "score"]
+
+
+def score_changes(batch: DataFrame, known: DataFrame, period: str = "day") -> DataFrame:
+    """Rows whose predecessor is settled by ``batch``: its own rows, and known rows that now follow one of them.
+
+    (site, layer, run_ts, tie, score, prev_score, change). ``known`` are the rows of earlier batches; only those of keys
+    that the batch touches are read on. Rows delivered twice count once.
+    """
+    new = batch.select(*COLUMNS).dropDuplicates(ROW).withColumn("is_new", F.lit(True))
+    touched = new.select(*KEYS).distinct()
+    old = known.select(*COLUMNS).join(touched, KEYS, "left_semi").join(new.select(*ROW), ROW, "left_anti")
+    rows = new.unionByName(old.withColumn("is_new", F.lit(False))).withColumn("_period", F.date_trunc(period, "run_ts"))
+    before = previous_values(rows, KEYS, ["run_ts", "tie"], ["score", "is_new"], "_period")
+    settled = before.where(F.col("is_new") | F.coalesce("prev_is_new", F.lit(False)))
+    return settled.select(*COLUMNS, "prev_score", change_kind(F.col("score") - F.col("prev_score")).alias("change"))
 
 
 def start_alerts(runs: DataFrame, folder: str, period: str = "day", available_now: bool = True):
-    """Write score changes of every micro-batch under ``folder``; read them back with ``read_alerts``.
+    """Write score changes of every micro-batch under ``folder``; read them back with ``read_changes``.
 
     ``runs`` is a stream of (site, layer, run_ts, tie, score).
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{folder}/last/batch={batch_id - 1}"
-        batch = batch.select(*COLUMNS).persist()
-        last = spark.read.schema(batch.schema).parquet(before) if batch_id > 0 else batch.limit(0)
-        changes = score_changes(batch, last, period).where(F.col("change").isNotNull())
-        changes.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
-        newest = _last_rows(last.unionByName(batch))
-        newest.write.mode("overwrite").parquet(f"{folder}/last/batch={batch_id}")
-        batch.unpersist()
+        own = f"{folder}/scores/batch={batch_id}"
+        batch.select(*COLUMNS).write.mode("overwrite").parquet(own)
+        new = spark.read.schema(batch.select(*COLUMNS).schema).parquet(own)
+        known = spark.read.parquet(f"{folder}/scores").where(F.col("batch") < batch_id).select(*COLUMNS)
+        score_changes(new, known, period).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
 
     writer = runs.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder}/progress")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def read_changes(spark, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/changes").drop("batch")
+    """Newest version of each row's change; rows without one are left out."""
+    every = spark.read.parquet(f"{folder}/changes")
+    newest = every.groupBy(*ROW).agg(F.max_by(F.struct("score", "prev_score", "change"), "batch").alias("c"))
+    return newest.select(*ROW, "c.*").where(F.col("change").isNotNull())
 
 
 def read_alerts(spark, folder: str) -> DataFrame:

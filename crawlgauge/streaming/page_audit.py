@@ -14,25 +14,33 @@ def daily_page_audit(
     """Pages, pages that fail basic checks, and stale pages per site and day of fetching.
 
     ``pages`` is a streaming (or plain) table with ``fetched_at``. Pages delivered twice count once; rows later than
-    the watermark are dropped. State is one row per page within the watermark and one per open (site, day).
+    the watermark are dropped. The HTML is reduced to three flags before anything is shuffled. State is one narrow row
+    per page within the watermark and one per open (site, day).
     """
-    fresh = pages.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["site", "page_id", "fetched_at"])
-    return _daily(fresh, as_of, window)
+    fresh = _flags(pages, as_of).withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(PAGE)
+    return _daily(fresh, window)
 
 
 def daily_page_audit_batch(pages: DataFrame, as_of="2025-06-01 00:00:00", window: str = "1 day") -> DataFrame:
     """The same table from a finished crawl."""
-    return _daily(pages.dropDuplicates(["site", "page_id", "fetched_at"]), as_of, window)
+    return _daily(_flags(pages, as_of).dropDuplicates(PAGE), window)
 
 
-def _daily(pages: DataFrame, as_of, window: str) -> DataFrame:
-    signals = page_signals_with_time(pages, as_of)
+PAGE = ["site", "page_id", "fetched_at"]
+
+
+def _flags(pages: DataFrame, as_of) -> DataFrame:
+    """A projection: page, time, whether it fails a basic check, whether it is stale."""
     poor = ~F.col("has_lang") | F.col("skips_level") | (F.col("n_landmarks") < 3)
+    return page_signals_with_time(pages, as_of).select(*PAGE, poor.alias("is_poor"), "is_stale")
+
+
+def _daily(flags: DataFrame, window: str) -> DataFrame:
     return (
-        signals.groupBy("site", F.window("fetched_at", window).alias("w"))
+        flags.groupBy("site", F.window("fetched_at", window).alias("w"))
         .agg(
             F.count("*").alias("pages"),
-            F.count_if(poor).alias("poor_pages"),
+            F.count_if("is_poor").alias("poor_pages"),
             F.count_if("is_stale").alias("stale_pages"),
         )
         .select("site", F.col("w.start").alias("day"), "pages", "poor_pages", "stale_pages")

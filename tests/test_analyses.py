@@ -11,6 +11,7 @@ from crawlgauge.operators import core, generate, history, pagespeed, quality, re
 from crawlgauge.operators import keywords as K
 from crawlgauge.operators import structured_data as SD
 from crawlgauge.sources import dimensions as dim
+from crawlgauge.sources import sinks
 
 
 def robots(spark, text):
@@ -252,8 +253,10 @@ def about(spark):
 def test_generated_files_pass_the_audit(spark, about):
     pages = site_pages(spark)
     new_pages = generate.with_schema(pages, about, "2025-01-01")
-    files = generate.robots_txt(about).unionByName(generate.llms_txt(pages, about)).unionByName(generate.llms_full_txt(pages, about))
-    files = files.unionByName(generate.sitemap_files(generate.sitemap_entries(pages, about)))
+    texts = generate.joined_files(generate.llms_txt(pages, about).unionByName(generate.llms_full_txt(pages, about)))
+    parts = generate.sitemap_files(generate.sitemap_entries(pages, about))
+    # the audit reads one sitemap.xml; here it gets the only part
+    files = generate.robots_txt(about).unionByName(texts).unionByName(parts.withColumn("path", F.lit("sitemap.xml")))
     resources = files.withColumn("size", F.length("content")).withColumn("error", F.lit(None).cast("string"))
     found = core.core_audit(signals.page_signals(new_pages), resources).where("module in ('ai_files', 'robots', 'structured_data')")
     bad = [r.check_id for r in found.where("status = 'fail'").collect()]
@@ -293,7 +296,47 @@ def test_sitemap_parts_hold_every_page(spark, about):
     assert "&amp;.html" in rows[0].content and "https://s/i.png" in rows[0].content
     index = generate.sitemap_index(files, about).first()
     assert index.path == "sitemap.xml" and index.content.count("<sitemap>") == len(rows)
-    assert generate.sitemap_files(entries).first().path == "sitemap.xml"
+    assert generate.sitemap_files(entries).first().path == "sitemap-1.xml"
+
+
+def test_generated_files_hold_every_page_and_image(spark, about, tmp_path):
+    pages = spark.range(450).select(
+        F.lit("s").alias("site"), F.col("id").cast("string").alias("page_id"), F.format_string("/p%03d.html", "id").alias("path"),
+        F.concat(F.lit("<title>T"), F.col("id"), F.lit("</title>"), F.repeat(F.lit('<img src="i.png">'), 9)).alias("html"), F.to_timestamp(F.lit("2024-01-01")).alias("fetched_at"),
+    )
+    rows = generate.llms_txt(pages, about).unionByName(generate.llms_full_txt(pages, about))
+    assert {r.path: r["count"] for r in rows.groupBy("path").count().collect()} == {"llms.txt": 451, "llms-full.txt": 451}
+    sinks.write_file_rows(rows, str(tmp_path / "files"))
+    assert spark.read.parquet(str(tmp_path / "files")).count() == 902
+    content = {r.path: r.content for r in generate.joined_files(rows).collect()}
+    assert content["llms.txt"].startswith("# Site\n\n> About\n\n## Articles\n\n- [T0](https://s/p000.html)\n- [T1]")
+    assert generate.sitemap_entries(pages, about).first().xml.count("<image:image>") == 9
+    assert "# Allow: https://s/ai.txt\n" in generate.robots_txt(about).first().content
+
+
+def test_all_changes_count(spark):
+    empty_layers = spark.createDataFrame([], "site string, run_ts string, change string")
+    failures = spark.createDataFrame([("s", "r", "new")] * 40 + [("s", "r", "gone")] * 15, "site string, run_ts string, change string")
+    row = history.diff_status(empty_layers, failures, empty_layers).first()
+    assert (row.regressions, row.improvements, row.status) == (40, 15, "REGRESSION")
+
+
+def test_fixed_values_are_whole():
+    assert (len(dim.AI_BOTS), len(dim.known_types()), len(dim.schema_rule_rows())) == (26, 30, 234)
+    assert (len(dim.OPPORTUNITY_AUDITS), len(dim.ACCESSIBILITY_AUDITS), len(dim.ENGLISH_STOPWORDS)) == (25, 22, 31)
+    assert dim.with_stopwords(dim.ENGLISH_STOPWORDS, ("oraz", "the")) == (*dim.ENGLISH_STOPWORDS, "oraz")
+
+
+def test_pages_under_a_hundred_words_are_no_articles(spark):
+    rows = [("s", i, "gadget " * n, n) for i, n in enumerate((99, 100, 400))]
+    found = K.long_enough(spark.createDataFrame(rows, "site string, doc long, body_text string, word_count long"))
+    assert sorted(r.doc for r in found.collect()) == [1, 2]
+
+
+def test_article_window(spark, page):
+    html = F.lit("x" * 996 + "article")
+    near, far = (spark.range(1).select(signals.is_article(F.lit("/a"), html, n)).first()[0] for n in (1003, 1002))
+    assert near and not far
 
 
 def test_fonts_are_replaced_once(spark, page):

@@ -26,17 +26,36 @@ def test_alerts_carry_the_last_score_over_batches(spark, tmp_path):
     arrive(("s", "main", at(1), 1, 50.0), ("s", "main", at(2), 2, 44.0), ("t", "main", at(1), 3, 10.0))
     arrive(("s", "main", at(3), 4, 60.0), ("s", "main", at(1, 5), 5, 1.0), ("t", "main", at(2), 6, 5.0))
     arrive(("s", "main", at(4), 7, 30.0))
+    # row 5 came late: it follows row 1 and precedes row 2
     got = {(r.site, r.tie): (r.prev_score, r.change) for r in alerts.read_changes(spark, folder).collect()}
     assert got == {
-        ("s", 2): (50.0, "regression"), ("s", 4): (44.0, "improvement"), ("t", 6): (10.0, "regression"), ("s", 7): (60.0, "regression"),
+        ("s", 5): (50.0, "regression"), ("s", 2): (1.0, "improvement"), ("s", 4): (44.0, "improvement"),
+        ("t", 6): (10.0, "regression"), ("s", 7): (60.0, "regression"),
     }
     assert alerts.read_alerts(spark, folder).count() == 3
 
 
+def test_any_order_of_files_gives_the_same_changes(spark, tmp_path):
+    import random
+
+    rows = [("s" if i % 3 else "t", "main", at(1 + i // 24, i % 24), i, float((i * 7) % 30)) for i in range(90)]
+    shuffled = rows[:]
+    random.Random(1).shuffle(shuffled)
+    results = []
+    for name, parts in (("one", [rows]), ("ten", [shuffled[i::10] for i in range(10)])):
+        source, folder = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+        for part in parts:
+            spark.createDataFrame(part, SCORES).coalesce(1).write.mode("append").parquet(source)
+        runs = spark.readStream.schema(SCORES).option("maxFilesPerTrigger", 1).parquet(source)
+        alerts.start_alerts(runs, folder).awaitTermination()
+        results.append(sorted(map(tuple, alerts.read_changes(spark, folder).collect())))
+    assert results[0] == results[1] and len(results[0]) > 20
+
+
 def test_a_hot_key_in_one_batch(spark):
     rows = [("s", "main", at(1 + i // 24, i % 24), i, float((i * 7) % 30)) for i in range(100)]
     batch = spark.createDataFrame(rows, SCORES)
-    got = {r.tie: r.prev_score for r in alerts.score_changes(batch, batch.limit(0), "day", hot_rows=10).collect()}
+    got = {r.tie: r.prev_score for r in alerts.score_changes(batch, batch.limit(0), "day").collect()}
     assert got == {i: (rows[i - 1][4] if i else None) for i in range(100)}
 
 
