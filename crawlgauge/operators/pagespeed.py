@@ -133,7 +133,7 @@ def opportunities(psi: DataFrame, top_n: int | None = 15) -> DataFrame:
             F.nullif(part(i, "$.url", "string"), F.lit("")), F.nullif(part(i, "$.source.url", "string"), F.lit("")), F.lit("—")
         )
         return F.struct(
-            F.substring(url, 1, 120).alias("url"),
+            url.alias("url"),
             F.coalesce(part(i, "$.wastedMs", "double"), F.lit(0.0)).alias("wasted_ms"),
             _kb(part(i, "$.wastedBytes", "double")).alias("wasted_kb"),
         )
@@ -159,13 +159,13 @@ def accessibility_issues(psi: DataFrame, top_n: int | None = 15) -> DataFrame:
     """Accessibility audits that did not pass, in list order."""
 
     def node(i: Column) -> Column:
-        def text(name: str, n: int) -> Column:
-            return F.substring(F.coalesce(part(i, f"$.node.{name}", "string"), F.lit("")), 1, n)
+        def text(name: str) -> Column:
+            return F.coalesce(part(i, f"$.node.{name}", "string"), F.lit(""))
 
         return F.struct(
-            text("selector", 100).alias("selector"),
-            F.replace(text("snippet", 140), F.lit("\n"), F.lit(" ")).alias("snippet"),
-            text("explanation", 200).alias("explanation"),
+            text("selector").alias("selector"),
+            F.replace(text("snippet"), F.lit("\n"), F.lit(" ")).alias("snippet"),
+            text("explanation").alias("explanation"),
         )
 
     found = (

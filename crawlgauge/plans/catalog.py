@@ -17,7 +17,7 @@ from ..operators import clusters as CL
 from ..operators import core, generate, history, pagespeed, quality, signals, skew, visibility
 from ..operators import keywords as K
 from ..operators import structured_data as SD
-from ..session import configure, shared_dir, written_table
+from ..session import WRITTEN, configure, shared_dir, written_table
 from ..sources import dimensions as dim
 from ..sources import sinks, tables
 from ..streaming import alerts, page_audit
@@ -162,6 +162,62 @@ def _(spark, d):
     return D.sites(spark, d).select("site", sinks.site_slug(F.col("site")).alias("slug"))
 
 
+def _folder(spark, name: str) -> str:
+    """A folder of its own in the shared folder; removed with the written tables."""
+    path = f"{shared_dir(spark)}/crawlgauge/{name}-{_run_id()}"
+    WRITTEN.append(path)
+    return path
+
+
+@query(
+    "stored_history_src09_snk02",
+    O.sql("SELECT site, layer, run_ts, tie, score, coalesce(nullif(substr(regexp_replace(site, '[^A-Za-z0-9_-]', '_', 'g'), 1, 60), ''), 'site') AS site_slug FROM ls", ls=O.LAYERS),
+)
+def _(spark, d):
+    """Scores saved as snapshots and read back."""
+    path = _folder(spark, "history")
+    sinks.save_snapshot(D.layer_scores(spark, d), path)
+    return tables.read_history(spark, path).select("site", "layer", "run_ts", "tie", "score", "site_slug")
+
+
+@query("stored_report_snk01", O.sql("SELECT site, layer, CAST(run_ts AS DATE) AS run_date, count(*) AS n FROM ls GROUP BY ALL", ls=O.LAYERS))
+def _(spark, d):
+    """Scores appended as a report by run date and read back."""
+    path = _folder(spark, "report")
+    sinks.write_report(D.layer_scores(spark, d), path)
+    return spark.read.parquet(path).groupBy("site", "layer", "run_date").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stored_answers_src11",
+    O.sql("SELECT provider, query, response_text, error, count(*) AS n FROM pr GROUP BY ALL", pr=O.PROBES),
+)
+def _(spark, d):
+    """Answers written as JSON lines and read by the reader."""
+    path = _folder(spark, "answers")
+    D.probe_responses(spark, d).select("provider", "model", "query", "response_text", "error").write.json(path)
+    found = tables.read_probe_responses(spark, path)
+    return found.groupBy("provider", "query", "response_text", "error").agg(F.count("*").alias("n"))
+
+
+@query("stored_psi_src10", O.sql("SELECT url, strategy, v->>'$.lighthouseResult.categories.performance.score' AS score FROM psi", psi=O.PSI))
+def _(spark, d):
+    """Stored page-speed documents, one file each, read from their folder."""
+    path = _folder(spark, "psi")
+    bodies = D.psi_responses(spark, d)
+    named = bodies.select(F.concat_ws("~", F.regexp_extract("url", "#([0-9]+)$", 1), "strategy").alias("name"), F.col("body").alias("value"))
+    named.write.partitionBy("name").text(path)
+    read = tables.read_psi_folder(spark, path).withColumn("name", F.regexp_extract("source", "name=([^/]*)/", 1))
+    asked = bodies.select(F.concat_ws("~", F.regexp_extract("url", "#([0-9]+)$", 1), "strategy").alias("name"), "url", "strategy")
+    return read.join(asked, "name").select("url", "strategy", F.get_json_object("body", "$.lighthouseResult.categories.performance.score").alias("score"))
+
+
+@query("first_stylesheets_src07", O.sql("SELECT site, path FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY path) AS rn FROM css) WHERE rn <= 5", sites=O.SITES, css=O.CSS))
+def _(spark, d):
+    """The first five stylesheets of a site (the number is the reader's option; ``worst_contrast`` reads all)."""
+    return tables.first_css_files(D.css_files(spark, d)).select("site", "path")
+
+
 # --- page signals ----------------------------------------------------------------------------------------------
 
 
@@ -313,13 +369,16 @@ def _(spark, d):
     return generate.font_links(D.pages(spark, d))
 
 
+PAGE_TEXTS = rf"""SELECT page_id, coalesce(nullif(t, ''), nullif(h, ''), ltrim(path, '/')) AS title, coalesce(nullif(m, ''), p[1:300], concat('About ', site)) AS description FROM (
+ SELECT page_id, site, path, {O.strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS t, {O.strip("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h,
+ regexp_extract(html, '(?i)<meta\s+name=["'']description["'']\s+content=["'']([^"'']*)["'']', 1) AS m,
+ list_filter(list_transform({O.every('html', '(?is)<p[^>]*>(.*?)</p>', 1)}, lambda x: {O.strip('x')}), lambda x: len(string_split(x, ' ')) >= 15)[1] AS p FROM pg)"""
+
+
 @query(
     "titles_and_descriptions_p28_g09",
     O.sql(
-        rf"""SELECT page_id, coalesce(nullif(t, ''), nullif(h, ''), ltrim(path, '/')) AS title, coalesce(nullif(m, ''), p[1:300], concat('About ', site)) AS description FROM (
- SELECT page_id, site, path, {O.strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS t, {O.strip("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS h,
- regexp_extract(html, '(?i)<meta\s+name=["'']description["'']\s+content=["'']([^"'']*)["'']', 1) AS m,
- list_filter(list_transform({O.every('html', '(?is)<p[^>]*>(.*?)</p>', 1)}, lambda x: {O.strip('x')}), lambda x: len(string_split(x, ' ')) >= 15)[1] AS p FROM pg)""",
+        PAGE_TEXTS,
         pg=O.PG,
     ),
 )
@@ -862,6 +921,42 @@ def _(spark, d):
     return pagespeed.accessibility_issues(_psi(spark, d)).select("url", "strategy", "rank", "id", "title", "items_count")
 
 
+ITEMS = """SELECT url, strategy, id, i, pos FROM (SELECT url, strategy, id, unnest(CAST(json_extract(a, '$.details.items') AS JSON[])[1:3]) AS i,
+ unnest(range(least(3, CAST(json_array_length(a, '$.details.items') AS BIGINT)))) AS pos FROM {} WHERE a IS NOT NULL AND {}) WHERE i IS NOT NULL"""
+
+
+@query(
+    "psi_opportunity_items_ps04",
+    O.sql(
+        """SELECT url, strategy, id, pos, coalesce(nullif(i->>'$.url', ''), nullif(i->>'$.source.url', ''), '—') AS item_url, coalesce(CAST(i->>'$.wastedMs' AS DOUBLE), 0.0) AS wasted_ms,
+ CAST(coalesce(round(CAST(i->>'$.wastedBytes' AS DOUBLE) / 1024), 0) AS BIGINT) AS wasted_kb FROM items""",
+        psi=O.PSI,
+        oa=_audits(dim.OPPORTUNITY_AUDITS),
+        items=ITEMS.format("oa", "CAST(a->>'$.score' AS DOUBLE) < 0.9"),
+    ),
+)
+def _(spark, d):
+    """The first three items of each opportunity (the list of three is the feature)."""
+    rows = pagespeed.opportunities(_psi(spark, d)).select("url", "strategy", "id", F.posexplode("items_top3").alias("pos", "i"))
+    return rows.select("url", "strategy", "id", "pos", F.col("i.url").alias("item_url"), "i.wasted_ms", "i.wasted_kb")
+
+
+@query(
+    "psi_accessibility_items_ps05",
+    O.sql(
+        """SELECT url, strategy, id, pos, coalesce(i->>'$.node.selector', '') AS selector, replace(coalesce(i->>'$.node.snippet', ''), chr(10), ' ') AS snippet,
+ coalesce(i->>'$.node.explanation', '') AS explanation FROM items""",
+        psi=O.PSI,
+        ia=_audits(dim.ACCESSIBILITY_AUDITS),
+        items=ITEMS.format("ia", "CAST(a->>'$.score' AS DOUBLE) <> 1"),
+    ),
+)
+def _(spark, d):
+    """The first three items of each issue (the list of three is the feature)."""
+    rows = pagespeed.accessibility_issues(_psi(spark, d)).select("url", "strategy", "id", F.posexplode("items_top3").alias("pos", "i"))
+    return rows.select("url", "strategy", "id", "pos", "i.*")
+
+
 @query(
     "psi_recommendations_m11",
     O.sql(
@@ -1223,19 +1318,46 @@ DECLARED = """SELECT page_id, list(DISTINCT schema_type) AS ts FROM (SELECT page
  WHEN 'VARCHAR' THEN [json_extract_string(n, '$."@type"')] ELSE [] END) AS schema_type FROM (SELECT page_id, obj AS n FROM o UNION ALL SELECT page_id, v FROM roots WHERE json_type(v) = 'OBJECT')) GROUP BY page_id"""
 
 
+def _ld(body: str) -> str:
+    return f"concat('<script type=\"application/ld+json\">', CAST(to_json({body}) AS VARCHAR), '</script>', chr(10))"
+
+
+ORGANIZATION_ID = "{'@id': concat(base_url, '/#organization')}"
+LD_WEBSITE = f"""{{'@context': 'https://schema.org', '@type': 'WebSite', '@id': concat(base_url, '/#website'), 'name': site_name, 'url': base_url, 'description': about_text, 'inLanguage': 'pl-PL',
+ 'publisher': {ORGANIZATION_ID}, 'potentialAction': {{'@type': 'SearchAction', 'target': concat(base_url, '/?q={{search_term_string}}'), 'query-input': 'required name=search_term_string'}}}}"""
+LD_ORGANIZATION = """{'@context': 'https://schema.org', '@type': 'Organization', '@id': concat(base_url, '/#organization'), 'name': site_name, 'url': base_url, 'description': about_text,
+ 'logo': concat(base_url, '/icons/icon-512.png'), 'sameAs': CAST([] AS VARCHAR[])}"""
+LD_CRUMBS = "{'@context': 'https://schema.org', '@type': 'BreadcrumbList', 'itemListElement': crumbs}"
+LD_ARTICLE = f"""{{'@context': 'https://schema.org', '@type': 'Article', 'headline': title, 'description': description, 'url': regexp_replace(concat(base_url, '/', rel), '/index[.]html$', '/'),
+ 'datePublished': '{D.TODAY}', 'dateModified': '{D.TODAY}', 'inLanguage': 'pl-PL', 'isPartOf': {{'@id': concat(base_url, '/#website')}}, 'publisher': {ORGANIZATION_ID},
+ 'author': {{'@type': 'Organization', '@id': concat(base_url, '/#organization')}}}}"""
+LACKING = {
+    "WebSite": ("NOT list_contains(ts, 'WebSite')", LD_WEBSITE),
+    "Organization": ("NOT list_contains(ts, 'Organization')", LD_ORGANIZATION),
+    "BreadcrumbList": ("NOT list_contains(ts, 'BreadcrumbList')", LD_CRUMBS),
+    "Article": ("NOT list_contains(ts, 'Article') AND rel <> 'index.html' AND rel LIKE '%.html'", LD_ARTICLE),
+}
+CRUMBS = """SELECT page_id, list({'@type': 'ListItem', 'position': position, 'name': name, 'item': item} ORDER BY position) AS crumbs FROM (
+ SELECT page_id, CAST(1 AS INTEGER) AS position, 'Home' AS name, base_url AS item FROM tr UNION ALL
+ SELECT page_id, CAST(i + 1 AS INTEGER), array_to_string(list_transform(string_split(replace(ps[i], '-', ' '), ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' '), concat(base_url, '/', array_to_string(ps[1:i], '/')) FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM tr)
+ UNION ALL SELECT page_id, CAST(len(ps) + 2 AS INTEGER), title, concat(base_url, '/', rel) FROM tr WHERE rel LIKE '%.html' AND rel <> 'index.html') GROUP BY page_id"""
+TITLED_PAGES = """SELECT tp.page_id, tp.title, tp.description, r.rel, r.html, a.base_url, a.site_name, a.description AS about_text,
+ list_filter(string_split(replace(rel, 'index.html', ''), '/'), lambda p: p <> '' AND NOT p LIKE '%.html') AS ps FROM tp JOIN r ON r.page_id = tp.page_id JOIN about a ON a.site = r.site"""
+
+
 @query(
     "schema_injection_g07",
     O.sql(
-        """SELECT page_id, concat_ws(',', CASE WHEN NOT list_contains(ts, 'WebSite') THEN 'WebSite' END, CASE WHEN NOT list_contains(ts, 'Organization') THEN 'Organization' END,
- CASE WHEN NOT list_contains(ts, 'BreadcrumbList') THEN 'BreadcrumbList' END, CASE WHEN NOT list_contains(ts, 'Article') AND rel <> 'index.html' AND rel LIKE '%.html' THEN 'Article' END) AS added
- FROM (SELECT r.page_id, r.rel, coalesce(d.ts, CAST([] AS VARCHAR[])) AS ts FROM r LEFT JOIN dt d ON d.page_id = r.page_id)""",
+        f"""SELECT page_id, CASE WHEN headed THEN concat_ws(',', {', '.join(f"CASE WHEN {test} THEN '{name}' END" for name, (test, _) in LACKING.items())}) ELSE '' END AS added,
+ replace(html, '</head>', concat({', '.join(f"CASE WHEN {test} THEN {_ld(body)} ELSE '' END" for test, body in LACKING.values())}, '</head>')) AS html
+ FROM (SELECT tr.*, coalesce(d.ts, CAST([] AS VARCHAR[])) AS ts, crumbs, contains(html, '</head>') AS headed FROM tr LEFT JOIN dt d ON d.page_id = tr.page_id JOIN cr ON cr.page_id = tr.page_id)""",
         **O.JSON_CTES,
-        r=REL,
-        dt=DECLARED,
+        r=REL, sites=O.SITES, about=O.ABOUT, dt=DECLARED, tp=PAGE_TEXTS, tr=TITLED_PAGES, cr=CRUMBS,
     ),
 )
 def _(spark, d):
-    return generate.with_schema(D.pages(spark, d), D.about(spark, d), D.TODAY).select("page_id", "added")
+    """Types added and the whole new page."""
+    return generate.with_schema(D.pages(spark, d), D.about(spark, d), D.TODAY).select("page_id", "added", "html")
 
 
 TITLED = f"SELECT page_id, rel, base_url, {TITLE_OR_REL} AS title, list_filter(string_split(replace(rel, 'index.html', ''), '/'), lambda p: p <> '' AND NOT p LIKE '%.html') AS ps FROM r JOIN about USING (site)"
