@@ -26,11 +26,17 @@ HEADLINE = [
     "document_keywords_k05_j08",
     "cannibalisation_k06",
     "topic_clusters_k08_j09",
+    "leader_similarity_k07",
+    "page_keywords_k05_j12",
+    "content_gaps_k10",
     "merit_k09_f07",
     "citations_c02_c05_src11",
     "psi_opportunities_ps04_f09",
     "layer_changes_m02_m06_j11",
     "diff_status_m05",
+    "layer_scores_m10",
+    "gates_f10",
+    "llms_full_txt_g02",
     "sitemap_xml_g04",
     "schema_injection_g07",
     "regression_alerts_st02",
