@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgauge.session import shared_dir
+from crawlgauge.session import WRITTEN, shared_dir
 
 #: Rows of one Arrow batch: with whole texts of some 100 kB a batch stays within some tens of MB.
 BATCH_ROWS = "256"
@@ -39,6 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)  # for session.remove_written
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -134,6 +134,9 @@ def shingle_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def sharing(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of all intersections of some sets, by products of 0/1 matrices over the elements that two or more share."""
     n = len(sets)
+    if n == 2:
+        both = int(np.count_nonzero(np.isin(sets[0], sets[1], assume_unique=True)))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]], np.float32)
     element, times = np.unique(np.concatenate(sets), return_counts=True)
     element = element[times > 1]
     out = np.zeros((n, n), np.float32)
@@ -176,52 +179,68 @@ def joins_of(ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray], mi
     return out
 
 
-def hub_links(members: DataFrame, sets: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """Verified links (a, b) of bucket members with their bucket's hub. ``members``: key, doc_id, n, met."""
+def with_hubs(members: DataFrame) -> DataFrame:
+    """``members`` (key, doc_id, n, met) with their bucket's hub and its size: the member that meets most others."""
     hubs = members.groupBy("key").agg(F.max(F.struct("met", -F.col("doc_id"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
+    return members.join(hubs, "key").select("key", "doc_id", "n", "hub", "hub_n")
+
+
+def hub_links(members: DataFrame, sets: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """Verified links (a, b) of bucket members with their bucket's hub."""
     fit = (100 * F.least("n", "hub_n") >= min_percent * F.greatest("n", "hub_n")) & (F.col("doc_id") != F.col("hub"))
-    pairs = members.join(hubs, "key").where(fit).select("doc_id", "hub").distinct()
+    pairs = members.where(fit).select("doc_id", "hub").distinct()
     own = pairs.join(sets, "doc_id").select("doc_id", "hub", F.col("elements").alias("own"))
     both = own.join(sets.select(F.col("doc_id").alias("hub"), "elements"), "hub")
     common = F.size(F.array_intersect("own", "elements"))
     return both.where(100 * common >= min_percent * (F.size("own") + F.size("elements") - common)).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
 
 
-#: Members of a block; a task compares two blocks at a time.
+#: Members of a block; a block is compared with one other at a time.
 BLOCK_MEMBERS = 400
+#: Rows that one call compares: many small cells, or one of two blocks.
+BATCH_ROWS = 2000
 
 
 def block_links(members: DataFrame, found: DataFrame, sets: DataFrame, min_percent: int = MIN_PERCENT, size: int = BLOCK_MEMBERS) -> DataFrame:
     """Links (a, b) that still join components of a bucket: all pairs of members in different components, by blocks.
 
-    Members of a bucket's largest component are never compared with each other. Others meet all, a block with a block,
-    so neither a large bucket nor a third of all documents in it lands in one task.
+    Buckets with the same members are compared once. Members of a bucket's largest component are never compared with
+    each other. Others meet all, a block with a block, so neither a large bucket nor a third of all documents in it lands
+    in one task; small buckets share a call.
     """
     labelled = members.join(found, members.doc_id == found.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    about = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"))
-    about = about.where("kinds > 1").select(
-        "key", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / size).alias("mains"), F.ceil((F.col("all") - F.col("most.n")) / size).alias("others")
+    counts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("sum"), F.min("doc_id").alias("low"))
+    about = counts.groupBy("key").agg(
+        F.sum("n").alias("all"), F.sum("sum").alias("sum"), F.min("low").alias("low"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")
     )
+    about = about.where("kinds > 1").groupBy("sum", "low", "all").agg(F.min(F.struct("key", "most")).alias("one")).select("one.key", "one.most", "all")
+    about = about.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.n") / size).alias("mains"), F.ceil((F.col("all") - F.col("most.n")) / size).alias("others"))
     placed = labelled.join(about, "key").select(
         "key", "doc_id", "component", "mains", "others", (F.col("component") == F.col("main")).alias("is_main"), F.xxhash64("doc_id").alias("h")
     )
     block = F.pmod(F.col("h"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
-    cell = lambda a, kind, b: F.struct(a.cast("long").alias("one"), F.lit(kind).alias("kind"), b.cast("long").alias("two"))
+    cell = lambda a, kind, b: F.xxhash64(F.col("key"), a.cast("long"), F.lit(kind), b.cast("long"))
     cells = F.when(F.col("is_main"), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: cell(o, "main", F.col("block")))).otherwise(
         F.concat(
             F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: cell(F.col("block"), "main", m)),
             F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: cell(F.least(F.col("block"), o), "other", F.greatest(F.col("block"), o))),
         )
     )
-    rows = placed.withColumn("block", block).select("key", "doc_id", "component", F.explode(cells).alias("cell")).select("key", "cell.*", "doc_id", "component")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-        links = joins_of(part["doc_id"].to_numpy(), part["component"].to_numpy(), list(part["elements"]), min_percent) if part["component"].nunique() > 1 else []
+    rows = written(placed.withColumn("block", block).select("doc_id", "component", F.explode(cells).alias("cell")), "cells")
+    batches = max(1, math.ceil(rows.count() / BATCH_ROWS))
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(["cell", "doc_id"], kind="stable").drop_duplicates(["cell", "doc_id"])
+        ids, components, sets_ = batch["doc_id"].to_numpy(), batch["component"].to_numpy(), list(batch["elements"])
+        edges = np.flatnonzero(np.diff(batch["cell"].to_numpy())) + 1
+        links = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True):
+            if b - a > 1 and len(np.unique(components[a:b])) > 1:
+                links += joins_of(ids[a:b], components[a:b], sets_[a:b], min_percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return rows.join(sets, "doc_id").groupBy("key", "one", "kind", "two").applyInPandas(compare, "a long, b long")
+    dealt = rows.withColumn("batch", F.pmod("cell", F.lit(batches))).join(sets, "doc_id")
+    return dealt.groupBy("batch").applyInPandas(compare, "a long, b long")
 
 
 def copy_groups(documents: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
@@ -245,11 +264,12 @@ def copy_groups(documents: DataFrame, min_percent: int = MIN_PERCENT) -> DataFra
     met = banded.join(crowded, "key")
     members = written(met, "met")
     score = members.groupBy("doc_id").agg(F.sum("c").alias("met"))
-    members = written(members.join(score, "doc_id").select("key", "doc_id", "n", "met"), "members")
+    members = written(with_hubs(members.join(score, "doc_id").select("key", "doc_id", "n", "met")), "members")
     sets = written(shingle_sets(documents, members.select("doc_id").distinct()), "sets")
     hubs = written(hub_links(members, sets, min_percent), "links")
     found = connected(hubs, "hubs")
-    rest = block_links(members, found, sets, min_percent)
+    # a hub has been compared with all its bucket
+    rest = block_links(members.where("doc_id <> hub").select("key", "doc_id"), found, sets, min_percent)
     final = connected(hubs.unionByName(rest), "all")
     component = groups.join(final, groups["first"] == final.id, "left").select("digest", F.coalesce("component", "first").alias("component"))
     linked = able.select("doc_id", "n_shingles", "digest").join(component, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
