@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import each
-from ..session import cut_lineage
+from ..session import written_folder, written_table
 from .skew import HOT_ROWS, lookup_join
 
 DOC = ["site", "doc"]
 BUCKET = ["site", "bucket"]
 MAX_BUCKETS = 5_000
+MAX_ROUNDS = 10_000
 
 
 def needed_overlap(a: int, b: int, threshold: float, min_shared: int) -> int | None:
@@ -94,7 +95,7 @@ def buckets(keyword_table: DataFrame, top_k: int, threshold: float, min_shared:
     for t in range(1, max(sizes_used) + 1):
         if t > 1:
             rows = _grown(rows)
-        rows = cut_lineage(_shared(rows, hot_rows))
+        rows = written_table(_shared(rows, hot_rows), "combinations")
         if t in sizes_used:
             reach = _reach(F.col("size"), t, table)
             level = rows.select(
@@ -116,25 +117,29 @@ def _smallest_partner(rows: DataFrame, of: DataFrame, top_k: int, hot_rows: int)
 
 
 def leaders(rows: DataFrame, top_k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Leaders among the articles of ``rows`` (see ``buckets``), by rounds; each round cuts the lineage."""
+    """Leaders among the articles of ``rows`` (see ``buckets``), by rounds.
+
+    Each round writes its leaders to one folder and what is left to another, so no plan grows with the rounds. A chain of
+    similar articles decides one or more articles a round; more than ``MAX_ROUNDS`` rounds are an error, not a cut.
+    """
+    spark, folder = rows.sparkSession, written_folder(rows.sparkSession, "leaders")
     undecided = rows
-    found = None
-    while not undecided.isEmpty():
+    for turn in range(MAX_ROUNDS + 1):
+        if undecided.isEmpty():
+            return spark.read.parquet(folder).select(*DOC) if turn else rows.select(*DOC)
         rivals = (
             _smallest_partner(undecided, undecided, top_k, hot_rows)
             .groupBy(*DOC)
             .agg(F.min("partner").alias("partner"))
         )
-        new = cut_lineage(
-            rivals.where(F.col("partner").isNull() | (F.col("partner") >= F.col("doc"))).select(*DOC)
-        )
-        found = new if found is None else found.unionByName(new)
+        rivals.where(F.col("partner").isNull() | (F.col("partner") >= F.col("doc"))).select(*DOC).write.parquet(f"{folder}/round={turn}")
+        new = spark.read.parquet(f"{folder}/round={turn}")
         led = undecided.join(new, DOC, "left_semi")
         taken = (
             _smallest_partner(undecided, led, top_k, hot_rows).where(F.col("partner").isNotNull()).select(*DOC)
         )
-        undecided = cut_lineage(undecided.join(taken.unionByName(new).distinct(), DOC, "left_anti"))
-    return found if found is not None else rows.select(*DOC)
+        undecided = written_table(undecided.join(taken.unionByName(new).distinct(), DOC, "left_anti"), "undecided")
+    raise RuntimeError(f"leaders not found in {MAX_ROUNDS} rounds")
 
 
 def clusters(

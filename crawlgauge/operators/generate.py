@@ -86,6 +86,7 @@ def llms_full_txt(pages: DataFrame, about: DataFrame, max_pages: int | None = No
 
 def robots_txt(about: DataFrame, allow_ai: bool = True, disallowed=DISALLOWED) -> DataFrame:
     """robots.txt naming every known crawler, the disallowed folders, the sitemap and the text files."""
+    # Fixed format of the file; its two comment headings are in English here
     crawlers = [f"User-agent: {name}" for name, _, _ in AI_BOTS]
     rules = ["# AI crawlers", *crawlers, f"{'Allow' if allow_ai else 'Disallow'}: /", ""]
     rules += ["# Other crawlers", "User-agent: *", "Allow: /", *[f"Disallow: {p}" for p in disallowed], ""]
@@ -288,6 +289,7 @@ def with_schema(pages: DataFrame, about: DataFrame, today: str, lang: str = "pl-
         F.concat(base, F.lit("/?q={search_term_string}")).alias("target"),
         F.lit("required name=search_term_string").alias("query-input"),
     )
+    # Fixed format: names, order and wording of the inserted structured data
     website = _thing("WebSite", **{"@id": F.concat(base, F.lit("/#website"))}, name=F.col("site_name"), url=base,
                      description=F.col("description"), inLanguage=F.lit(lang), publisher=ref("organization"),
                      potentialAction=search)

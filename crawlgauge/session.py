@@ -53,20 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written_table(df, name: str):
     """Write ``df`` to the shared folder and read it back: several passes then read only the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/crawlgauge/{name}-{uuid.uuid4().hex}"
+    path = written_folder(df.sparkSession, name)
     df.write.parquet(path)
-    WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def written_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables written step by step."""
+    WRITTEN.append(f"{shared_dir(spark)}/crawlgauge/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
 def remove_written(spark: SparkSession) -> None:
     """Delete the tables that ``written_table`` has written in this process; call it when results have been used."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
