@@ -129,6 +129,7 @@ HEADINGS = every(
 )
 LEVELS = f"list_transform({HEADINGS}, lambda h: CAST(h[3] AS BIGINT))"
 BLOBS = every("html", r"""(?is)<script\s+type=["'']application/ld\+json["'']>(.*?)</script>""", 1)
+# Fixed patterns: identifiers, authorities, numbers, years, names
 DOI = r"""\b10\.\d{4,}/[^\s<>"]+"""
 AUTH = r"https?://(?:www\.)?(?:pubmed|ncbi\.nlm\.nih\.gov|scholar\.google|arxiv\.org|biorxiv\.org)/\S+"
 NUM = r"\b\d+(?:[.,]\d+)?(?:%|°C|°F|kg|mg|μg|ng|min|sek|h|ms|mm|cm|m|km|x)?\b"
@@ -330,6 +331,7 @@ RULES = "SELECT * FROM (VALUES " + ", ".join(
 VALUES = """SELECT o.*, r.kind, r.field, r.fmt, json_extract(obj, concat('$."', r.field, '"')) AS val FROM o JOIN rules r USING (schema_type)"""
 EMPTY = """(val IS NULL OR CAST(val AS VARCHAR) IN ('null', '""', '[]', '{}'))"""
 STR = "json_extract_string(val, '$')"
+# Fixed patterns of the format checks
 URL_RE = r'^https?://[^\s<>"]+$'
 REL_RE = r'^(?:https?://[^\s<>"]+|/[^\s<>"]*|\.{0,2}/[^\s<>"]*)$'
 DATE_RE = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
