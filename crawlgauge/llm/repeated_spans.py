@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,9 @@ from crawlgauge.llm.suffix_arrays import Shard
 
 LENGTH = 50
 GRAM = 16
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 16_000_000
 #: Parts for each shard of documents: runs are some tenths of the text.
-PARTS_PER_SHARD = 2
+PARTS_PER_SHARD = 4
 #: Bytes of one suffix array.
 ARRAY_BYTES = 1_000_000
 #: Bytes hashed at once; bounds scratch memory for very long texts.
@@ -88,8 +89,37 @@ def distinct_anchors(raw: np.ndarray, length: int) -> np.ndarray:
     return np.unique(m[np.concatenate([[True], m[1:] != m[:-1]])]) if len(m) else m
 
 
-def run_bits(parts: list[np.ndarray], kind: str) -> bytes:
-    return (np.concatenate(parts) if parts else np.zeros(0)).astype(kind).tobytes()
+#: Bytes of an anchor's key that are sent. Equal keys of different anchors only make some strings be sorted in vain.
+KEY_BYTES = 6
+
+
+def anchor_keys(values: np.ndarray) -> np.ndarray:
+    return mix64(values) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def short(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
+def packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays behind their lengths, compressed."""
+    raw = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
+    head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *raw]))
+
+
+def unpacked(body: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    sizes = np.frombuffer(raw[8 : 8 * (n + 1)], np.int64)
+    ends = 8 * (n + 1) + np.cumsum(sizes)
+    return [raw[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 class Sub:
@@ -130,36 +160,37 @@ def removed(documents: DataFrame, length: int = LENGTH, keep_bytes: bool = False
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
 
-    def part_of(values: np.ndarray) -> np.ndarray:
-        return (mix64(values) % np.uint64(parts)).astype(np.int64)
+    def part_of(keys: np.ndarray) -> np.ndarray:
+        return (keys % np.uint64(parts)).astype(np.int64)
 
     def send_anchors(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         ids, known, texts = in_order(docs)
         found = [distinct_anchors(np.frombuffer(t, np.uint8), length) for t, k in zip(texts, known, strict=True) if k]
-        values = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        values = np.unique(anchor_keys(np.concatenate(found))) if found else np.zeros(0, np.uint64)
         part = part_of(values)
         order = np.argsort(part, kind="stable")
         values, part = values[order], part[order]
         cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        return pd.DataFrame({"part": part[cuts], "shard": int(key[0]), "anchors": [v.tobytes() for v in np.split(values, cuts[1:])] if len(cuts) else []})
+        return pd.DataFrame({"part": part[cuts], "shard": int(key[0]), "anchors": [short(v) for v in np.split(values, cuts[1:])] if len(cuts) else []})
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        each = [np.frombuffer(b, np.uint64) for b in group["anchors"]]
+        each = [long(b) for b in group["anchors"]]
         ordered = np.sort(np.concatenate(each))
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         both = [v[member(v, twice)] for v in each]
-        out = [(s, v.tobytes()) for s, v in zip(group["shard"], both, strict=True) if len(v)]
+        out = [(s, short(v)) for s, v in zip(group["shard"], both, strict=True) if len(v)]
         return pd.DataFrame(out, columns=["shard", "anchors"])
 
     def cut_runs(key: tuple, docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         ids, known, texts = in_order(docs)
-        elsewhere = [np.frombuffer(b, np.uint64) for b in shared["anchors"]]
+        elsewhere = [long(b) for b in shared["anchors"]]
         scanned, own = [], []
         for text, k in zip(texts, known, strict=True):
             m = anchors(np.frombuffer(text, np.uint8), length) if k else np.zeros(0, np.uint64)
             edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
-            scanned.append((m[edge], edge, len(m)))
-            own.append(np.unique(m[edge]))
+            keys = anchor_keys(m[edge])
+            scanned.append((keys, edge, len(m)))
+            own.append(np.unique(keys))
         values = np.sort(np.concatenate([np.zeros(0, np.uint64), *own]))
         here = values[1:][values[1:] == values[:-1]]
         wanted = np.unique(np.concatenate([here, *elsewhere]))
@@ -179,61 +210,80 @@ def removed(documents: DataFrame, length: int = LENGTH, keep_bytes: bool = False
         contents, anchor, owner = list(numbers), np.array(anchor, np.uint64), np.array(owner, np.int64)
         part = part_of(anchor)
         out = []
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((anchor, part))
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         for rows_ in np.split(order, cuts) if len(order) else []:
             some = [contents[i] for i in rows_]
-            out.append((int(part[rows_[0]]), int(key[0]), anchor[rows_].tobytes(), owner[rows_].tobytes(), rows_.astype(np.int32).tobytes(), np.array([len(c) for c in some], np.int32).tobytes(), b"".join(some)))
-        places = np.array(seen, np.int64).reshape(-1, 4)
-        out.append((-1, int(key[0]), b"", owner.tobytes(), b"", b"", places.tobytes()))
-        return pd.DataFrame(out, columns=["part", "shard", "anchors", "owners", "numbers", "lengths", "data"])
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        anchor = np.concatenate([np.frombuffer(b, np.uint64) for b in group["anchors"]])
-        owner = np.concatenate([np.frombuffer(b, np.int64) for b in group["owners"]])
-        number = np.concatenate([np.frombuffer(b, np.int32) for b in group["numbers"]])
-        lens = [np.frombuffer(b, np.int32) for b in group["lengths"]]
-        sender = np.repeat(group["shard"].to_numpy(), [len(n) for n in lens])
+            body = packed(anchor[rows_], owner[rows_], rows_.astype(np.int32), np.array([len(c) for c in some], np.int32), b"".join(some))
+            out.append((int(part[rows_[0]]), int(key[0]), body))
+        # the shard's own record travels with the runs, under a key of its own
+        out.append((-1 - int(key[0]), int(key[0]), packed(owner, np.array(seen, np.int32).reshape(-1, 4))))
+        return pd.DataFrame(out, columns=["key", "shard", "body"])
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return group.assign(kind="own")[["shard", "kind", "body"]]
+        columns: list[list] = [[], [], [], []]
         contents: list[bytes] = []
-        for data, n in zip(group["data"], lens, strict=True):
-            ends = np.cumsum(n).tolist()
+        for body in group["body"]:
+            *arrays, data = unpacked(body)
+            for column, raw, kind in zip(columns, arrays, (np.uint64, np.int64, np.int32, np.int32), strict=True):
+                column.append(np.frombuffer(raw, kind))
+            ends = np.cumsum(columns[3][-1]).tolist()
             contents += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        order = np.argsort(anchor, kind="stable")
-        sizes = np.cumsum([len(contents[i]) for i in order])
+        sender = np.repeat(group["shard"].to_numpy(), [len(n) for n in columns[0]])
+        anchor, owner, number = (np.concatenate(c) for c in columns[:3])
+        # equal runs of several shards are one here: all but those of its least document go whole
+        numbers: dict[bytes, int] = {}
+        which = np.fromiter((numbers.setdefault(c, len(numbers)) for c in contents), np.int64, len(contents))
+        distinct = list(numbers)
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, owner)
+        of = np.zeros(len(distinct), np.uint64)
+        of[which] = anchor
+        lens = np.array([len(c) for c in distinct], np.int64)
+        late = np.flatnonzero(owner > least[which])
+        marks = [np.stack([sender[late], number[late], np.zeros(len(late), np.int64), lens[which[late]] - length + 1], axis=1)]
+        holders = np.flatnonzero(owner == least[which])
+        holders = holders[np.argsort(which[holders], kind="stable")]
+        order = np.argsort(of, kind="stable")
+        sizes = np.cumsum(lens[order])
         subs, bounds = [], []
         for rows_ in np.split(order, np.searchsorted(sizes, np.arange(array_bytes, sizes[-1], array_bytes))):
             if len(rows_):
-                subs.append((rows_, Sub([contents[i] for i in rows_], owner[rows_], length)))
-                bounds.append((anchor[rows_[0]], anchor[rows_[-1]]))
+                subs.append((rows_, Sub([distinct[i] for i in rows_], least[rows_], length)))
+                bounds.append((of[rows_[0]], of[rows_[-1]]))
         for i in range(len(subs)):
             for j in range(i + 1, len(subs)):
                 if bounds[j][0] > bounds[i][1]:
                     break
                 subs[i][1].shard.merge(subs[j][1].shard)
-        marks = []
         for rows_, sub in subs:
             row, first, many = sub.smaller()
-            marks.append(np.stack([sender[rows_[row]], number[rows_[row]], first, many], axis=1).astype(np.int64))
-        every = np.concatenate(marks) if marks else np.zeros((0, 4), np.int64)
+            low, high = (np.searchsorted(which[holders], rows_[row], side) for side in ("left", "right"))
+            times = high - low
+            at = holders[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            marks.append(np.stack([sender[at], number[at], np.repeat(first, times), np.repeat(many, times)], axis=1).astype(np.int64))
+        every = np.concatenate(marks)
         every = every[np.argsort(every[:, 0], kind="stable")]
         cuts = np.flatnonzero(np.diff(every[:, 0])) + 1
-        out = [(int(m[0, 0]), -2, b"", np.ascontiguousarray(m[:, 1:]).tobytes()) for m in np.split(every, cuts) if len(m)]
-        return pd.DataFrame(out, columns=["shard", "part", "owners", "data"])
+        out = [(int(m[0, 0]), "less", packed(m[:, 1:].astype(np.int32))) for m in np.split(every, cuts) if len(m)]
+        return pd.DataFrame(out, columns=["shard", "kind", "body"])
 
     def finish(key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         ids, known, texts = in_order(docs)
         base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         edge = np.zeros(base[-1] + 1, np.int64)
-        mine = marks[marks["part"] == -1]
+        mine = marks["body"][marks["kind"] == "own"]
         if len(mine):
-            owner = np.frombuffer(mine["owners"].iloc[0], np.int64)
-            seen = np.frombuffer(mine["data"].iloc[0], np.int64).reshape(-1, 4)
+            owners, places = unpacked(mine.iloc[0])
+            owner, seen = np.frombuffer(owners, np.int64), np.frombuffer(places, np.int32).reshape(-1, 4).astype(np.int64)
             at = base[seen[:, 0]] + seen[:, 1]
             later = ids[seen[:, 0]] > owner[seen[:, 3]]
             np.add.at(edge, at[later], 1)
             np.add.at(edge, at[later] + seen[later, 2] - 1 + length, -1)
             firsts = np.flatnonzero(~later)
-            back = [np.frombuffer(b, np.int64).reshape(-1, 3) for b in marks["data"][marks["part"] == -2]]
+            back = [np.frombuffer(unpacked(b)[0], np.int32).reshape(-1, 3).astype(np.int64) for b in marks["body"][marks["kind"] == "less"]]
             if back and len(firsts):
                 less = np.concatenate(back)
                 less = less[np.argsort(less[:, 0], kind="stable")]
@@ -258,14 +308,10 @@ def removed(documents: DataFrame, length: int = LENGTH, keep_bytes: bool = False
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"] + ["kept"] * keep_bytes
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    runs = "part long, shard long, anchors binary, owners binary, numbers binary, lengths binary, data binary"
     sent = dealt.groupBy("shard").applyInPandas(send_anchors, "part long, shard long, anchors binary")
     shared = sent.groupBy("part").applyInPandas(meet, "shard long, anchors binary")
-    cut = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(cut_runs, runs)
-    # one exchange that both readers below use: runs by part, and each shard's own record by shard
-    spread = cut.repartition(F.when(F.col("part") < 0, F.col("shard")).otherwise(-1 - F.col("part")))
-    less = spread.where("part >= 0").groupBy("part").applyInPandas(compare, "shard long, part long, owners binary, data binary")
-    marks = spread.where("part < 0").select("shard", "part", "owners", "data").unionByName(less)
+    cut = dealt.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(cut_runs, "key long, shard long, body binary")
+    marks = cut.groupBy("key").applyInPandas(compare, "shard long, kind string, body binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * keep_bytes
     return dealt.groupBy("shard").cogroup(marks.groupBy("shard")).applyInPandas(finish, schema)
 
