@@ -267,14 +267,15 @@ def psi_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as answers, the user turn before as the query. Both join keys together are one turn."""
+    """Assistant turns as answers, the user turn before as the query (null where there is none). Both join keys together
+    are one turn."""
     turns = table(spark, sf_dir, "conversations")
     answers = turns.where("role = 'assistant'").alias("a")
     asked = turns.where("role = 'user'").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query")
     )
     failed = "a.conv_id % 11 = 0"
-    return answers.join(asked.alias("q"), ["conv_id", "turn"]).select(
+    return answers.join(asked.alias("q"), ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
         F.expr("concat('provider-', CAST(a.conv_id % 4 AS STRING))").alias("provider"),

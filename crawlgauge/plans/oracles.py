@@ -102,8 +102,8 @@ PSI = f"""SELECT concat(url, '#', CAST(page_id AS STRING)) AS url,
 PROBES = f"""SELECT a.conv_id, a.turn, concat('provider-', CAST(a.conv_id % 4 AS STRING)) AS provider, q.text AS query,
  CASE WHEN a.conv_id % 11 = 0 THEN '' ELSE {D.ANSWER} END AS response_text,
  CASE WHEN a.conv_id % 11 = 0 THEN 'HTTP 500' ELSE '' END AS error
- FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1
- WHERE a.role = 'assistant' AND q.role = 'user'"""
+ FROM conversations a LEFT JOIN (SELECT * FROM conversations WHERE role = 'user') q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1
+ WHERE a.role = 'assistant'"""
 LAYERS = f"SELECT concat('site-', CAST(user_id AS STRING)) AS site, {D.LAYER} AS layer, ts AS run_ts, event_id AS tie, value AS score FROM events"
 HISTORY = """SELECT concat('site-', CAST(user_id AS STRING)) AS site, date_trunc('day', ts) AS run_ts, event_type AS check_id,
  CASE WHEN min(value) < 4 THEN 'fail' ELSE 'ok' END AS status FROM events GROUP BY ALL"""
