@@ -8,9 +8,10 @@ import pytest
 from check_oracles import compare, connect
 
 import __spark_entry__ as entry
+from crawlgauge.plans import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -29,6 +30,7 @@ def test_query(spark, duck, name):
 
 def test_every_query_is_checked():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
