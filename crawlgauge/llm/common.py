@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgauge.session import WRITTEN, shared_dir
@@ -54,16 +54,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def by_hash(column: str, wanted: int, total: int) -> Column:
+    """Condition that about ``wanted`` of ``total`` distinct values of ``column`` meet, all if there are no more.
+
+    The choice hangs on the values alone, so it is the same in every run, and no task or driver sees more than its part
+    of the sample, however many partitions there are.
+    """
+    steps = 1 << 40
+    return F.pmod(F.xxhash64(F.lit("sample"), column), F.lit(steps)) < F.lit(steps if total <= wanted else steps * wanted // total)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame:
-    """(doc_id, text, quality, toxic) of the ``n_labels`` labelled documents whose hashed id is least.
+    """(doc_id, text, quality, toxic) of about ``n_labels`` labelled documents, chosen by a hash of their id.
 
-    Bounded by ``n_labels`` rows of ``labels``; null ids or null labels are left out, of repeated ids one label stays.
+    Null ids or null labels are left out, of repeated ids one label stays.
     """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     chosen = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+        known.where(by_hash("doc_id", n_labels, known.count()))
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(n_labels)
     )
     return documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")

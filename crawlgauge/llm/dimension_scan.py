@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlgauge.llm.common import prepared, table, written
+from crawlgauge.llm.common import by_hash, prepared, table, written
 
 NEIGHBOURS = 20
 QUERY_EVERY = 20
@@ -101,7 +101,10 @@ def fitted(vectors: DataFrame, k: int = NEIGHBOURS) -> Index | None:
     about = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)")).alias("most")).first()
     if not about["n"]:
         return None
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    rows = vectors.where(by_hash("vec_id", SAMPLE, about["n"])).collect()
+    if len(rows) < 2:  # a tiny table may leave the hash without a row
+        rows = vectors.limit(SAMPLE).collect()
+    rows.sort(key=lambda r: r["vec_id"])
     return Index(np.array([r["embedding"] for r in rows], float), math.sqrt(about["most"]), about["n"], k)
 
 

@@ -209,7 +209,7 @@ class LineField:
 
 
 def train(documents: DataFrame, labels: DataFrame, n_labels: int = N_LABELS, lines: int = LINES_PER_SAMPLE) -> LineField:
-    """Fit on at most ``n_labels`` labelled documents and ``lines`` lines of each; only features reach the driver."""
+    """Fit on about ``n_labels`` labelled documents and ``lines`` lines of each; only features reach the driver."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgauge.llm.common import prepared, table
+from crawlgauge.llm.common import by_hash, prepared, table
 
 N_PAGES = 160
 #: Blocks of a training page that are learned from; labelling reads all.
@@ -326,9 +326,11 @@ def variants(blocks: list[Block], labels: np.ndarray, draw: np.random.Generator)
 
 
 def train(pages: DataFrame, n_pages: int = N_PAGES) -> BlockLabeller:
-    """Fit on at most ``n_pages`` pages (least hash of their HTML); the HTML of these comes to the driver."""
-    sample = pages.select("html").where("html IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(n_pages)
-    return fit([r["html"] for r in sample.collect()])
+    """Fit on about ``n_pages`` distinct pages, chosen by a hash; only the HTML of these leaves the tasks."""
+    filled = pages.select("html", F.xxhash64("html").alias("__hash")).where("html IS NOT NULL")
+    sample = filled.where(by_hash("__hash", n_pages, filled.count())).dropDuplicates(["__hash"])
+    rows = sample.collect() or filled.limit(n_pages).collect()  # few distinct pages may leave the hash without one
+    return fit([r["html"] for r in sorted(rows, key=lambda r: r["__hash"])])
 
 
 def fit(sample: list[str]) -> BlockLabeller:

@@ -135,7 +135,7 @@ class CumulativeLink:
 
 
 def train(documents: DataFrame, labels: DataFrame, n_labels: int = N_LABELS) -> CumulativeLink:
-    """Fit on at most ``n_labels`` labelled documents (least hashed ids); only their features come to the driver."""
+    """Fit on about ``n_labels`` labelled documents (chosen by hashed ids); only their features come to the driver."""
     sample = labelled_sample(documents, labels, n_labels).select("doc_id", "text", grade_column().alias("grade"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
