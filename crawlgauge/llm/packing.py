@@ -30,6 +30,8 @@ OPEN_BINS = 4096
 PIECES_PER_SHARD = 8192
 END_ID = 2
 TOKENIZER = "byte_bpe_50k"
+#: Added tokens of the vocabulary's JSON file: whole wherever they stand in a text, cut out before it is split.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 
 PIECE_FIELDS = [
     ("doc_id", pa.int64()),
@@ -52,17 +54,22 @@ def tokenizer_file(name: str = TOKENIZER, folder: str | None = None) -> str:
 
 
 def encoder(path: str):
-    """The public byte-level vocabulary, read by its ranks.
+    """The public byte-level vocabulary, read by its ranks, with the added tokens of its JSON file.
 
-    Gives the ids that ``tokenizers`` gives with the JSON file of the same vocabulary (a test compares them), about four
-    times as fast; strings of special tokens in a text are ordinary text.
+    ``text_ids`` gives with it the ids that ``tokenizers`` gives with that file (a test compares them), about four times
+    as fast. Its ``encode_ordinary`` alone takes the strings of added tokens as ordinary text.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS)
+
+
+def text_ids(tokens, text: str | None) -> list[int]:
+    """Ids of a whole text, added tokens included; no end id. ``tokens`` is an ``encoder``."""
+    return tokens.encode(text or "", allowed_special="all", disallowed_special=())
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -78,7 +85,7 @@ def tokenized_pieces(documents: DataFrame, capacity: int = CAPACITY, keep_ids: b
     """One row per piece: doc_id, piece, start, length, ids_crc32, own_sequence (full pieces), ids if ``keep_ids``.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur; a null doc_id stays null.
-    Texts are tokenised whole, one at a time; other columns are not read. ``own_sequence`` is null for pieces to be
+    Texts are tokenised whole, one at a time, with ``ADDED_TOKENS`` as ids of their own; other columns are not read. ``own_sequence`` is null for pieces to be
     packed and else numbers the sequence that the piece fills by itself.
     """
     path = tokenizer_file(folder=tokenizer_dir)
@@ -89,7 +96,7 @@ def tokenized_pieces(documents: DataFrame, capacity: int = CAPACITY, keep_ids: b
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(np.asarray(tokens.encode_ordinary(text or ""), "<u4"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(np.asarray(text_ids(tokens, text), "<u4"), np.uint32(END_ID)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own, raw = None, ids[start : start + length].tobytes()
                     if length == capacity:

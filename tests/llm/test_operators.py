@@ -129,6 +129,23 @@ def test_ids_equal_those_of_tokenizers(spark, odd):
         assert own.encode_ordinary(text) == tokens.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_stated_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in tokens.get_added_tokens_decoder().items()} == packing.ADDED_TOKENS
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"x  {end}{end}\n\n y{end}", f"it{end}'s 1{end}2", end[:-1], end.upper(), f"<|{end}|>", f"{end} word" * 900, "", None, *ODD]
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = np.array([*tokens.encode(text or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+        want.update((i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids), 1024)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack_documents(rows).toPandas()
+    assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(int).itertuples(index=False, name=None)) == want
+
+
 def test_packing_is_whole_gapless_and_tight(spark, odd):
     got = packing.pack_documents(odd).toPandas()
     own = packing.encoder(packing.tokenizer_file())
