@@ -1,7 +1,8 @@
 """Licence scan with DataFrame functions only: Dice coefficient over word bigrams against licence templates.
 
 Text is normalised (letters A-Z lowered, all but ASCII letters and digits to one space). Compared are a document's lines,
-its paragraphs (parts between empty lines) and the document as a whole, each a set of distinct word bigrams. A template
+its paragraphs (parts between empty lines), the document as a whole, and the sentences of lines that hold several, each a
+set of distinct word bigrams. Templates are short notices and, from ``licences``, whole texts. A template
 of ``b`` bigrams can reach Dice ``t`` only with units of ``b*t/(2-t)`` to ``b*(2-t)/t`` bigrams, so most templates are
 never compared. Before that, one pass over the text looks for words without which no template can reach ``t`` (see
 ``needs_marker``); that is exact, too. There is no shuffle.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +57,19 @@ TEMPLATES = [
     ),
 ]
 
+#: Whole texts with their disclaimers, without a copyright line: (licence, text) of each file in ``licences``.
+WHOLE_TEXTS = [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+
+#: End of a sentence inside a line.
+SENTENCE_END = r"[.!?][\"')\]]*\s+"
+
 #: Parts of words of which every close match must hold one.
 MARKERS = (
     "licens", "permi", "software", "copy", "distribut", "apache", "gnu", "public", "commons", "restrict", "condition", "without", "notice",
     "hereby", "modif", "document", "disclaim", "sublicense", "version", "limitation", "applicable", "compliance", "warrant", "express",
+    "provide", "contrib", "other", "source", "damages", "library", "program", "section", "includi", "terms", "which", "means", "works",
+    "applica", "include", "patent", "require", "receive", "purpose", "rights", "covered", "recipie", "publish", "executa", "these",
+    "convey", "charge", "offer", "those", "materia", "freedom", "librari", "product", "accompa", "either", "whether", "propaga", "interfa",
     "cc", "mit",
 )
 
@@ -85,9 +96,11 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
-    """Every match: doc_id, kind (line, paragraph, document), place (from 0), license, dice; units under ``min_dice`` absent.
+def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WHOLE_TEXTS, min_dice: float = MIN_DICE) -> DataFrame:
+    """Every match: doc_id, kind (line, paragraph, document, sentence), place (from 0), license, dice; units under ``min_dice`` absent.
 
+    Sentences are those of lines with more than one, numbered through the document; runs of several sentences inside a longer
+    line are no unit, so a notice of several sentences is found only as a line, paragraph or document of its own.
     Ties between licences of one unit go to the name first in order. Null and empty texts match nothing; a unit of
     fewer than two words has no bigram and matches nothing. Repeated rows give repeated matches; other columns are not read.
     """
@@ -100,9 +113,11 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min
         rows = rows.where(F.col("text").rlike("(?i)" + "|".join(MARKERS[:-2]) + r"|\bcc\b|\bmit\b"))
     unit = lambda kind: lambda text, place: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), text.alias("unit"))
     lines, paragraphs = F.split("text", "\n", -1), F.split("text", "\n\n+", -1)
+    sentences = F.flatten(F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(SENTENCE_END + r"\S"))), lambda x: F.split(x, SENTENCE_END, -1)))
     units = F.concat(
         F.transform(lines, unit("line")),
         F.when(F.size(paragraphs) > 1, F.transform(F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))), unit("paragraph"))).otherwise(F.array().cast("array<struct<kind:string,place:int,unit:string>>")),
+        F.transform(sentences, unit("sentence")),
         F.when(F.size(lines) > 1, F.array(F.struct(F.lit("document").alias("kind"), F.lit(0).alias("place"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<kind:string,place:int,unit:string>>")),
     )
     worded = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.kind", "u.place", _words(F.col("u.unit")).alias("words"))
@@ -111,7 +126,7 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min
     for name, template in sets:
         b = len(template)
         wanted = F.col("n").between(math.ceil(b * min_dice / (2 - min_dice) - 1e-9), math.floor(b * (2 - min_dice) / min_dice + 1e-9))
-        dice = 2.0 * F.size(F.array_intersect("grams", F.array(*map(F.lit, template)))) / (F.col("n") + b)
+        dice = 2.0 * F.size(F.array_intersect("grams", F.split(F.lit("|".join(template)), "[|]"))) / (F.col("n") + b)
         close.append(F.when(wanted, F.struct((-dice).alias("less"), F.lit(name).alias("license"))))
     best = grams.select("doc_id", "kind", "place", F.array_min(F.array(*close)).alias("best"))
     return best.where(F.col("best.less") <= -min_dice).select("doc_id", "kind", "place", "best.license", (-F.col("best.less")).alias("dice"))

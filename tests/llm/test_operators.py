@@ -284,6 +284,21 @@ def test_pruned_scan_equals_full_dice(spark):
     assert got == want
 
 
+def test_whole_licence_files_and_sentences(spark):
+    whole = dict(license_scan.WHOLE_TEXTS)
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} == set(whole)
+    # without cc and mit, which the first pass takes as whole words only
+    assert all(license_scan.needs_marker(license_scan.bigrams_of(t), license_scan.MARKERS[:-2]) for t in whole.values())
+    names = sorted(whole)
+    files = [f"Copyright (c) 2024, Example Ltd.\nAll rights reserved.\n\n{whole[n]}" for n in names]
+    flat = [" ".join(whole[n].split()) for n in names]
+    notice = "Copyright 2024 Example Ltd. Licensed under CC BY 4.0. All images belong to their owners."
+    got = {(r["doc_id"], r["kind"], r["place"]): r["license"] for r in license_scan.scan(docs(spark, [*files, *flat, notice])).collect()}
+    for i, name in enumerate(names):
+        assert got[i, "document", 0] == name and got[i + len(names), "line", 0] == name
+    assert {k: v for k, v in got.items() if k[0] == 2 * len(names)} == {(2 * len(names), "sentence", 1): "CC-BY-4.0"}
+
+
 # 5 line spread ---------------------------------------------------------------------------------------------------
 
 
