@@ -29,6 +29,8 @@ from crawlgauge.llm.common import mix64, prepared, table, written
 WORDS = 5
 MIN_PERCENT = 85
 BANDS, ROWS = 25, 5
+#: Chance that the bands miss a pair at the threshold, at most; 25 bands hold it at 85 percent.
+MISS = 4.4e-7
 PLACE_SEED, SHIFT_SEED = 0x5851F42D4C957F2D, 0x2545F491
 #: Set elements hashed at once; bounds the scratch memory for very long texts.
 CHUNK = 1024
@@ -89,6 +91,12 @@ def band_keys(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return key.view(np.int64)
 
 
+def bands_for(min_percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands needed for ``MISS`` at the threshold: 25 at 85 percent, 37 at 80; lower thresholds take more."""
+    apart = 1 - (min_percent / 100) ** rows
+    return max(1, math.ceil(math.log(miss) / math.log(apart))) if apart else 1
+
+
 def similar(a: np.ndarray, b: np.ndarray, min_percent: int = MIN_PERCENT) -> bool:
     """Exact: 100 * |a & b| >= min_percent * |a | b| of two sorted distinct arrays."""
     few, many = sorted((len(a), len(b)))
@@ -98,7 +106,7 @@ def similar(a: np.ndarray, b: np.ndarray, min_percent: int = MIN_PERCENT) -> boo
     return 100 * both >= min_percent * (few + many - both)
 
 
-def signed(documents: DataFrame) -> DataFrame:
+def signed(documents: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """One row per document row, written once: doc_id, n_shingles, digest of the set, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +117,7 @@ def signed(documents: DataFrame) -> DataFrame:
                 elements = shingle_set(text, hashes)
                 sizes.append(len(elements))
                 digests.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(signature(elements)) if len(elements) else [])
+                bands.append(band_keys(signature(elements, n_bands * ROWS), n_bands) if len(elements) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"]
             )
@@ -254,7 +262,7 @@ def copy_groups(documents: DataFrame, min_percent: int = MIN_PERCENT) -> DataFra
     from crawlgauge.llm.components import connected
 
     prepared(documents.sparkSession)
-    rows = signed(documents)
+    rows = signed(documents, bands_for(min_percent))
     able = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     groups = written(able.groupBy("digest").agg(F.min("doc_id").alias("first")), "copies")
     one = able.join(groups, (able.digest == groups.digest) & (able.doc_id == groups["first"])).select(able.doc_id, able.n_shingles, able.bands, able.digest)

@@ -68,6 +68,24 @@ def test_stages_step_by_step(spark, tmp_path):
     assert sorted(map(tuple, whole[columns].to_numpy())) == sorted(map(tuple, kept["pack"][columns].to_numpy()))
 
 
+def test_near_copies_from_80_percent_on_go(spark):
+    """The stage over raw documents, among them pairs between 80 and 85 percent, against all pairs."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    component = plain.near_components(rows, 80)
+    assert component != plain.near_components(rows, 85)
+    got = corpus_pipeline.near_dedup(spark, documents, SF).select("doc_id").toPandas()["doc_id"]
+    assert sorted(got) == sorted(i for i, c in component.items() if i == c)
+
+
+def test_bands_hold_the_miss_at_every_threshold():
+    from crawlgauge.llm import near_copies
+
+    assert near_copies.bands_for(85) == near_copies.BANDS
+    for percent in (60, 70, 80, 85, 95, 100):
+        assert (1 - (percent / 100) ** near_copies.ROWS) ** near_copies.bands_for(percent) <= near_copies.MISS
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
