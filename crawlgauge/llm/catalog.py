@@ -7,6 +7,7 @@ from crawlgauge.llm.dimension_scan import op8_dimension_scan
 from crawlgauge.llm.license_scan import OP4_SQL, op4_license_scan
 from crawlgauge.llm.line_spread import OP5_SQL, op5_line_spread
 from crawlgauge.llm.merge_automaton import op13_merge_automaton
+from crawlgauge.llm.merkle_manifest import OP12_SQL, op12_merkle_manifest
 from crawlgauge.llm.mixing import op7_mixing
 from crawlgauge.llm.near_copies import op3_near_copies
 from crawlgauge.llm.packing import op2_best_fit_packing
@@ -25,7 +26,8 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_quality_grades": op9_quality_grades,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_merge_automaton": op13_merge_automaton,
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op5_line_spread": OP5_SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": OP4_SQL, "op5_line_spread": OP5_SQL, "op12_merkle_manifest": OP12_SQL}
