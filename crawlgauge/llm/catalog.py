@@ -14,6 +14,7 @@ from crawlgauge.llm.packing import op2_best_fit_packing
 from crawlgauge.llm.page_blocks import op10_page_blocks
 from crawlgauge.llm.quality_grades import op9_quality_grades
 from crawlgauge.llm.repeated_spans import op6_repeated_spans
+from crawlgauge.llm.token_alignment import op11_token_alignment
 
 QUERIES = {
     "op6_repeated_spans": op6_repeated_spans,
@@ -26,6 +27,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op9_quality_grades": op9_quality_grades,
+    "op11_token_alignment": op11_token_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_merge_automaton": op13_merge_automaton,
 }
