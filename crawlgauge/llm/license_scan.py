@@ -4,8 +4,8 @@ Text is normalised (letters A-Z lowered, all but ASCII letters and digits to one
 its paragraphs (parts between empty lines), the document as a whole, and the sentences of lines that hold several, each a
 set of distinct word bigrams. Templates are short notices and, from ``licences``, whole texts. A template
 of ``b`` bigrams can reach Dice ``t`` only with units of ``b*t/(2-t)`` to ``b*(2-t)/t`` bigrams, so most templates are
-never compared. Before that, one pass over the text looks for words without which no template can reach ``t`` (see
-``needs_marker``); that is exact, too. There is no shuffle.
+never compared. Before that, documents and then units go that hold none of the bigrams without which no template can reach
+``t`` (see ``anchors_of``); that is exact, too. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlgauge.functions.rows import each
 from crawlgauge.llm.common import prepared, table
 
 MIN_DICE = 0.8
@@ -60,19 +61,12 @@ TEMPLATES = [
 #: Whole texts with their disclaimers, without a copyright line: (licence, text) of each file in ``licences``.
 WHOLE_TEXTS = [(p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
 
+#: Words that stand in any text; they say little about a licence.
+EVERYDAY = {"a", "an", "and", "any", "as", "at", "be", "by", "for", "from", "general", "if", "in", "international", "is", "it", "may", "of", "on", "or", "project", "public", "that", "the", "this", "to", "under", "with", "work", "you"}
+
 #: End of a sentence inside a line.
 SENTENCE_END = r"[.!?][\"')\]]*\s+"
 
-#: Parts of words of which every close match must hold one.
-MARKERS = (
-    "licens", "permi", "software", "copy", "distribut", "apache", "gnu", "public", "commons", "restrict", "condition", "without", "notice",
-    "hereby", "modif", "document", "disclaim", "sublicense", "version", "limitation", "applicable", "compliance", "warrant", "express",
-    "provide", "contrib", "other", "source", "damages", "library", "program", "section", "includi", "terms", "which", "means", "works",
-    "applica", "include", "patent", "require", "receive", "purpose", "rights", "covered", "recipie", "publish", "executa", "these",
-    "convey", "charge", "offer", "those", "materia", "freedom", "librari", "product", "accompa", "either", "whether", "propaga", "interfa",
-    "cc", "mit",
-)
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,19 +75,37 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def needs_marker(bigrams: list[str], markers: tuple[str, ...] = MARKERS, min_dice: float = MIN_DICE) -> bool:
-    """Whether a unit with Dice ``min_dice`` must share a bigram that holds a marker: the others are too few."""
-    plain = sum(not any(m in b for m in markers) for b in bigrams)
-    return plain < math.ceil(len(bigrams) * min_dice / (2 - min_dice) - 1e-9)
+def least_shared(n_template: int, min_dice: float = MIN_DICE) -> int:
+    """Bigrams that any unit with Dice ``min_dice`` shares with a template of so many: as many as the smallest one has."""
+    return math.ceil(n_template * min_dice / (2 - min_dice) - 1e-9)
+
+
+def rarest_word(bigram: str) -> str:
+    return max(bigram.split(), key=lambda w: (w not in EVERYDAY, len(w)))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", -1), lambda w: w != "")
+def anchors_of(bigrams: list[str], min_dice: float = MIN_DICE) -> list[str]:
+    """Bigrams of a template of which every close unit holds at least one: without them too few are left to share.
+
+    Those with the longest words, everyday ones aside, as these are the rarest in other text; any others would be as exact.
+    """
+    rarest = sorted(bigrams, key=lambda g: (-len(rarest_word(g)) if rarest_word(g) not in EVERYDAY else 0, g))
+    return rarest[: len(bigrams) - least_shared(len(bigrams), min_dice) + 1]
+
 
+#: Normalised words of a text column, and an empty one where the text begins or ends with none. Two letters outside ASCII
+#: have lower-case forms with an ASCII letter; they go first, the others don't matter.
+WORDS = "split(lower(replace(replace({0}, '\u0130', ' '), '\u212a', ' ')), '[^a-z0-9]+', -1)"
 
-def _bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+
+def _holds(array: str, values: set[str]) -> Column:
+    """Whether the array has one of ``values``, by one set made once; as SQL, since thousands of literals are slow to hand over."""
+    return F.expr(f"exists({array}, x -> x IN ({', '.join(repr(v) for v in sorted(values))}))")
+
+
+def _pairs(words: Column) -> Column:
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WHOLE_TEXTS, min_dice: float = MIN_DICE) -> DataFrame:
@@ -106,11 +118,15 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WH
     """
     sets = [(name, bigrams_of(text)) for name, text in templates]
     sets = [(name, grams) for name, grams in sets if grams]
-    low = math.ceil(min(len(g) for _, g in sets) * min_dice / (2 - min_dice) - 1e-9)
+    low = min(least_shared(len(g), min_dice) for _, g in sets)
     high = math.floor(max(len(g) for _, g in sets) * (2 - min_dice) / min_dice + 1e-9)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    if all(needs_marker(g, min_dice=min_dice) for _, g in sets):
-        rows = rows.where(F.col("text").rlike("(?i)" + "|".join(MARKERS[:-2]) + r"|\bcc\b|\bmit\b"))
+    anchors = {a for _, g in sets for a in anchors_of(g, min_dice)}
+    strings = lambda values: F.split(F.lit("|".join(values)), "[|]")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # a unit's bigrams are bigrams of the document, so a document without any anchor has no match; single words are cheaper to look up
+    words = F.array(F.expr(WORDS.format("text")))
+    likely = each(rows.where(_holds(WORDS.format("text"), set(map(rarest_word, anchors)))), ["doc_id", "text"], words, "words")
+    rows = each(likely, ["doc_id", "text"], F.array(_pairs(F.col("words"))), "pairs").where(_holds("pairs", anchors))
     unit = lambda kind: lambda text, place: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("place"), text.alias("unit"))
     lines, paragraphs = F.split("text", "\n", -1), F.split("text", "\n\n+", -1)
     sentences = F.flatten(F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(SENTENCE_END + r"\S"))), lambda x: F.split(x, SENTENCE_END, -1)))
@@ -120,15 +136,18 @@ def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + WH
         F.transform(sentences, unit("sentence")),
         F.when(F.size(lines) > 1, F.array(F.struct(F.lit("document").alias("kind"), F.lit(0).alias("place"), F.col("text").alias("unit")))).otherwise(F.array().cast("array<struct<kind:string,place:int,unit:string>>")),
     )
-    worded = rows.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.kind", "u.place", _words(F.col("u.unit")).alias("words"))
-    grams = worded.where(F.size("words") > low).withColumn("grams", _bigrams(F.col("words"))).withColumn("n", F.size("grams")).where(F.col("n").between(low, high))
+    # each step's arrays are computed once: a filter on them stays above the explode that holds them
+    key = ["doc_id", "kind", "place"]
+    worded = each(each(rows, ["doc_id"], units, "u").select("doc_id", "u.kind", "u.place", "u.unit"), key, F.array(F.filter(F.expr(WORDS.format("unit")), lambda w: w != "")), "words")
+    paired = each(worded.where(F.size("words") > low), key, F.array(_pairs(F.col("words"))), "pairs").where(_holds("pairs", anchors))
+    grams = each(paired, key, F.array(F.array_distinct("pairs")), "grams").withColumn("n", F.size("grams")).where(F.col("n").between(low, high))
     close = []
     for name, template in sets:
         b = len(template)
-        wanted = F.col("n").between(math.ceil(b * min_dice / (2 - min_dice) - 1e-9), math.floor(b * (2 - min_dice) / min_dice + 1e-9))
-        dice = 2.0 * F.size(F.array_intersect("grams", F.split(F.lit("|".join(template)), "[|]"))) / (F.col("n") + b)
+        wanted = F.col("n").between(least_shared(b, min_dice), math.floor(b * (2 - min_dice) / min_dice + 1e-9))
+        dice = 2.0 * F.size(F.array_intersect(strings(template), "grams")) / (F.col("n") + b)
         close.append(F.when(wanted, F.struct((-dice).alias("less"), F.lit(name).alias("license"))))
-    best = grams.select("doc_id", "kind", "place", F.array_min(F.array(*close)).alias("best"))
+    best = each(grams, key, F.array(F.array_min(F.array(*close))), "best")
     return best.where(F.col("best.less") <= -min_dice).select("doc_id", "kind", "place", "best.license", (-F.col("best.less")).alias("dice"))
 
 
@@ -138,22 +157,28 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 9))
 
 
-_ROWS = ",\n".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
+_ROWS = ",\n".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES + WHOLE_TEXTS))
+_SPACE = r"\t\n\x0B\f\r "
+_END = r"""[.!?]["'')\]]*[""" + _SPACE + "]+"
 OP4_SQL = rf"""
 WITH templates(id, license, body) AS (VALUES
 {_ROWS}
 ),
+docs AS (
+    SELECT doc_id, text, row_number() OVER () AS n, string_split(text, chr(10)) AS l, regexp_split_to_array(text, '\n\n+') AS p FROM documents
+),
+sentences AS (
+    SELECT doc_id, flatten(list_transform(list_filter(l, lambda x: regexp_matches(x, '{_END}[^{_SPACE}]')), lambda x: regexp_split_to_array(x, '{_END}'))) AS s FROM docs
+),
 units AS (
-    SELECT doc_id, 'line' AS kind, (unnest(range(len(l))))::INTEGER AS place, unnest(l) AS unit
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+    SELECT doc_id, 'line' AS kind, (unnest(range(len(l))))::INTEGER AS place, unnest(l) AS unit FROM docs
+    UNION ALL
+    SELECT doc_id, 'paragraph', unnest(range(len(p)))::INTEGER, unnest(p)
+    FROM (SELECT doc_id, list_filter(p, lambda x: contains(x, chr(10))) AS p FROM docs WHERE len(p) > 1)
     UNION ALL
-    SELECT doc_id, kind, (row_number() OVER (PARTITION BY doc_id, n ORDER BY pos) - 1)::INTEGER AS place, unit
-    FROM (
-        SELECT doc_id, 'paragraph' AS kind, n, unnest(range(len(p))) AS pos, unnest(p) AS unit
-        FROM (SELECT doc_id, row_number() OVER () AS n, regexp_split_to_array(text, '\n\n+') AS p FROM documents) WHERE len(p) > 1
-    ) WHERE contains(unit, chr(10))
+    SELECT doc_id, 'sentence', unnest(range(len(s)))::INTEGER, unnest(s) FROM sentences
     UNION ALL
-    SELECT doc_id, 'document', 0, text FROM documents WHERE contains(text, chr(10))
+    SELECT doc_id, 'document', 0, text FROM docs WHERE contains(text, chr(10))
 ),
 words AS (
     SELECT doc_id, kind, place, list_filter(regexp_split_to_array(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM units

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -262,7 +263,18 @@ def test_licence_notices(spark, odd, empty):
     # the long notice begins with the short one
     assert got == {(0, "line", "Apache-2.0"), (1, "line", "MIT"), (2, "document", "MIT"), (3, "paragraph", "Apache-2.0"), (3, "line", "Apache-2.0")}
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0
-    assert all(license_scan.needs_marker(license_scan.bigrams_of(t)) for _, t in license_scan.TEMPLATES)
+
+
+def test_no_close_unit_lacks_every_anchor():
+    """However few bigrams a unit shares, if it is close and drops the anchors first, one anchor is left."""
+    for _, text in license_scan.TEMPLATES + license_scan.WHOLE_TEXTS:
+        template = license_scan.bigrams_of(text)
+        b, anchors = len(template), set(license_scan.anchors_of(template))
+        others = b - len(anchors)
+        for n in range(1, 2 * b):
+            # a unit of n bigrams that shares all bigrams of the template but the anchors
+            assert 2 * min(n, others) < license_scan.MIN_DICE * (n + b) - 1e-9
+        assert len(anchors) == 1 or any(2 * min(n, others + 1) >= license_scan.MIN_DICE * (n + b) - 1e-9 for n in range(1, 2 * b))
 
 
 def test_pruned_scan_equals_full_dice(spark):
@@ -287,8 +299,6 @@ def test_pruned_scan_equals_full_dice(spark):
 def test_whole_licence_files_and_sentences(spark):
     whole = dict(license_scan.WHOLE_TEXTS)
     assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} == set(whole)
-    # without cc and mit, which the first pass takes as whole words only
-    assert all(license_scan.needs_marker(license_scan.bigrams_of(t), license_scan.MARKERS[:-2]) for t in whole.values())
     names = sorted(whole)
     files = [f"Copyright (c) 2024, Example Ltd.\nAll rights reserved.\n\n{whole[n]}" for n in names]
     flat = [" ".join(whole[n].split()) for n in names]
@@ -299,6 +309,46 @@ def test_whole_licence_files_and_sentences(spark):
     assert {k: v for k, v in got.items() if k[0] == 2 * len(names)} == {(2 * len(names), "sentence", 1): "CC-BY-4.0"}
 
 
+def plain_units(text):
+    lines, paragraphs = text.split("\n"), re.split("\n\n+", text)
+    yield from (("line", k, x) for k, x in enumerate(lines))
+    if len(paragraphs) > 1:
+        yield from (("paragraph", k, x) for k, x in enumerate(p for p in paragraphs if "\n" in p))
+    end = re.compile("[.!?][\"')\\]]*[ \t\n\x0b\f\r]+")
+    yield from (("sentence", k, x) for k, x in enumerate(y for x in lines if re.search(end.pattern + "[^ \t\n\x0b\f\r]", x) for y in end.split(x)))
+    if len(lines) > 1:
+        yield "document", 0, text
+
+
+def test_all_units_against_all_templates(spark):
+    rng = random.Random(12)
+    sets = [(n, set(license_scan.bigrams_of(t))) for n, t in license_scan.TEMPLATES + license_scan.WHOLE_TEXTS]
+    texts = ["\u212aeep the \u0130 MIT license. Released under the M\u0130T License", "Übung: Licensed under CC BY 4.0! Licensed under CC BY-SA 4.0.", None, "", "\n\n"]
+    for _, text in license_scan.TEMPLATES + license_scan.WHOLE_TEXTS:
+        for share in (0.02, 0.12, 0.3):
+            found = re.split(r"(\s+)", text)
+            for i in range(0, len(found), 2):
+                if rng.random() < share:
+                    found[i] = rng.choice(["", "word", "the", "LICENSE"])
+            texts.append("".join(found) + rng.choice(["", "\n\n" + prose(30, rng), " More text. And more."]))
+    want = Counter()
+    for i, text in enumerate(texts):
+        for kind, place, unit in plain_units(text or ""):
+            own = set(license_scan.bigrams_of(unit))
+            best = min(((-2 * len(own & t) / (len(own) + len(t)), n) for n, t in sets), default=None) if own else None
+            if best and best[0] <= -0.8:
+                want[i, kind, place, best[1], round(-best[0], 9)] += 1
+    frame = docs(spark, texts)
+    got = license_scan.scan(frame).collect()
+    assert Counter((r["doc_id"], r["kind"], r["place"], r["license"], round(r["dice"], 9)) for r in got) == want and len(want) > 60
+    # the registered SQL knows the same units and templates
+    import duckdb
+
+    base = duckdb.connect()
+    base.register("documents", frame.toPandas())
+    assert Counter(base.execute(license_scan.OP4_SQL).fetchall()) == want
+
+
 # 5 line spread ---------------------------------------------------------------------------------------------------
 
 
