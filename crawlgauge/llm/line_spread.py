@@ -50,42 +50,52 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near:
 
 
 def drop_lines(documents: DataFrame, lines: DataFrame, boilerplate: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``documents`` with __text (without its boilerplate lines), __lines (counted lines) and __removed."""
+    """row (all columns of ``documents``), text_left (without its boilerplate lines), n_lines (counted lines), n_removed."""
     bad = (
         lines.join(boilerplate, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy("doc_id")
-        .agg(F.collect_set("key").alias("__keys"))
+        .agg(F.collect_set("key").alias("keys"))
     )
-    joined = documents.alias("d").join(bad.alias("b"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("b.doc_id")), "left").select("d.*", "b.__keys")
-    split = F.split("text", "\n", -1)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    joined = rows.join(bad, F.col("row.doc_id").cast("long").eqNullSafe(bad.doc_id), "left").select("row", "keys")
+    text = F.col("row.text")
+    split = F.split(text, "\n", -1)
     counted = lambda x: F.length(F.trim(x)) >= min_chars
-    left = F.filter(split, lambda x: ~(counted(x) & F.array_contains("__keys", _key(x))))
-    text = F.when(F.col("__keys").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("__lines", F.coalesce(F.size(F.filter(split, counted)), F.lit(0)))
-    out = out.withColumn("__removed", F.when(F.col("__keys").isNull() | F.col("text").isNull(), 0).otherwise(F.size(split) - F.size(left)))
-    return out.withColumn("__text", text).drop("__keys")
+    left = F.filter(split, lambda x: ~(counted(x) & F.array_contains("keys", _key(x))))
+    return joined.select(
+        "row",
+        F.when(F.col("keys").isNull(), text).otherwise(F.array_join(left, "\n")).alias("text_left"),
+        F.coalesce(F.size(F.filter(split, counted)), F.lit(0)).alias("n_lines"),
+        F.when(F.col("keys").isNull() | text.isNull(), 0).otherwise(F.size(split) - F.size(left)).alias("n_removed"),
+    )
+
+
+def _dropped(documents: DataFrame, min_sites: int, min_chars: int) -> DataFrame:
+    prepared(documents.sparkSession)
+    lines = line_table(documents, min_chars)
+    return drop_lines(documents, lines, spread(lines, min_sites), min_chars)
 
 
 def cleaned(documents: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``documents`` with __text, __lines and __removed.
+    """``documents`` with __text, __lines and __removed; columns of these names in the input give way to the results.
 
     A null text has no lines and stays null. A null source is no site: its lines count no spread but are removed like
     others. Repeated rows of one doc_id share their fate; a null doc_id is never the first holder of a line. Lines that
     repeat inside one document are one occurrence and go or stay together. Other columns pass unchanged.
     """
-    prepared(documents.sparkSession)
-    lines = line_table(documents, min_chars)
-    return drop_lines(documents, lines, spread(lines, min_sites), min_chars)
+    own = {"__text": "text_left", "__lines": "n_lines", "__removed": "n_removed"}
+    rows = _dropped(documents, min_sites, min_chars)
+    return rows.select(*[F.col(f"row.`{c}`") for c in documents.columns if c not in own], *[F.col(c).alias(name) for name, c in own.items()])
 
 
 def without_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``documents`` with the same columns and the text left; rows of which boilerplate was all go."""
-    rows = cleaned(documents, min_sites, min_chars).where("__removed = 0 OR __text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    changed = {"text": F.col("__text")}
+    rows = _dropped(documents, min_sites, min_chars).where("n_removed = 0 OR text_left RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    changed = {"text": F.col("text_left")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("__removed") > 0, F.length("__text")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
-    return rows.withColumns(changed).select(*documents.columns)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text_left")).otherwise(F.col("row.n_chars")).cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
 
 
 def op5_line_spread(spark, sf_dir: str) -> DataFrame:

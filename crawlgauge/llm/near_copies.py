@@ -107,7 +107,7 @@ def similar(a: np.ndarray, b: np.ndarray, min_percent: int = MIN_PERCENT) -> boo
 
 
 def signed(documents: DataFrame, n_bands: int = BANDS) -> DataFrame:
-    """One row per document row, written once: doc_id, n_shingles, digest of the set, band keys."""
+    """One row per document row, written once: doc_id, text_hash, n_shingles, digest of the set, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -119,24 +119,33 @@ def signed(documents: DataFrame, n_bands: int = BANDS) -> DataFrame:
                 digests.append(hashlib.blake2b(elements.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(signature(elements, n_bands * ROWS), n_bands) if len(elements) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return written(rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"), "signatures")
 
 
-def shingle_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, elements) of the documents whose doc_id is in ``ids``; a merge join, alike at every size."""
+def shingle_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, elements) for ``nodes`` (node, first, digest): the set with that digest among the rows of the document ``first``.
+
+    The node stands in doc_id. A merge join, alike at every size.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            got = [shingle_set(t, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "elements"])
+            ids, got = [], []
+            for node, digest, text in zip(*(batch.column(c).to_pylist() for c in ("node", "digest", "text")), strict=True):
+                elements = shingle_set(text, hashes)
+                if hashlib.blake2b(elements.tobytes(), digest_size=16).digest() == digest:
+                    ids.append(node)
+                    got.append(elements.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "elements"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    return rows.mapInArrow(sets, "doc_id long, elements array<long>").where(F.size("elements") > 0)
+    rows = documents.select(F.col("doc_id").cast("long").alias("first"), "text").join(nodes.hint("merge"), "first").select("node", "digest", "text")
+    return rows.mapInArrow(sets, "doc_id long, elements array<long>")
 
 
 def sharing(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -251,47 +260,65 @@ def block_links(members: DataFrame, found: DataFrame, sets: DataFrame, min_perce
     return dealt.groupBy("batch").applyInPandas(compare, "a long, b long")
 
 
-def copy_groups(documents: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def components_of(documents: DataFrame, min_percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, text_hash, n_shingles, digest), and for each set's digest its component_id and keep_hash.
 
-    Null and empty texts, and texts of white space, have no shingle: linked with nothing, component their own id, kept. A
-    null doc_id can't be linked: component null, kept. Repeated rows give repeated results. Rows of one doc_id with different
-    texts each follow the links of their own text; if both are the least of their groups, the groups count as one. Other
-    columns are not read.
+    Links are between sets, each a node with a number of its own: rows of one doc_id with different texts are as apart as
+    those of different ids. component_id is the least doc_id of a component, keep_hash the text_hash of the row that
+    stands for it, the least one of that id.
     """
     from crawlgauge.llm.components import connected
 
     prepared(documents.sparkSession)
     rows = signed(documents, bands_for(min_percent))
     able = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = written(able.groupBy("digest").agg(F.min("doc_id").alias("first")), "copies")
-    one = able.join(groups, (able.digest == groups.digest) & (able.doc_id == groups["first"])).select(able.doc_id, able.n_shingles, able.bands, able.digest)
-    banded = one.dropDuplicates(["doc_id", "digest"]).select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    least = able.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    groups = written(least.select("digest", F.col("least.doc_id").alias("first"), F.col("least.text_hash").alias("first_hash"), F.monotonically_increasing_id().alias("node")), "copies")
+    one = able.join(groups, (able.digest == groups.digest) & (able.doc_id == groups["first"]) & (able.text_hash == groups.first_hash)).select("node", "n_shingles", "bands")
+    banded = one.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     banded = written(banded, "bands")
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = banded.join(crowded, "key")
     members = written(met, "met")
     score = members.groupBy("doc_id").agg(F.sum("c").alias("met"))
     members = written(with_hubs(members.join(score, "doc_id").select("key", "doc_id", "n", "met")), "members")
-    sets = written(shingle_sets(documents, members.select("doc_id").distinct()), "sets")
+    asked = members.select(F.col("doc_id").alias("node")).distinct()
+    sets = written(shingle_sets(documents, groups.join(asked, "node").select("node", "first", "digest")), "sets")
     hubs = written(hub_links(members, sets, min_percent), "links")
     found = connected(hubs, "hubs")
     # a hub has been compared with all its bucket
     rest = block_links(members.where("doc_id <> hub").select("key", "doc_id"), found, sets, min_percent)
     final = connected(hubs.unionByName(rest), "all")
-    component = groups.join(final, groups["first"] == final.id, "left").select("digest", F.coalesce("component", "first").alias("component"))
-    linked = able.select("doc_id", "n_shingles", "digest").join(component, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    labelled = groups.join(final, groups["node"] == final.id, "left").select("digest", "first", "first_hash", F.coalesce("component", "node").alias("component"))
+    heads = labelled.groupBy("component").agg(F.min(F.struct("first", "first_hash")).alias("head"))
+    return rows, labelled.join(heads, "component").select("digest", F.col("head.first").alias("component_id"), F.col("head.first_hash").alias("keep_hash"))
+
+
+def copy_groups(documents: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Null and empty texts, and texts of white space, have no shingle: linked with nothing, component their own id, kept. A
+    null doc_id can't be linked: component null, kept. Repeated rows give repeated results. Rows of one doc_id with different
+    texts each follow the links of their own text. Other columns are not read.
+    """
+    rows, component = components_of(documents, min_percent)
+    linked = rows.where("doc_id IS NOT NULL AND n_shingles > 0").join(component, "digest").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_copies(documents: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """``documents``, all columns, with one row of each group: that of the least id. Rows without text or id stay."""
-    found = copy_groups(documents, min_percent)
-    kept = found.where("kept").select("doc_id").distinct()
-    named = documents.where("doc_id IS NOT NULL").withColumn("__id", F.col("doc_id").cast("long"))
-    one = named.join(kept.select(F.col("doc_id").alias("__id")).hint("merge"), "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
-    return one.select(*documents.columns).unionByName(documents.where("doc_id IS NULL"))
+    """``documents``, all columns, with one row of each group: that of the least id, of several texts of that id the least by hash.
+
+    Rows without a word and rows without an id stay. Rows equal in id and text are one.
+    """
+    rows, component = components_of(documents, min_percent)
+    heads = component.select(F.col("component_id").alias("id"), F.col("keep_hash").alias("hash")).distinct()
+    wordless = rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    named = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")).where("row.doc_id IS NOT NULL")
+    keyed = named.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash"))
+    one = keyed.join(heads.unionByName(wordless).hint("merge"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return one.select("row.*").unionByName(documents.where("doc_id IS NULL"))
 
 
 def op3_near_copies(spark, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def odd(spark):
     """Odd rows: null, empty and long texts, null ids and sources, repeated rows, and columns with clashing names."""
     rows = plain.rows_of(ODD) + plain.rows_of(ODD)[5:9] + [(None, prose(40), "en", None, 1), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, plain.DOCS)
-    clash = {c: "lit" for c in ("size", "key", "rank", "kept", "n", "part", "shard", "block", "bands", "digest", "component", "words", "list", "chunk", "sites")}
+    clash = {c: "lit" for c in ("size", "key", "rank", "kept", "n", "part", "shard", "block", "bands", "digest", "component", "words", "list", "chunk", "sites", "__id", "__keys", "__hash", "__runs", "row", "id", "hash", "keys", "text_left")}
     from pyspark.sql import functions as F
 
     return df.select("*", *[F.lit(1).alias(c) for c in clash])
@@ -123,11 +123,10 @@ def test_ids_equal_those_of_tokenizers(spark, odd):
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens.encode_special_tokens = True
     texts = [t or "" for t in ODD] + ["it's <|endoftext|> I'll\r\n\n  x\t\ty  ", "１２³ 12,5€ naïve—dash 🙂🙂   end ", "a" * 5000]
     own = packing.encoder(packing.tokenizer_file())
     for text in texts:
-        assert own.encode_ordinary(text) == tokens.encode(text, add_special_tokens=False).ids
+        assert packing.text_ids(own, text) == tokens.encode(text, add_special_tokens=False).ids
 
 
 def test_added_tokens_are_those_of_the_stated_tokenizer(spark):
@@ -152,7 +151,7 @@ def test_packing_is_whole_gapless_and_tight(spark, odd):
     own = packing.encoder(packing.tokenizer_file())
     want = Counter()
     for r in odd.collect():
-        ids = np.array([*own.encode_ordinary(r["text"] or ""), packing.END_ID], "<u4")
+        ids = np.array([*packing.text_ids(own, r["text"]), packing.END_ID], "<u4")
         for k, (start, length) in enumerate(packing.cut(len(ids), 1024)):
             want[(-1 if r["doc_id"] is None else r["doc_id"], k, start, length, zlib.crc32(ids[start : start + length].tobytes()))] += 1
     assert Counter(got.fillna(-1)[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(int).itertuples(index=False, name=None)) == want
@@ -168,7 +167,7 @@ def test_sequences_hold_the_ids(spark, odd):
     own = packing.encoder(packing.tokenizer_file())
     want = Counter()
     for r in odd.where("doc_id IS NOT NULL").collect():
-        want.update([*own.encode_ordinary(r["text"] or ""), packing.END_ID])
+        want.update([*packing.text_ids(own, r["text"]), packing.END_ID])
     assert Counter(i for r in sequences for i in r["ids"]) == want
 
 
@@ -242,6 +241,20 @@ def test_copies_odd_rows(spark, odd, empty):
     assert sorted(i for i in ids if i is not None) == list(range(len(ODD))) and ids.count(None) == 2
 
 
+def test_texts_of_one_id_go_apart(spark):
+    rng = random.Random(21)
+    base, other = prose(150, rng), prose(150, rng)
+    rows = [(1, base), (3, edited(base, 2, rng)), (3, other), (3, other), (5, other), (3, edited(other, 1, rng)), (7, other.upper()), (None, base), (9, None), (9, "")]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3) for i, t in rows], plain.DOCS + ", __id int, hash int")
+    kept = Counter((r["doc_id"], r["text"]) for r in near_copies.without_copies(frame).collect())
+    # one of the two texts of document 3 that are near copies of each other stands for both and for 5 and 7
+    assert kept[3, other] + kept[3, rows[5][1]] == 1 and kept[3, rows[1][1]] == 0
+    assert kept[1, base] == kept[None, base] == kept[9, None] == kept[9, ""] == 1 and sum(kept.values()) == 5
+    assert near_copies.without_copies(frame).columns == frame.columns
+    found = Counter((r["doc_id"], r["component_id"]) for r in near_copies.copy_groups(frame).collect())
+    assert found == {(1, 1): 1, (3, 1): 1, (3, 3): 3, (5, 3): 1, (7, 3): 1, (None, None): 1, (9, 9): 2}
+
+
 def test_components_of_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (600, 500)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.connected(path).collect()}

@@ -46,7 +46,6 @@ def test_op2(spark, documents):
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens.encode_special_tokens = True
     got = result(spark, "op2_best_fit_packing")
     want = Counter()
     for i, text, _ in documents:
