@@ -1,13 +1,14 @@
 """Mixing sources to target weights: blocks of words, multinomial draws per output shard, index permutations.
 
 The words of a source's documents form one stream, cut into blocks of ``BLOCK`` words. The mix is a list of slots, each
-holding one block. Output shards draw how many slots they take from each source from a multinomial; a source's slots are
-numbered through all shards, and slot ``j`` holds block ``P(j)`` for a pseudorandom permutation ``P`` of the source's
+holding one block. Output shards draw how many slots they take from each source: multinomial counts given that each source
+ends at its target, which makes them multivariate hypergeometric. The shards are halved again and again and each half's
+counts are drawn from those of the whole, so a task draws for its own shards alone and all draws add up. A source's slots
+are numbered through the shards, and slot ``j`` holds block ``P(j)`` for a pseudorandom permutation ``P`` of the source's
 block numbers (a Feistel network with cycle walking, so nothing is stored or shuffled to permute). Slots and blocks meet
 in an equality join on (source, block).
 
-Draws beyond a source's target are not used and missing ones go to closing shards, so each source gets its target to
-the word. Streams are laid out by prefix sums over hashed chunks: no task sees all rows of a source.
+Streams are laid out by prefix sums over hashed chunks: no task sees all rows of a source.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 from crawlgauge.llm.common import WORD_PATTERN, mix64, prepared, table, written
 
 BLOCK = 256
-SLOTS_PER_SHARD = 4096
+SLOTS_PER_SHARD = 256
 ROWS_PER_CHUNK = 4_000
-SHARDS_PER_CHUNK = 1_000
-SHARDS_PER_TASK = 64
+SHARDS_PER_TASK = 1024
+#: numpy's bound for hypergeometric draws; beyond it the normal distribution, then within a ten-thousandth, stands in.
+EXACT_DRAWS = 10**9
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_REPEATS = 2
@@ -136,52 +138,60 @@ def plan_of(sizes: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[Pla
     return Plan([(r["source"], r["size"]) for r in rows], block, seed), {r["source"]: r["n"] for r in rows}
 
 
-def drawn_slots(spark, plan: Plan, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """shard, rank (of the source), slot, block, words (that the slot takes of its block, at most)."""
-    shards, total = plan.total // per_shard, max(1, plan.total)
-    chance, slots, blocks, limits, n_sources = np.array(plan.slots, float) / total, plan.slots, plan.blocks, plan.limits, len(plan.sources)
-    block, keys, seed = plan.block, [plan.key(i) for i in range(n_sources)], plan.seed
+def shared_out(counts: np.ndarray, n: int, draw: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among ``n`` drawn from ``counts`` without putting back."""
+    if counts.sum() < EXACT_DRAWS:
+        return draw.multivariate_hypergeometric(counts, n, method="marginals")
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        share = c / rest if rest else 0.0
+        spread = math.sqrt(n * share * (1 - share) * (rest - n) / max(rest - 1, 1))
+        rest -= c
+        out[i] = min(max(round(draw.normal(n * share, spread)), n - rest, 0), c, n)
+        n -= int(out[i])
+    return out
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard in frame["id"]:
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(per_shard, chance / chance.sum())
-                yield pd.DataFrame({"rank": np.arange(n_sources, dtype=np.int32), "shard": int(shard), "chunk": int(shard) // SHARDS_PER_CHUNK, "n": counts.astype(np.int64)})
-
-    many = max(1, shards // SHARDS_PER_TASK)
-    counts = written(spark.range(0, shards, 1, many).mapInPandas(draw, "rank int, shard long, chunk long, n long"), "draws")
-    started = with_starts(counts, ["rank"], "chunk", ["shard"], "n", "first")
-    # what no shard drew goes to closing shards behind the others
-    wanted = spark.createDataFrame([(i, int(n)) for i, n in enumerate(slots)], "rank int, wanted long")
-    have = counts.groupBy("rank").agg(F.sum("n").alias("have"))
-    closing = (
-        wanted.join(have, "rank", "left")
-        .select("rank", "wanted", F.coalesce("have", F.lit(0)).alias("have"))
-        .where("have < wanted")
-        .select("rank", F.explode(F.sequence(F.col("have"), F.col("wanted") - 1, F.lit(per_shard).cast("long"))).alias("first"), "wanted", "have")
-        .select("rank", (F.lit(shards) + F.floor((F.col("first") - F.col("have")) / per_shard)).cast("long").alias("shard"), F.least(F.lit(per_shard).cast("long"), F.col("wanted") - F.col("first")).alias("n"), "first", "wanted")
-    )
-    used = started.join(wanted, "rank").select("rank", "shard", F.least("n", F.col("wanted") - F.col("first")).alias("n"), "first").where("n > 0")
-    ranges = used.unionByName(closing.select("rank", "shard", "n", "first"))
+
+def shard_draws(slots: list[int], per_shard: int, first: int, end: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, counts by source, slots of each source in the shards before) of the shards from ``first`` to before ``end``."""
+    todo = [(0, -(-sum(slots) // per_shard), np.array(slots, np.int64), np.zeros(len(slots), np.int64))]
+    while todo:
+        lo, hi, counts, before = todo.pop()
+        if hi <= first or lo >= end:
+            continue
+        if hi - lo == 1:
+            yield lo, counts, before
+            continue
+        middle = (lo + hi) // 2
+        left = shared_out(counts, (middle - lo) * per_shard, np.random.default_rng([seed, lo, hi]))
+        todo += [(middle, hi, counts - left, before + left), (lo, middle, left, before)]
+
+
+def drawn_slots(spark, plan: Plan, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The mix slot by slot: shard, place (in the shard), rank (of the source), slot, block, words (that the slot takes of
+    its block, at most). Every shard but the last has ``per_shard`` slots."""
+    shards, slots, blocks, limits, block = -(-plan.total // per_shard), plan.slots, plan.blocks, plan.limits, plan.block
+    keys, seed = [plan.key(i) for i in range(len(plan.sources))], plan.seed
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for rank, part in frame.groupby("rank"):
-                n, slot = blocks[rank], np.concatenate([np.arange(a, a + k) for a, k in zip(part["first"], part["n"], strict=True)])
-                yield pd.DataFrame({
-                    "shard": np.repeat(part["shard"].to_numpy(), part["n"]),
-                    "rank": np.int32(rank),
-                    "slot": slot,
-                    "block": permuted(slot % n, n, keys[rank]),
-                    "words": np.where(slot == slots[rank] - 1, limits[rank], block),
-                })
+            # ids of a partition are consecutive
+            for shard, counts, before in shard_draws(slots, per_shard, int(frame["id"].min()), int(frame["id"].max()) + 1, seed) if len(frame) else ():
+                rank = np.repeat(np.arange(len(counts)), counts)
+                slot = np.arange(len(rank)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(before, counts)
+                at = np.empty(len(rank), np.int64)
+                for r in np.unique(rank):
+                    at[rank == r] = permuted(slot[rank == r] % blocks[r], blocks[r], keys[r])
+                most = np.where(slot == np.array(slots)[rank] - 1, np.array(limits)[rank], block)
+                place = permuted(np.arange(len(rank)), len(rank), seed * 1_000_003 + shard)
+                yield pd.DataFrame({"shard": shard, "place": place, "rank": rank.astype(np.int32), "slot": slot, "block": at, "words": most})
 
-    return ranges.mapInPandas(lay, "shard long, rank int, slot long, block long, words long")
+    return spark.range(0, shards, 1, max(1, shards // SHARDS_PER_TASK)).mapInPandas(lay, "shard long, place long, rank int, slot long, block long, words long")
 
 
 def taken_parts(sizes: DataFrame, plan: Plan, n_rows: dict[str | None, int], per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """One row per document row and block of it: the document's columns, rank, start (in its source's stream),
-    lo, hi (its words there, from 0), and slot and upto (words up to which the slot takes it), null if not taken."""
+    lo, hi (its words there, from 0), and shard, place, slot and upto (words up to which the slot takes it), null if not taken."""
     spark, block = sizes.sparkSession, plan.block
     chunks = [max(1, math.ceil(n_rows.get(s, 0) / ROWS_PER_CHUNK)) for s in plan.sources]
     ranks = spark.createDataFrame([(s, i, c) for i, (s, c) in enumerate(zip(plan.sources, chunks, strict=True))], "source string, rank int, chunks long")
@@ -197,7 +207,7 @@ def taken_parts(sizes: DataFrame, plan: Plan, n_rows: dict[str | None, int], per
     )
     slots = drawn_slots(spark, plan, per_shard).alias("t")
     joined = parts.alias("p").join(slots, (F.col("p.rank") == F.col("t.rank")) & (F.col("p.block") == F.col("t.block")), "left")
-    return joined.select("p.*", "t.slot", F.when(F.col("t.slot").isNotNull(), F.least("p.hi", "t.words")).alias("upto"))
+    return joined.select("p.*", "t.shard", "t.place", "t.slot", F.when(F.col("t.slot").isNotNull(), F.least("p.hi", "t.words")).alias("upto"))
 
 
 def mix_sizes(documents: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
@@ -219,60 +229,105 @@ def mix_sizes(documents: DataFrame, block: int = BLOCK, seed: int = SEED, per_sh
     return rows.unionByName(empty)
 
 
-def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """The mix as rows of ``documents``: each row's taken words, one row for each time round its source.
+def _taken_runs(documents: DataFrame, block: int, seed: int, per_shard: int) -> tuple[DataFrame, DataFrame]:
+    """One row for each distinct (doc_id, source, text): row and its runs (shard, place, time, a, b); and the sources.
 
-    Words next to each other keep the text between them; separate runs are joined by a line break. Rows of which nothing
-    is taken are absent. n_chars, where there is such a column, is that of the new text; other columns stay. Rows equal
-    in doc_id, source and text are one document here.
+    Rows equal in all three are one after another in their source, so they are laid out as one document of as many
+    times its words, and a run's words count through all of them.
     """
     prepared(documents.sparkSession)
     key = ["doc_id", "source", "text_hash"]
     sizes = written(sized(documents), "sizes")
-    distinct = sizes.groupBy(*key).agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    repeated = bool(distinct.where("n > 1").limit(1).count())
+    distinct = sizes.groupBy(*key).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    repeated = not distinct.where("n > 1").isEmpty()
     single = distinct.drop("n") if repeated else sizes
     plan, n_rows = plan_of(single, block, seed)
-    names = documents.sparkSession.createDataFrame(list(enumerate(plan.sources)), "rank int, source string")
-    parts = taken_parts(single, plan, n_rows, per_shard).where("upto > lo")
-    blocks = F.element_at(F.array(*[F.lit(n) for n in plan.blocks] or [F.lit(1)]), F.col("rank") + 1)
+    names = documents.sparkSession.createDataFrame(list(zip(range(len(plan.sources)), plan.sources, plan.blocks, strict=True)), "rank int, source string, blocks long")
     runs = (
-        parts.join(F.broadcast(names), "rank")
-        .select(*key, F.floor(F.col("slot") / blocks).cast("int").alias("time"), (F.col("block") * block + F.col("lo") - F.col("start")).alias("a"), (F.col("block") * block + F.col("upto") - F.col("start")).alias("b"))
+        taken_parts(single, plan, n_rows, per_shard)
+        .where("upto > lo")
+        .join(F.broadcast(names), "rank")
+        .withColumn("base", F.col("block") * block - F.col("start"))
+        .select(*key, F.struct("shard", "place", F.expr("cast(slot div blocks as int)").alias("time"), (F.col("base") + F.col("lo")).alias("a"), (F.col("base") + F.col("upto")).alias("b"), "lo").alias("run"))
         .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("time", "a", "b"))).alias("__runs"))
+        .agg(F.collect_list("run").alias("runs"))
     )
-    whole = documents.withColumn("__hash", F.xxhash64("text"))
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    whole = whole.select("row", F.col("row.doc_id").cast("long").alias("id"), F.col("row.source").cast("string").alias("of"), F.xxhash64("row.text").alias("hash"))
     if repeated:
-        whole = whole.dropDuplicates(["doc_id", "source", "__hash"])
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("r.source")) & (F.col("d.__hash") == F.col("r.text_hash"))
-    joined = whole.alias("d").join(runs.alias("r"), same).select(*[F.col(f"d.`{c}`") for c in documents.columns], "r.__runs")
+        whole = whole.dropDuplicates(["id", "of", "hash"])
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("text_hash"))
+    return whole.join(runs, same).select("row", "runs"), names
+
+
+def _pieces(text: str, runs: list[dict]) -> Iterator[tuple[dict, int, int, int, tuple[int, int]]]:
+    """(run, copy, first word, end word, characters) of each run's part in each copy of the text."""
+    spans = [m.span() for m in regex.finditer(WORD_PATTERN, text)]
+    n = len(spans)
+    for run in runs:
+        a = run["a"]
+        while a < run["b"]:
+            copy = a // n
+            b = min(run["b"], (copy + 1) * n)
+            yield run, copy, a - copy * n, b - copy * n, (spans[a - copy * n][0], spans[b - copy * n - 1][1])
+            a = b
+
+
+def mixed_documents(documents: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The mix as rows of ``documents``: each row's taken words, one row for each time round its source.
+
+    Words next to each other keep the text between them; separate runs are joined by a line break. Rows of which nothing
+    is taken are absent. n_chars, where there is such a column, is that of the new text; other columns stay, those of rows
+    equal in doc_id, source and text from one of them.
+    """
+    rows, _ = _taken_runs(documents, block, seed, per_shard)
     names_out = documents.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = regex.compile(WORD_PATTERN)
         for batch in batches:
+            whole = pa.RecordBatch.from_struct_array(batch.column("row"))
             picked, texts = [], []
-            for i, (text, runs_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist(), strict=True)):
-                spans = [m.span() for m in word.finditer(text)]
-                times: dict[int, list[list[int]]] = {}
-                for run in runs_:
-                    merged = times.setdefault(run["time"], [])
-                    if merged and merged[-1][1] == run["a"]:
-                        merged[-1][1] = run["b"]
+            for i, (text, runs) in enumerate(zip(whole.column(names_out.index("text")).to_pylist(), batch.column("runs").to_pylist(), strict=True)):
+                found: dict[tuple[int, int], list[list]] = {}
+                for run, copy, a, b, (first, end) in sorted(_pieces(text, runs), key=lambda p: (p[1], p[0]["time"], p[2])):
+                    merged = found.setdefault((copy, run["time"]), [])
+                    if merged and merged[-1][0] == a:
+                        merged[-1][0], merged[-1][2] = b, end
                     else:
-                        merged.append([run["a"], run["b"]])
-                for merged in times.values():
+                        merged.append([b, first, end])
+                for merged in found.values():
                     picked.append(i)
-                    texts.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged))
-            out = batch.select(names_out).take(pa.array(picked, pa.int64()))
-            columns = dict(zip(out.schema.names, out.columns, strict=True))
-            columns["text"] = pa.array(texts, out.schema.field("text").type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array(map(len, texts), out.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=out.schema)
-
-    return joined.mapInArrow(cut, documents.schema)
+                    texts.append("\n".join(text[first:end] for _, first, end in merged))
+            out = whole.take(pa.array(picked, pa.int64()))
+            columns = list(out.columns)
+            columns[names_out.index("text")] = pa.array(texts, out.schema.field("text").type)
+            if "n_chars" in names_out:
+                columns[names_out.index("n_chars")] = pa.array(map(len, texts), out.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays(columns, schema=out.schema)
+
+    return rows.mapInArrow(cut, documents.schema)
+
+
+def mixed_slots(documents: DataFrame, block: int = BLOCK, seed: int = SEED, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The mix as the shards hold it: shard, place, source, n_words and text of each slot; documents of a block joined by a line break."""
+    rows, _ = _taken_runs(documents.select("doc_id", "source", "text"), block, seed, per_shard)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "place", "source", "at", "n_words", "text"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for row, runs in zip(batch.column("row").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                n = len(regex.findall(WORD_PATTERN, row["text"]))
+                for run, copy, a, b, (first, end) in _pieces(row["text"], runs):
+                    at = run["lo"] + copy * n + a - run["a"]
+                    for column, value in zip(out, (run["shard"], run["place"], row["source"], at, b - a, row["text"][first:end]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+
+    parts = rows.mapInArrow(cut, "shard long, place long, source string, at long, n_words long, text string")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n")
+    return parts.groupBy("shard", "place").agg(F.first("source").alias("source"), F.sum("n_words").alias("n_words"), joined.alias("text"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

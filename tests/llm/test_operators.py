@@ -473,6 +473,43 @@ def test_mixed_texts_are_the_words_taken(spark, odd, empty):
     assert mixing.mixed_documents(odd, block=8, per_shard=16).count() > 0
 
 
+def test_draws_add_up_and_decide_the_shards():
+    slots = [700, 0, 41, 2000, 3]
+    whole = list(mixing.shard_draws(slots, 64, 0, 10**9, seed=5))
+    assert [s for s, _, _ in whole] == list(range(-(-sum(slots) // 64))) and sum(c for _, c, _ in whole).tolist() == slots
+    assert all(c.sum() == 64 for _, c, _ in whole[:-1]) and len({tuple(c) for _, c, _ in whole}) > 10
+    before = np.zeros(5, int)
+    for _, counts, first in whole:
+        assert first.tolist() == before.tolist()
+        before += counts
+    part = list(mixing.shard_draws(slots, 64, 7, 19, seed=5))
+    assert [(s, c.tolist()) for s, c, _ in part] == [(s, c.tolist()) for s, c, _ in whole[7:19]]
+    # counts of a shard are those of draws without putting back: mean and spread over many seeds
+    third = np.array([next(c for s, c, _ in mixing.shard_draws(slots, 64, 3, 4, seed=k)) for k in range(400)])
+    share = 2000 / 2744
+    assert third[:, 3].mean() == pytest.approx(64 * share, abs=0.6) and third[:, 3].std() == pytest.approx((64 * share * (1 - share)) ** 0.5, rel=0.15)
+
+
+def test_draws_beyond_the_exact_bound():
+    counts = np.array([4 * 10**11, 10**11, 0, 7], np.int64)
+    for n in (0, 1, 10**9, 3 * 10**11, int(counts.sum())):
+        got = mixing.shared_out(counts, n, np.random.default_rng(3))
+        assert got.sum() == n and (got >= 0).all() and (got <= counts).all() and abs(got[0] - n * 0.8) <= 1e-4 * n + 10
+
+
+def test_slots_of_the_mix(spark, odd):
+    got = mixing.mixed_slots(odd, block=8, per_shard=16).toPandas()
+    taken = mixing.mix_sizes(odd, block=8, per_shard=16).toPandas()
+    assert got["n_words"].sum() == taken["taken"].sum() and (got["n_words"] <= 8).all()
+    assert [len(plain.words(t)) for t in got["text"]] == got["n_words"].tolist()
+    places = got.groupby("shard")["place"].apply(sorted)
+    assert all(p == list(range(16)) for p in places.iloc[:-1]) and len(places) > 5
+    assert got.groupby("shard")["source"].nunique(dropna=False).max() > 1
+    # the same words as the rows of the mix, and equal rows as often as op7 counts them
+    rows = mixing.mixed_documents(odd, block=8, per_shard=16).toPandas()
+    assert Counter(w for t in rows["text"] for w in plain.words(t)) == Counter(w for t in got["text"] for w in plain.words(t))
+
+
 # 8 nearest neighbours --------------------------------------------------------------------------------------------
 
 
