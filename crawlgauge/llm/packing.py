@@ -5,8 +5,9 @@ their free space, so the best fitting bin is the lowest set bit at or above the
 the bound is reached, the fullest open bin closes first.
 
 Pieces meet in shards of about ``PIECES_PER_SHARD`` by a hash of their id, so no task depends on the size of the corpus
-and each shard leaves a few bins partly filled; within a shard the longest pieces come first. Pieces as long as a
-sequence fill one by themselves and are never shuffled. Only lengths are shuffled, never tokens.
+and each shard leaves a few bins partly filled. A shard arrives in waves of ``WAVE`` pieces, the longest of a wave first:
+the bins that a wave could not fill stay open for the next ones until the bound closes the fullest of them. Pieces as
+long as a sequence fill one by themselves and are never shuffled. Only lengths are shuffled, never tokens.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from crawlgauge.llm.common import prepared, table, written
 
 CAPACITY = 1024
-OPEN_BINS = 4096
-PIECES_PER_SHARD = 8192
+OPEN_BINS = 2048
+PIECES_PER_SHARD = 65_536
+WAVE = 4096
 END_ID = 2
 TOKENIZER = "byte_bpe_50k"
 #: Added tokens of the vocabulary's JSON file: whole wherever they stand in a text, cut out before it is split.
@@ -142,23 +144,29 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, open_bins: int = OPE
     return bins, offsets
 
 
+def arrival(lengths: np.ndarray, wave: int = WAVE) -> np.ndarray:
+    """Order of arrival of pieces given in any order: wave after wave, the longest of each first."""
+    return np.lexsort((-lengths, np.arange(len(lengths)) // wave))
+
+
 def assigned(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """``pieces`` with sequence_id and offset. Sequences are gapless from 0 and hold at most ``capacity`` tokens.
 
-    ``pieces`` should be a written table: it is counted and read twice. Ties in length go by doc_id, then piece, null
-    first, so reruns agree.
+    ``pieces`` should be a written table: it is counted and read twice. Pieces come in the order of a hash, ties by doc_id, then piece, null first,
+    so reruns agree.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     part = pieces.where("own_sequence IS NULL")
     shards = max(1, math.ceil(part.count() / per_shard))
 
     def pack(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
+        shard = shard.sort_values(["turn", "doc_id", "piece", "ids_crc32", "length"], kind="stable", na_position="first")
+        shard = shard.iloc[arrival(shard["length"].to_numpy())]
         bins, offsets = best_fit(shard["length"].to_numpy(), capacity, open_bins)
         return shard.assign(sequence_id=(int(key[0]) << 36) + bins, offset=offsets)[[*columns, "sequence_id", "offset"]]
 
     packed = (
-        part.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard"))
+        part.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard"), F.xxhash64(F.lit("turn"), "doc_id", "piece", "ids_crc32").alias("turn"))
         .groupBy("shard")
         .applyInPandas(pack, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )

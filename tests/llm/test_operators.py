@@ -184,6 +184,19 @@ def test_bounded_bins_close_the_fullest_first():
             assert offsets[at].tolist() == [0, *np.cumsum(lengths[at])[:-1]] and lengths[at].sum() <= 64
 
 
+def test_the_registered_bound_binds_and_costs_little(spark):
+    """Lengths of real pieces, as many as a shard of the registered query has."""
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lengths = packing.tokenized_pieces(texts).where("own_sequence IS NULL").select("length").toPandas()["length"].to_numpy()
+    lengths = np.random.default_rng(1).choice(lengths, packing.PIECES_PER_SHARD)
+    lengths = lengths[packing.arrival(lengths)]
+    bounded, _ = packing.best_fit(lengths, packing.CAPACITY, packing.OPEN_BINS)
+    free, _ = packing.best_fit(lengths, packing.CAPACITY, len(lengths))
+    tightest = -(-lengths.sum() // packing.CAPACITY)
+    assert (bounded != free).any()  # bins were closed that a later piece would have fitted
+    assert bounded.max() + 1 <= 1.01 * tightest and bounded.max() <= free.max() * 1.002
+
+
 # 3 near copies ---------------------------------------------------------------------------------------------------
 
 
