@@ -4,8 +4,11 @@ Each line of a text gets a small vector of surface features. The chain scores a
 step from one line's label to the next; Viterbi decoding finds the best labelling of the whole document. A document is
 kept if enough of its words are in content lines, after plain base rules.
 
-The chain is fitted on a bounded, documented sample of labelled documents (``N_LABELS`` documents, ``LINES_PER_SAMPLE``
-lines of each); decoding is a map over all documents, whole texts, without a shuffle.
+The chain is fitted on a bounded, documented sample of labelled documents (about ``N_LABELS``, all lines of each). Line
+labels come from what is known of them: lines of poor documents are boilerplate, lines of good ones content but for
+repeats of an earlier line. As such a document rarely changes its label, each good one is learned once more with a poor
+one spliced in before, behind or between its lines, so the steps between labels are learned at places that are known.
+Decoding is a map over all documents, whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 from crawlgauge.llm.common import labelled_sample, prepared, table
 
 N_LABELS = 800
-LINES_PER_SAMPLE = 40
+#: Longer documents are learned in stretches of so many lines, one after another.
+STRETCH = 64
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Share of a document's words that must be in content lines.
@@ -145,18 +149,24 @@ class LineField:
         self.weights, self.steps, self.start = weights, steps, start
 
     @classmethod
-    def fit(cls, documents: list[np.ndarray], labels: np.ndarray, rounds: int = 80, decay: float = 1e-3) -> LineField:
-        """Adam on the mean negative log likelihood of the labels, by forward and backward sums over padded lines."""
-        documents, labels = [d for d in documents if len(d)], np.array([y for d, y in zip(documents, labels, strict=True) if len(d)], np.int64)
-        if not documents or len(np.unique(labels)) < 2:
+    def fit(cls, documents: list[np.ndarray], labels, rounds: int = 80, decay: float = 1e-3) -> LineField:
+        """Adam on the mean negative log likelihood of the labels, by forward and backward sums over padded lines.
+
+        ``labels`` has one label for all lines of a document, or an array with one for each of its lines.
+        """
+        known = [(d, np.full(len(d), y) if np.ndim(y) == 0 else np.asarray(y)) for d, y in zip(documents, labels, strict=True) if len(d)]
+        known = [(d[a : a + STRETCH], y[a : a + STRETCH].astype(np.int64)) for d, y in known for a in range(0, len(d), STRETCH)]
+        if not known or len(np.unique(np.concatenate([y for _, y in known]))) < 2:
             return cls()
-        n, longest = len(documents), max(map(len, documents))
-        x, on = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), bool)
-        for i, d in enumerate(documents):
+        n, longest = len(known), max(len(d) for d, _ in known)
+        x, on, truth = np.zeros((n, longest, N_FEATURES)), np.zeros((n, longest), bool), np.zeros((n, longest, 2))
+        true_steps = np.zeros((n, 2, 2))
+        for i, (d, y) in enumerate(known):
             x[i, : len(d)], on[i, : len(d)] = d, True
-        rank = np.arange(n)
-        share = np.bincount(labels, minlength=2) / n
-        weight = (0.5 / share)[labels] / n
+            truth[i, np.arange(len(d)), y] = 1
+            np.add.at(true_steps[i], (y[:-1], y[1:]), 1)
+        most = np.array([int(y.mean() >= 0.5) for _, y in known])
+        weight = (0.5 / np.maximum(np.bincount(most, minlength=2) / n, 1e-9))[most] / n
         params = np.zeros(N_FEATURES * 2 + 4 + 2)
         m, v = np.zeros_like(params), np.zeros_like(params)
         for k in range(1, rounds + 1):
@@ -172,13 +182,11 @@ class LineField:
                 nxt = np.logaddexp.reduce((score[:, t + 1] + back[:, t + 1])[:, None, :] + steps[None], axis=2)
                 back[:, t] = np.where(on[:, t + 1, None], nxt, 0.0)
             here = np.exp(ahead + back - z[:, None, None]) * on[:, :, None]
-            truth = np.zeros_like(here)
-            truth[rank, :, labels] = on
             gap = (here - truth) * weight[:, None, None]
             pair = np.exp(ahead[:, :-1, :, None] + steps[None, None] + (score[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None])
             pair *= (on[:, 1:] * weight[:, None])[:, :, None, None]
             d_steps = pair.sum((0, 1))
-            np.add.at(d_steps, (labels, labels), -(on[:, 1:].sum(1) * weight))
+            d_steps -= np.einsum("nij,n->ij", true_steps, weight)
             grad = np.concatenate([np.einsum("ntf,ntk->fk", x, gap).ravel(), d_steps.ravel(), gap[:, 0].sum(0)]) + decay * params
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             params = params - 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -208,17 +216,40 @@ class LineField:
         return out
 
 
-def train(documents: DataFrame, labels: DataFrame, n_labels: int = N_LABELS, lines: int = LINES_PER_SAMPLE) -> LineField:
-    """Fit on about ``n_labels`` labelled documents and ``lines`` lines of each; only features reach the driver."""
+REPEATED = 9  # the feature that marks a line equal to an earlier one
+
+
+def line_truth(features: np.ndarray, good: bool) -> np.ndarray:
+    return (features[:, REPEATED] == 0).astype(np.int64) if good else np.zeros(len(features), np.int64)
+
+
+def spliced(good: np.ndarray, poor: np.ndarray, way: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and labels of a good document with a poor one before, behind, or in the middle of it."""
+    at = (0, len(good), len(good) // 2)[way % 3]
+    y = line_truth(good, True)
+    return np.concatenate([good[:at], poor, good[at:]]), np.concatenate([y[:at], line_truth(poor, False), y[at:]])
+
+
+def fit_documents(features: list[np.ndarray], good: np.ndarray) -> LineField:
+    """The chain from documents known as good or poor: each as it is, and each good one with a poor one spliced in."""
+    sequences = [(f, line_truth(f, bool(g))) for f, g in zip(features, good, strict=True)]
+    poor = [f for f, g in zip(features, good, strict=True) if not g and len(f)]
+    fine = [f for f, g in zip(features, good, strict=True) if g and len(f)]
+    sequences += [spliced(f, poor[i % len(poor)], i) for i, f in enumerate(fine)] if poor else []
+    return LineField.fit([f for f, _ in sequences], [y for _, y in sequences])
+
+
+def train(documents: DataFrame, labels: DataFrame, n_labels: int = N_LABELS) -> LineField:
+    """Fit on all lines of about ``n_labels`` labelled documents; only features reach the driver."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [Measures(t).features[:lines].ravel().tolist() for t in batch.column("text").to_pylist()]
+            got = [Measures(t).features.ravel().tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(got, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     sample = labelled_sample(documents, labels, n_labels).select("doc_id", "text", "quality")
     rows = sample.mapInArrow(extract, "doc_id long, quality int, x array<double>").toPandas().sort_values(["doc_id", "quality"], kind="stable")
-    return LineField.fit([np.asarray(x, float).reshape(-1, N_FEATURES) for x in rows["x"]], (rows["quality"] > 0).to_numpy(np.int64))
+    return fit_documents([np.asarray(x, float).reshape(-1, N_FEATURES) for x in rows["x"]], (rows["quality"] > 0).to_numpy())
 
 
 def labelled_lines(documents: DataFrame, field: LineField) -> DataFrame:

@@ -115,6 +115,26 @@ def test_field_gradient_prefers_truth_over_rounds():
     assert not field.decode(x[0]).any() and field.decode(x[1]).all()
 
 
+def test_boundaries_inside_documents_are_found(spark):
+    """Documents spliced from real good and poor ones that were not learned from: the place of the change is known."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("doc_id", "text", "quality", "toxic").collect()
+    known = [(line_labels.Measures(r["text"]).features, r["quality"] > 0) for r in sorted(rows, key=lambda r: r["doc_id"]) if r["text"] and not r["toxic"]]
+    known = [(f, g) for f, g in known if len(f) > 1]
+    half = len(known) // 2
+    field = line_labels.fit_documents([f for f, _ in known[:half]], np.array([g for _, g in known[:half]]))
+    good, poor = [f for f, g in known[half:] if g], [f for f, g in known[half:] if not g]
+    right = lines = found = both = 0
+    for i, f in enumerate(good):
+        x, y = line_labels.spliced(f, poor[i % len(poor)], i)
+        got = field.decode(x)
+        right, lines = right + int((got == (y == 1)).sum()), lines + len(y)
+        both += got.any() and not got.all()
+        changes, want = set(np.flatnonzero(np.diff(got.astype(int)))), set(np.flatnonzero(np.diff(y)))
+        found += all(changes & {w - 1, w, w + 1} for w in want)  # at the place or one line beside it
+    assert right >= 0.95 * lines and both >= 0.9 * len(good) and found >= 0.8 * len(good)
+
+
 # 2 packing -------------------------------------------------------------------------------------------------------
 
 
