@@ -15,6 +15,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +27,21 @@ from pyspark.sql import functions as F
 from crawlgauge.llm.common import by_hash, prepared, table
 
 N_PAGES = 160
-#: Blocks of a training page that are learned from; labelling reads all.
-TRAIN_BLOCKS = 32
+#: Longer training pages are learned in stretches of so many blocks, one after another.
+STRETCH = 64
 HIDDEN = 20
 PATH_SLOTS, WORD_SLOTS, SIZES = 512, 32, 5
 WIDTH = PATH_SLOTS + WORD_SLOTS + SIZES
 SEED = 11
 
-TOKEN = re.compile(r"""<!--.*?(?:--\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:--\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN_TEXT = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "math"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Open elements that a new element of the same kind ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDABLE = {tag for tags in ENDS.values() for tag in tags}
 SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body"}
 
 FOREIGN_TAGS = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "option", "label"}
@@ -47,16 +50,74 @@ FOREIGN_NAMES = set(
     "header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted related reply replies respond share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+ENDABLE |= SCOPES
+TAG_BEGIN = re.compile("/?[a-zA-Z]")
 MAIN_TAGS, MAIN_NAMES = {"article", "main"}, {"article", "main", "content", "post", "entry", "story"}
 
 
+class Element:
+    """An open element and, by ``parent``, all that are open around it; what its path says is worked out once."""
+
+    __slots__ = ("tag", "names", "parent", "depth", "in_link", "foreign", "main", "slots", "block", "end")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.depth = parent.depth + 1 if parent else 1
+        self.in_link = tag == "a" or bool(parent and parent.in_link)
+        self.foreign = tag in FOREIGN_TAGS or bool(FOREIGN_NAMES.intersection(names)) or bool(parent and parent.foreign)
+        self.main = tag in MAIN_TAGS or bool(MAIN_NAMES.intersection(names)) or bool(parent and parent.main)
+        self.slots = parent.slots if parent else 0
+        for word in (tag, *("." + name for name in names)):
+            self.slots |= 1 << zlib.crc32(word.encode()) % PATH_SLOTS
+        # the nearest that is no inline element, and the nearest that another may end or that keeps ends inside
+        self.block = self if tag not in INLINE or not parent else parent.block
+        self.end = self if tag in ENDABLE or not parent else parent.end
+
+
+def element_of(path: tuple[tuple[str, tuple[str, ...]], ...], above: Element | None = None) -> Element | None:
+    for tag, names in path:
+        above = Element(tag, names, above)
+    return above
+
+
 class Block:
-    """One leaf block: its text with plain spaces, path (tag, names) from the root, and characters inside links."""
+    """One leaf block: its text with plain spaces, its innermost open element, and characters inside links."""
+
+    __slots__ = ("text", "element", "linked")
+
+    def __init__(self, text: str, element: Element | None, linked: int):
+        self.text, self.element, self.linked = text, element, linked
 
-    __slots__ = ("text", "path", "linked")
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """(tag, names) of the open elements from the root."""
+        out, at = [], self.element
+        while at:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return tuple(reversed(out))
 
-    def __init__(self, text: str, path: tuple[tuple[str, tuple[str, ...]], ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+
+class TagEnds:
+    """Ends of tags of a page that has one without an end: each ``<`` is answered by the marks behind it, worked out once.
+
+    A tag ends at the next ``>`` outside quotes; a quote that never closes leaves all tags before it without an end.
+    """
+
+    def __init__(self, page: str):
+        marks = [m.start() for m in re.finditer("[\"'>]", page)]
+        ends, later = [-1] * (len(marks) + 1), {'"': -1, "'": -1}
+        for k in range(len(marks) - 1, -1, -1):
+            mark = page[marks[k]]
+            if mark == ">":
+                ends[k] = marks[k]
+            else:
+                ends[k] = ends[later[mark] + 1] if later[mark] >= 0 else -1
+                later[mark] = k
+        self.marks, self.ends = marks, ends
+
+    def has_end(self, at: int) -> bool:
+        return self.ends[bisect_left(self.marks, at)] >= 0
 
 
 def names_of(attributes: str) -> tuple[str, ...]:
@@ -69,45 +130,60 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks of the whole page in order; null or empty HTML has none."""
+    """Leaf blocks of the whole page in order; null or empty HTML has none. Linear in the page, however it is made."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top: Element | None = None
+    open_: Counter = Counter()
     pieces: list[str] = []
-    path: tuple | None = None
+    leaf: tuple[Element | None] | None = None
+    ends: TagEnds | None = None
     linked, at, n = 0, 0, len(page)
 
     def flush() -> None:
-        nonlocal pieces, path, linked
+        nonlocal pieces, leaf, linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, path or (), linked))
-            pieces, path, linked = [], None, 0
+                out.append(Block(text, leaf[0] if leaf else None, linked))
+            pieces, leaf, linked = [], None, 0
+
+    def close(element: Element) -> None:
+        """End ``element`` and all open inside it."""
+        nonlocal top
+        while top is not element:
+            open_[top.tag] -= 1
+            top = top.parent
+        open_[top.tag] -= 1
+        top = top.parent
 
     while at < n:
-        token = TOKEN.match(page, at)
-        at = token.end()
-        tag = token.group(2)
+        if ends and page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?") and not ends.has_end(at):
+            token, at, tag, piece = None, at + 1, None, "<"
+        else:
+            token = TOKEN.match(page, at)
+            at, tag, piece = token.end(), token.group(2), token.group()
         if tag is None:
-            piece = token.group()
             if piece.startswith(("<!", "<?")) and len(piece) > 1:
                 continue
+            if piece == "<" and ends is None and TAG_BEGIN.match(page, at):
+                ends = TagEnds(page)
             text = entities.unescape(piece)
-            if path is None and not text.isspace():
-                path = tuple(stack)
+            if leaf is None and not text.isspace():
+                leaf = (top,)
             pieces.append(text)
-            if any(t == "a" for t, _ in stack):
+            if top and top.in_link:
                 linked += len(text)
             continue
         tag = tag.lower()
         if token.group(1):
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                found = top
+                while found.tag != tag:
+                    found = found.parent
+                close(found)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -122,20 +198,15 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if tag in ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ENDS[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        elif tag not in INLINE:
-            for i in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        stack.append((tag, names_of(token.group(3))))
+            found = top.end if top else None
+            while found and found.tag not in ENDS[tag] and found.tag not in SCOPES:
+                found = found.parent.end if found.parent else None
+            if found and found.tag in ENDS[tag]:
+                close(found)
+        elif tag not in INLINE and top and top.block.tag == "p":  # a paragraph ends where a block begins
+            close(top.block)
+        top = Element(tag, names_of(token.group(3)), top)
+        open_[tag] += 1
     flush()
     return out
 
@@ -144,25 +215,16 @@ def rule_labels(blocks: list[Block]) -> np.ndarray:
     """Training labels: main text is what stands in an article or main part (anywhere, if there is none) and in no part
     whose tag or name says that it is something else."""
 
-    def foreign(b: Block) -> bool:
-        return any(t in FOREIGN_TAGS or FOREIGN_NAMES.intersection(names) for t, names in b.path)
-
-    def main(b: Block) -> bool:
-        return any(t in MAIN_TAGS or MAIN_NAMES.intersection(names) for t, names in b.path)
-
-    some = any(main(b) for b in blocks)
-    return np.array([not foreign(b) and (main(b) or not some) for b in blocks], bool)
+    some = any(b.element and b.element.main for b in blocks)
+    return np.array([not (b.element and b.element.foreign) and (not some or bool(b.element and b.element.main)) for b in blocks], bool)
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), WIDTH), np.float32)
     for i, b in enumerate(blocks):
-        for tag, names in b.path:
-            x[i, zlib.crc32(tag.encode()) % PATH_SLOTS] = 1
-            for name in names:
-                x[i, zlib.crc32(b"." + name.encode()) % PATH_SLOTS] = 1
-        if b.path:
-            x[i, zlib.crc32(b"leaf " + b.path[-1][0].encode()) % PATH_SLOTS] = 1
+        if b.element:
+            x[i, :PATH_SLOTS] = np.unpackbits(np.frombuffer(b.element.slots.to_bytes(PATH_SLOTS // 8, "little"), np.uint8), bitorder="little")
+            x[i, zlib.crc32(b"leaf " + b.element.tag.encode()) % PATH_SLOTS] = 1
         words = b.text.lower().split()
         for word in words:
             code = zlib.crc32(word.encode("utf-8", "replace"))
@@ -297,28 +359,28 @@ def variants(blocks: list[Block], labels: np.ndarray, draw: np.random.Generator)
     """The page as it is, and copies whose main text stands elsewhere and which have foreign parts before, in and after it."""
     pick = lambda some: some[int(draw.integers(len(some)))]
     out, names, tags = [(blocks, labels)], sorted(FOREIGN_NAMES), sorted(FOREIGN_TAGS - {"head", "option"})
-    outer = (("html", ()), ("body", ()))
+    outer = element_of((("html", ()), ("body", ())))
     for _ in range(COPIES if blocks else 0):
         place = pick(MAIN_PLACES)
         copies, marks = [], []
         for block, label in zip(blocks, labels, strict=True):
-            path = block.path
+            element = block.element
             if label and place:
-                path = (*outer, *_path(place), *_path(pick(MAIN_LEAVES)))
+                element = element_of(_path(place) + _path(pick(MAIN_LEAVES)), outer)
             linked = int(len(block.text) * draw.random() * 0.6) if label and draw.integers(3) == 0 else block.linked
-            copies.append(Block(block.text, path, linked))
+            copies.append(Block(block.text, element, linked))
             marks.append(bool(label))
-        inside = next((b.path[:-1] for b, y in zip(copies, marks, strict=True) if y), outer)
+        inside = next((b.element.parent for b, y in zip(copies, marks, strict=True) if y and b.element), outer)
         if place:
-            inside = (*outer, *_path(place))
+            inside = element_of(_path(place), outer)
         for _ in range(int(draw.integers(0, 6))):
             part = (pick(tags), ()) if draw.integers(2) else (pick(["div", "div", "section", "aside", "ul", "p", "span", "table"]), (pick(names),) if draw.integers(3) else (pick(names), pick(names)))
             above = inside if draw.integers(2) else outer
             leaf = _path(pick(FOREIGN_LEAVES))
             at = int(draw.integers(len(copies) + 1))
-            added = [Block(pick(blocks).text, (*above, part, *leaf), 0) for _ in range(int(draw.integers(1, 5)))]
+            added = [Block(pick(blocks).text, element_of((part, *leaf), above), 0) for _ in range(int(draw.integers(1, 5)))]
             for b in added:
-                b.linked = len(b.text) if any(t == "a" for t, _ in b.path) else 0
+                b.linked = len(b.text) if b.element.in_link else 0
             copies[at:at] = added
             marks[at:at] = [False] * len(added)
         out.append((copies, np.array(marks, bool)))
@@ -338,11 +400,11 @@ def fit(sample: list[str]) -> BlockLabeller:
     x, y = [], []
     for page in sample:
         blocks = blocks_of(page)
-        if len(blocks) > TRAIN_BLOCKS:  # both ends of a long page
-            blocks = blocks[: TRAIN_BLOCKS // 2] + blocks[-TRAIN_BLOCKS // 2 :]
         for copy, labels in variants(blocks, rule_labels(blocks), draw):
-            x.append(vectors(copy))
-            y.append(labels)
+            found = vectors(copy)
+            for at in range(0, len(copy), STRETCH):
+                x.append(found[at : at + STRETCH])
+                y.append(labels[at : at + STRETCH])
     return BlockLabeller().fit(x, y)
 
 

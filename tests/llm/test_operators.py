@@ -661,6 +661,30 @@ def test_block_cutting():
     assert cut(None) == cut("") == cut("<!-- x") == []
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    pages = [
+        "<a " * n, "<a'" * n, "<a \">" * n + "\" ' <b", "<a \"> \" " * n, "<" + "a" * n * 10, "<div>" * n + "text" + "</x>" * n, "<b>" * n + "<div>x</div>" * n,
+        "<li><ul>" + "<b>" * n + "<li>x</li>" * n, "<p>" * n + "x", "<!--" * n, "<a href='x" * n + "'>y", "<td><li>" * n, "<b class=" * n + ">t",
+    ]
+    for page in pages:
+        began = time.perf_counter()
+        blocks = page_blocks.blocks_of(page)
+        assert time.perf_counter() - began < 5, page[:20]
+        page_blocks.rule_labels(blocks)
+
+
+def test_tags_without_an_end_are_text():
+    def texts(page):
+        return [b.text for b in page_blocks.blocks_of(page)]
+
+    assert texts("<p>a <b c</p>") == ["a"] and texts("<p>a <b c") == ["a <b c"]
+    assert texts("<p>x</p><a 'y> <p>z</p> <b") == ["x", "<a 'y>", "z", "<b"]
+    assert texts('<a "> q <i>r</i>" t>u <b') == ["u <b"]
+
+
 def test_recurrent_gradient():
     rng = np.random.default_rng(0)
     model = page_blocks.BlockLabeller(hidden=3)
