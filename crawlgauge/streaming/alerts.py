@@ -1,30 +1,43 @@
 """Regression alerts on a stream of layer scores.
 
-Scores are kept as a table in the shared folder, one folder per micro-batch, only ever added to. A micro-batch finds the
-score before each new row, and each row that a new one now precedes, among the rows of the keys it touches; both are
-written as changes of this batch, and a reader takes the newest version of a change. So rows may come in any order and
-in any files: late rows correct what was said before, and the result is that of all rows in time order. A batch that is
-run again after a failure reads what earlier batches wrote and overwrites its own output, so nothing is counted twice.
+The state of a key (site, layer) is the list of its scores within the lateness bound, counted back from the newest one,
+and the one score before them. A micro-batch puts its rows into the lists of the keys it touches and settles each new
+row and each known row that a new one now precedes; both are written as changes of this batch, and a reader takes the
+newest version of a change. So rows may come in any order and in any files within the bound: late rows correct what was
+said before, and the result is that of all rows in time order. Nothing written is read again by the stream, so a batch
+costs what it brings, however long the history is. A batch that is run again after a failure starts from the state of the
+batch before it and overwrites its own output, so nothing is counted twice.
+
+A row that comes later than the bound has no known predecessor; it is written with the change ``late`` and corrects
+nothing. A row without a time is ``late``, too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.history import change_kind
+from ..operators.history import STEP, change_kind
 from ..operators.skew import previous_values
 
 KEYS = ["site", "layer"]
 ROW = [*KEYS, "run_ts", "tie"]
 COLUMNS = [*ROW, "score"]
+#: How much older than the newest score of its key a row may be to be put in its place.
+LATENESS = pd.Timedelta(days=60)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGES = "site string, layer string, run_ts timestamp, tie long, score double, prev_score double, change string"
 
 
 def score_changes(batch: DataFrame, known: DataFrame, period: str = "day") -> DataFrame:
     """Rows whose predecessor is settled by ``batch``: its own rows, and known rows that now follow one of them.
 
     (site, layer, run_ts, tie, score, prev_score, change). ``known`` are the rows of earlier batches; only those of keys
-    that the batch touches are read on. Rows delivered twice count once.
+    that the batch touches are read on. Rows delivered twice count once. The batch form of the stream.
     """
     new = batch.select(*COLUMNS).dropDuplicates(ROW).withColumn("is_new", F.lit(True))
     touched = new.select(*KEYS).distinct()
@@ -35,21 +48,82 @@ def score_changes(batch: DataFrame, known: DataFrame, period: str = "day") -> Da
     return settled.select(*COLUMNS, "prev_score", change_kind(F.col("score") - F.col("prev_score")).alias("change"))
 
 
-def start_alerts(runs: DataFrame, folder: str, period: str = "day", available_now: bool = True):
+def settled_rows(known: pd.DataFrame, new: pd.DataFrame, cut_off: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """All rows of a key in time order, and those that ``new`` settles, with prev_score and change.
+
+    Rows have run_ts, tie and score. ``cut_off`` says that rows before the first known one have been forgotten: new rows
+    before it come too late. A row delivered again takes the place of the one before.
+    """
+    new = new.drop_duplicates(["run_ts", "tie"], keep="last")
+    late = new["run_ts"].isna()
+    if cut_off and len(known):
+        late |= new["run_ts"] < known["run_ts"].iloc[0]
+    rows = pd.concat([known.assign(is_new=False), new[~late].assign(is_new=True)], ignore_index=True)
+    rows = rows.drop_duplicates(["run_ts", "tie"], keep="last").sort_values(["run_ts", "tie"], kind="stable", ignore_index=True, na_position="first")
+    rows["prev_score"] = rows["score"].shift()
+    delta = rows["score"] - rows["prev_score"]
+    rows["change"] = None
+    rows.loc[delta <= -STEP, "change"] = "regression"
+    rows.loc[delta >= STEP, "change"] = "improvement"
+    settled = rows[rows["is_new"] | rows["is_new"].shift(fill_value=False)]
+    too_late = new[late].assign(prev_score=float("nan"), change="late")
+    out = [d for d in (settled.drop(columns="is_new"), too_late) if len(d)]
+    return rows[["run_ts", "tie", "score"]], pd.concat(out, ignore_index=True) if out else settled.drop(columns="is_new")
+
+
+class ScoreHistory(StatefulProcessor):
+    """Scores of each key within the lateness bound, and the changes that new rows bring.
+
+    With ``idle_ms`` a key that gets no row for so long is forgotten, whatever its scores' times; its next row is the first.
+    """
+
+    def __init__(self, lateness: pd.Timedelta = LATENESS, idle_ms: int | None = None):
+        self.lateness, self.idle_ms = lateness, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scores = handle.getListState("scores", "run_ts timestamp, tie long, score double", ttlDurationMs=self.idle_ms)
+        self.forgot = handle.getValueState("forgot", "forgot boolean", ttlDurationMs=self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["run_ts", "tie", "score"]
+        known = pd.DataFrame(list(self.scores.get()), columns=columns) if self.scores.exists() else None
+        new = pd.concat([part[columns] for part in rows], ignore_index=True)
+        if known is None:
+            known = new.iloc[:0]
+        known = known.astype(new.dtypes.to_dict())
+        cut_off = self.forgot.exists()
+        every, settled = settled_rows(known, new, cut_off)
+        # the last row before the bound stays: the first row within it follows that one
+        keep = every["run_ts"] >= every["run_ts"].max() - self.lateness
+        first = max(int(keep.to_numpy().argmax()) - 1, 0) if len(every) else 0
+        if first and not cut_off:
+            self.forgot.update((True,))
+        if len(every):
+            left = every.iloc[first:]
+            self.scores.put([(ts.to_pydatetime(), None if pd.isna(tie) else int(tie), None if pd.isna(score) else float(score)) for ts, tie, score in left.itertuples(index=False, name=None)])
+        if len(settled):
+            yield settled.assign(**dict(zip(KEYS, key, strict=True)))[[*COLUMNS, "prev_score", "change"]]
+
+    def close(self) -> None:
+        pass
+
+
+def start_alerts(runs: DataFrame, folder: str, lateness: str | pd.Timedelta = LATENESS, available_now: bool = True, idle_ms: int | None = None):
     """Write score changes of every micro-batch under ``folder``; read them back with ``read_changes``.
 
-    ``runs`` is a stream of (site, layer, run_ts, tie, score).
+    ``runs`` is a stream of (site, layer, run_ts, tie, score). A key's rows of one micro-batch are handled together, so the
+    source's limits (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bound what one task holds. The session's state stores
+    become RocksDB, which list state needs.
     """
+    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    changes = runs.select(*COLUMNS).groupBy(*KEYS).transformWithStateInPandas(
+        statefulProcessor=ScoreHistory(pd.Timedelta(lateness), idle_ms), outputStructType=CHANGES, outputMode="Update", timeMode="None" if idle_ms is None else "ProcessingTime"
+    )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = f"{folder}/scores/batch={batch_id}"
-        batch.select(*COLUMNS).write.mode("overwrite").parquet(own)
-        new = spark.read.schema(batch.select(*COLUMNS).schema).parquet(own)
-        known = spark.read.parquet(f"{folder}/scores").where(F.col("batch") < batch_id).select(*COLUMNS)
-        score_changes(new, known, period).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
-
-    writer = runs.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder}/progress")
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+
+    writer = changes.writeStream.foreachBatch(on_batch).outputMode("update").option("checkpointLocation", f"{folder}/progress")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -63,3 +137,8 @@ def read_changes(spark, folder: str) -> DataFrame:
 def read_alerts(spark, folder: str) -> DataFrame:
     """Only the drops."""
     return read_changes(spark, folder).where(F.col("change") == "regression")
+
+
+def read_late(spark, folder: str) -> DataFrame:
+    """Rows that came later than the bound, or without a time."""
+    return read_changes(spark, folder).where(F.col("change") == "late").select(*COLUMNS)

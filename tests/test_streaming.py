@@ -85,3 +85,62 @@ def test_batch_and_stream_agree(spark, tmp_path):
     page_audit.start_daily_audit(stream, str(tmp_path / "out"), str(tmp_path / "p")).awaitTermination()
     batch = page_audit.daily_page_audit_batch(pages).where(F.dayofmonth("day") < 20)
     assert sorted(batch.collect()) == sorted(spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def folder_of(spark, tmp_path, name, parts, lateness="60 days"):
+    source, folder = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+    for part in parts:
+        spark.createDataFrame(part, SCORES).coalesce(1).write.mode("append").parquet(source)
+        runs = spark.readStream.schema(SCORES).parquet(source)
+        alerts.start_alerts(runs, folder, lateness).awaitTermination()
+    return folder
+
+
+def test_state_is_cut_at_the_lateness_bound(spark, tmp_path):
+    parts = [
+        [("s", "main", at(1), 1, 50.0), ("s", "main", at(2), 2, 40.0), ("s", "main", at(10), 3, 30.0)],
+        [("s", "main", at(11), 4, 60.0)],
+        # row 5 is before all that is known, row 6 within the bound, row 7 has no time, row 8 is a key of its own
+        [("s", "main", at(1, 5), 5, 9.0), ("s", "main", at(10, 5), 6, 1.0), ("s", "main", None, 7, 5.0), ("t", "main", at(1), 8, 5.0)],
+    ]
+    folder = folder_of(spark, tmp_path, "bound", parts, "3 days")
+    got = {(r.site, r.tie): (r.prev_score, r.change) for r in alerts.read_changes(spark, folder).collect()}
+    assert got == {
+        ("s", 2): (50.0, "regression"), ("s", 3): (40.0, "regression"), ("s", 6): (30.0, "regression"), ("s", 4): (1.0, "improvement"),
+        ("s", 5): (None, "late"), ("s", 7): (None, "late"),
+    }
+    assert {r.tie for r in alerts.read_late(spark, folder).collect()} == {5, 7}
+    # what the state holds: the bound's rows and the one before them
+    state = spark.read.format("statestore").option("path", f"{folder}/progress").option("stateVarName", "scores").load()
+    held = {tuple(r.key): r.list_element.tie for r in state.where("key.site = 't'").collect()}
+    assert held == {("t", "main"): 8}
+    assert sorted(r.list_element.tie for r in state.where("key.site = 's'").collect()) == [2, 3, 4, 6]
+
+
+def test_stream_equals_the_batch_form(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), rng.choice(["main", "advanced"]), at(rng.randrange(1, 28), rng.randrange(24)), i, float(rng.randrange(40)) if i % 17 else None) for i in range(400)]
+    again = rows[5:25]  # delivered twice
+    want = sorted(map(tuple, alerts.score_changes(spark.createDataFrame(rows, SCORES), spark.createDataFrame([], SCORES)).where("change IS NOT NULL").collect()))
+    for seed in range(2):
+        shuffled = rows + again
+        random.Random(seed).shuffle(shuffled)
+        folder = folder_of(spark, tmp_path, f"order{seed}", [shuffled[i::4] for i in range(4)])
+        assert sorted(map(tuple, alerts.read_changes(spark, folder).collect())) == want
+
+
+def test_a_batch_reads_no_more_than_it_brings(spark, tmp_path):
+    """Later micro-batches read the new file only; what was written before is never read again."""
+    parts = [[("s", "main", at(1 + d, h), 24 * d + h, float(h % 9)) for h in range(24)] for d in range(6)]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in parts:
+        spark.createDataFrame(part, SCORES).coalesce(1).write.mode("append").parquet(source)
+    runs = spark.readStream.schema(SCORES).option("maxFilesPerTrigger", 1).parquet(source)
+    query = alerts.start_alerts(runs, folder, "2 days")
+    query.awaitTermination()
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in done] == [24] * 6
+    state = spark.read.format("statestore").option("path", f"{folder}/progress").option("stateVarName", "scores").load()
+    assert state.count() <= 2 * 24 + 2
