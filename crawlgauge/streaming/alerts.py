@@ -14,10 +14,10 @@ nothing. A row without a time is ``late``, too.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,9 +28,11 @@ KEYS = ["site", "layer"]
 ROW = [*KEYS, "run_ts", "tie"]
 COLUMNS = [*ROW, "score"]
 #: How much older than the newest score of its key a row may be to be put in its place.
-LATENESS = pd.Timedelta(days=60)
+LATENESS = datetime.timedelta(days=60)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGES = "site string, layer string, run_ts timestamp, tie long, score double, prev_score double, change string"
+#: Times are microseconds inside the stream.
+CHANGES = "site string, layer string, run_us long, tie long, score double, prev_score double, change string"
+Change = Row(*KEYS, "run_us", "tie", "score", "prev_score", "change")
 
 
 def score_changes(batch: DataFrame, known: DataFrame, period: str = "day") -> DataFrame:
@@ -48,27 +50,25 @@ def score_changes(batch: DataFrame, known: DataFrame, period: str = "day") -> Da
     return settled.select(*COLUMNS, "prev_score", change_kind(F.col("score") - F.col("prev_score")).alias("change"))
 
 
-def settled_rows(known: pd.DataFrame, new: pd.DataFrame, cut_off: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """All rows of a key in time order, and those that ``new`` settles, with prev_score and change.
+def settled_rows(known: list[tuple], new: list[tuple], cut_off: bool) -> tuple[list[tuple], list[tuple]]:
+    """All rows (run_us, tie, score) of a key in time order, and those that ``new`` settles, with prev_score and change.
 
-    Rows have run_ts, tie and score. ``cut_off`` says that rows before the first known one have been forgotten: new rows
-    before it come too late. A row delivered again takes the place of the one before.
+    ``cut_off`` says that rows before the first known one have been forgotten: new rows before it come too late. A row
+    delivered again takes the place of the one before.
     """
-    new = new.drop_duplicates(["run_ts", "tie"], keep="last")
-    late = new["run_ts"].isna()
-    if cut_off and len(known):
-        late |= new["run_ts"] < known["run_ts"].iloc[0]
-    rows = pd.concat([known.assign(is_new=False), new[~late].assign(is_new=True)], ignore_index=True)
-    rows = rows.drop_duplicates(["run_ts", "tie"], keep="last").sort_values(["run_ts", "tie"], kind="stable", ignore_index=True, na_position="first")
-    rows["prev_score"] = rows["score"].shift()
-    delta = rows["score"] - rows["prev_score"]
-    rows["change"] = None
-    rows.loc[delta <= -STEP, "change"] = "regression"
-    rows.loc[delta >= STEP, "change"] = "improvement"
-    settled = rows[rows["is_new"] | rows["is_new"].shift(fill_value=False)]
-    too_late = new[late].assign(prev_score=float("nan"), change="late")
-    out = [d for d in (settled.drop(columns="is_new"), too_late) if len(d)]
-    return rows[["run_ts", "tie", "score"]], pd.concat(out, ignore_index=True) if out else settled.drop(columns="is_new")
+    place = lambda r: (r[0], r[1] is not None, r[1] or 0)
+    begin = known[0][0] if cut_off and known else None
+    late = [r for r in new if r[0] is None or (begin is not None and r[0] < begin)]
+    fresh = {place(r): r for r in new if r[0] is not None and not (begin is not None and r[0] < begin)}
+    rows = sorted(({place(r): r for r in known} | fresh).items())
+    settled, before = [], (None, None)
+    for at, row in rows:
+        if at in fresh or before[0] in fresh:
+            prev = before[1][2] if before[1] else None
+            delta = row[2] - prev if row[2] is not None and prev is not None else 0
+            settled.append((*row, prev, "regression" if delta <= -STEP else "improvement" if delta >= STEP else None))
+        before = (at, row)
+    return [r for _, r in rows], settled + [(*r, None, "late") for r in dict.fromkeys(late)]
 
 
 class ScoreHistory(StatefulProcessor):
@@ -77,38 +77,30 @@ class ScoreHistory(StatefulProcessor):
     With ``idle_ms`` a key that gets no row for so long is forgotten, whatever its scores' times; its next row is the first.
     """
 
-    def __init__(self, lateness: pd.Timedelta = LATENESS, idle_ms: int | None = None):
-        self.lateness, self.idle_ms = lateness, idle_ms
+    def __init__(self, lateness: datetime.timedelta = LATENESS, idle_ms: int | None = None):
+        self.lateness, self.idle_ms = lateness // datetime.timedelta(microseconds=1), idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scores = handle.getListState("scores", "run_ts timestamp, tie long, score double", ttlDurationMs=self.idle_ms)
-        self.forgot = handle.getValueState("forgot", "forgot boolean", ttlDurationMs=self.idle_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns = ["run_ts", "tie", "score"]
-        known = pd.DataFrame(list(self.scores.get()), columns=columns) if self.scores.exists() else None
-        new = pd.concat([part[columns] for part in rows], ignore_index=True)
-        if known is None:
-            known = new.iloc[:0]
-        known = known.astype(new.dtypes.to_dict())
-        cut_off = self.forgot.exists()
-        every, settled = settled_rows(known, new, cut_off)
-        # the last row before the bound stays: the first row within it follows that one
-        keep = every["run_ts"] >= every["run_ts"].max() - self.lateness
-        first = max(int(keep.to_numpy().argmax()) - 1, 0) if len(every) else 0
-        if first and not cut_off:
-            self.forgot.update((True,))
-        if len(every):
-            left = every.iloc[first:]
-            self.scores.put([(ts.to_pydatetime(), None if pd.isna(tie) else int(tie), None if pd.isna(score) else float(score)) for ts, tie, score in left.itertuples(index=False, name=None)])
-        if len(settled):
-            yield settled.assign(**dict(zip(KEYS, key, strict=True)))[[*COLUMNS, "prev_score", "change"]]
+        # first is true in the first row if rows before it have been forgotten
+        self.scores = handle.getListState("scores", "run_us long, tie long, score double, first boolean", ttlDurationMs=self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = list(self.scores.get())
+        cut_off = bool(kept and kept[0][3])
+        every, settled = settled_rows([tuple(r[:3]) for r in kept], [(r.run_us, r.tie, r.score) for r in rows], cut_off)
+        if every:
+            # the last row before the bound stays: the first row within it follows that one
+            bound = every[-1][0] - self.lateness
+            first = max(next(i for i, r in enumerate(every) if r[0] >= bound) - 1, 0)
+            self.scores.put([(*r, i == 0 and (cut_off or first > 0)) for i, r in enumerate(every[first:])])
+        for row in settled:
+            yield Change(*key, *row)
 
     def close(self) -> None:
         pass
 
 
-def start_alerts(runs: DataFrame, folder: str, lateness: str | pd.Timedelta = LATENESS, available_now: bool = True, idle_ms: int | None = None):
+def start_alerts(runs: DataFrame, folder: str, lateness: datetime.timedelta = LATENESS, available_now: bool = True, idle_ms: int | None = None):
     """Write score changes of every micro-batch under ``folder``; read them back with ``read_changes``.
 
     ``runs`` is a stream of (site, layer, run_ts, tie, score). A key's rows of one micro-batch are handled together, so the
@@ -116,12 +108,15 @@ def start_alerts(runs: DataFrame, folder: str, lateness: str | pd.Timedelta = LA
     become RocksDB, which list state needs.
     """
     runs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    changes = runs.select(*COLUMNS).groupBy(*KEYS).transformWithStateInPandas(
-        statefulProcessor=ScoreHistory(pd.Timedelta(lateness), idle_ms), outputStructType=CHANGES, outputMode="Update", timeMode="None" if idle_ms is None else "ProcessingTime"
+    runs.sparkSession.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    changes = runs.select(*KEYS, F.unix_micros(F.col("run_ts").cast("timestamp")).alias("run_us"), "tie", "score").groupBy(*KEYS).transformWithState(
+        statefulProcessor=ScoreHistory(lateness, idle_ms), outputStructType=CHANGES, outputMode="Update", timeMode="None" if idle_ms is None else "ProcessingTime"
     )
 
+    kind = runs.schema["run_ts"].dataType
+
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
+        batch.select(*KEYS, F.timestamp_micros("run_us").cast(kind).alias("run_ts"), "tie", "score", "prev_score", "change").write.mode("overwrite").parquet(f"{folder}/changes/batch={batch_id}")
 
     writer = changes.writeStream.foreachBatch(on_batch).outputMode("update").option("checkpointLocation", f"{folder}/progress")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -87,7 +87,7 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert sorted(batch.collect()) == sorted(spark.read.parquet(str(tmp_path / "out")).collect())
 
 
-def folder_of(spark, tmp_path, name, parts, lateness="60 days"):
+def folder_of(spark, tmp_path, name, parts, lateness=alerts.LATENESS):
     source, folder = str(tmp_path / name / "in"), str(tmp_path / name / "out")
     for part in parts:
         spark.createDataFrame(part, SCORES).coalesce(1).write.mode("append").parquet(source)
@@ -103,7 +103,7 @@ def test_state_is_cut_at_the_lateness_bound(spark, tmp_path):
         # row 5 is before all that is known, row 6 within the bound, row 7 has no time, row 8 is a key of its own
         [("s", "main", at(1, 5), 5, 9.0), ("s", "main", at(10, 5), 6, 1.0), ("s", "main", None, 7, 5.0), ("t", "main", at(1), 8, 5.0)],
     ]
-    folder = folder_of(spark, tmp_path, "bound", parts, "3 days")
+    folder = folder_of(spark, tmp_path, "bound", parts, datetime.timedelta(days=3))
     got = {(r.site, r.tie): (r.prev_score, r.change) for r in alerts.read_changes(spark, folder).collect()}
     assert got == {
         ("s", 2): (50.0, "regression"), ("s", 3): (40.0, "regression"), ("s", 6): (30.0, "regression"), ("s", 4): (1.0, "improvement"),
@@ -138,7 +138,7 @@ def test_a_batch_reads_no_more_than_it_brings(spark, tmp_path):
     for part in parts:
         spark.createDataFrame(part, SCORES).coalesce(1).write.mode("append").parquet(source)
     runs = spark.readStream.schema(SCORES).option("maxFilesPerTrigger", 1).parquet(source)
-    query = alerts.start_alerts(runs, folder, "2 days")
+    query = alerts.start_alerts(runs, folder, datetime.timedelta(days=2))
     query.awaitTermination()
     done = [p for p in query.recentProgress if p["numInputRows"]]
     assert [p["numInputRows"] for p in done] == [24] * 6
