@@ -4,28 +4,29 @@ In article order, an article that no earlier leader has taken becomes a leader a
 similar to it. Two articles are similar when their keyword sets share ``min_shared`` keywords or reach a Jaccard
 index of ``threshold``; for sets of sizes a and b that is the same as sharing at least ``need(a, b)`` keywords.
 
-So similar articles meet in a *bucket*: a set of ``need`` keywords both have. An article has a bounded number of
-buckets (``top_k`` over ``need``), and a bucket only ever has to know the smallest article per keyword-set size, which
-is a plain aggregation however many articles share it. Leaders are found in rounds (an undecided article with no
-smaller undecided article in any bucket leads; the articles that share a bucket with a new leader are taken), which
-gives the same leaders as the one-by-one rule.
+Articles only ever have to be compared with leaders, and leaders are unlike each other, so few of them share a keyword.
+The first ``block`` open articles of each site are decided one after another in one task. Their leaders then take from
+all later articles of the site, in one similarity join: keywords are ordered from the rarest of the site on, similar sets
+share one within the first ``size - need + 1`` of both, and only those prefixes meet; size and position say at once whether
+enough keywords can follow, and what is left is verified on the whole sets. Each turn decides a block of every site and
+all that is similar to it, so a chain of similar articles takes as many turns as it has blocks.
 """
 
 from __future__ import annotations
 
-from math import comb
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import each
 from ..session import written_folder, written_table
-from .skew import HOT_ROWS, lookup_join
+from .skew import top_per_group
 
 DOC = ["site", "doc"]
-BUCKET = ["site", "bucket"]
-MAX_BUCKETS = 5_000
-MAX_ROUNDS = 10_000
+#: Open articles of a site that one task decides in one turn; a row holds their ``top_k`` keywords.
+BLOCK = 20_000
 
 
 def needed_overlap(a: int, b: int, threshold: float, min_shared: int) -> int | None:
@@ -36,148 +37,115 @@ def needed_overlap(a: int, b: int, threshold: float, min_shared: int) -> int | N
     return None
 
 
-def _overlap_table(top_k: int, threshold: float, min_shared: int) -> dict[int, dict[int, int]]:
-    """For set size a: bucket size t -> largest partner size b with need(a, b) <= t (need grows with b)."""
-    table: dict[int, dict[int, int]] = {}
-    for a in range(1, top_k + 1):
-        table[a] = {}
-        for b in range(1, top_k + 1):
-            t = needed_overlap(a, b, threshold, min_shared)
-            if t is not None:
-                table[a][t] = max(b, table[a].get(t, 0))
-    return table
-
-
-def _reach(size: Column, t: int, table: dict[int, dict[int, int]]) -> Column:
-    reach = F.lit(None).cast("int")
-    for a, of_size in table.items():
-        if t in of_size:
-            reach = F.when(size == a, F.lit(of_size[t])).otherwise(reach)
-    return reach
-
-
-def _grown(rows: DataFrame) -> DataFrame:
-    """Each keyword combination with one more keyword of the article, taken from those after its last one."""
-    longer = F.transform(
-        "rest",
-        lambda x, i: F.struct(
-            F.concat(F.col("key"), F.lit("\u0001"), x).alias("key"), F.slice("rest", i + 2, F.size("rest")).alias("rest")
-        ),
-    )
-    return each(rows, [*DOC, "size"], longer, "b").select(*DOC, "size", "b.key", "b.rest")
-
-
-def _shared(rows: DataFrame, hot_rows: int) -> DataFrame:
-    """Combinations that two or more articles of the site have, with how many."""
-    crowded = rows.groupBy("site", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return lookup_join(rows, crowded, ["site", "key"], "n", ["doc"], "inner", hot_rows=hot_rows)
+def term_sets(keyword_table: DataFrame, top_k: int) -> DataFrame:
+    """(site, doc, size, terms): each article's distinct best ``top_k`` keywords, the rarest of the site first."""
+    targets = keyword_table.where(F.col("rank") <= top_k).select(*DOC, "term").distinct()
+    rarity = targets.groupBy("site", "term").agg(F.count("*").alias("df"))
+    ordered = targets.join(rarity, ["site", "term"]).groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
+    return ordered.select(*DOC, F.size("t").alias("size"), F.col("t.term").alias("terms"))
 
 
-def buckets(keyword_table: DataFrame, top_k: int, threshold: float, min_shared: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(site, doc, size, bucket, reach, n): one row per article and bucket; ``reach`` is the largest partner size.
-
-    Combinations are grown one keyword at a time and only from those that several articles share, since what one
-    article alone has connects nothing. ``n`` is the number of articles in the bucket.
-    """
-    table = _overlap_table(top_k, threshold, min_shared)
-    sizes_used = sorted({t for row in table.values() for t in row})
-    if sum(comb(top_k, t) for t in sizes_used) > MAX_BUCKETS:
-        raise ValueError("too many keyword combinations per article: lower top_k or min_shared")
-    targets = keyword_table.where(F.col("rank") <= top_k).select(*DOC, F.col("term").alias("key"))
-    sizes = targets.groupBy(*DOC).agg(F.count("*").cast("int").alias("size"))
-    sets = _shared(targets, hot_rows).groupBy(*DOC).agg(F.array_sort(F.collect_list("key")).alias("terms"))
-    single = F.transform(
-        "terms", lambda x, i: F.struct(x.alias("key"), F.slice("terms", i + 2, F.size("terms")).alias("rest"))
-    )
-    sized = sets.join(sizes, DOC)
-    rows = each(sized, [*DOC, "size"], single, "b").select(*DOC, "size", "b.key", "b.rest")
-    found = None
-    for t in range(1, max(sizes_used) + 1):
-        if t > 1:
-            rows = _grown(rows)
-        rows = written_table(_shared(rows, hot_rows), "combinations")
-        if t in sizes_used:
-            reach = _reach(F.col("size"), t, table)
-            level = rows.select(
-                *DOC, "size", F.concat(F.lit(f"{t}:"), "key").alias("bucket"), reach.alias("reach"), "n"
-            ).where(F.col("reach").isNotNull())
-            found = level if found is None else found.unionByName(level)
-        rows = rows.drop("n")
-    return found
-
-
-def _smallest_partner(rows: DataFrame, of: DataFrame, top_k: int, hot_rows: int) -> DataFrame:
-    """For each row of ``rows``: the smallest article of ``of`` in its bucket within reach, as ``partner``."""
-    smallest = of.groupBy(*BUCKET).agg(
-        F.array(*[F.min(F.when(F.col("size") == s, F.col("doc"))) for s in range(1, top_k + 1)]).alias("by_size"),
-        F.max("n").alias("n"),
-    )
-    met = lookup_join(rows.drop("n"), smallest, BUCKET, "n", ["doc"], "inner", hot_rows=hot_rows)
-    return met.withColumn("partner", F.array_min(F.slice("by_size", F.lit(1), F.col("reach"))))
+def _needed(a: Column, b: Column, threshold: float, min_shared: int) -> Column:
+    """``needed_overlap`` of two sizes: the least number of shared keywords; beyond both sizes it can't be reached."""
+    # shared / (a + b - shared) >= threshold, a little less strict than that; pairs are verified afterwards
+    by_share = F.ceil(F.lit(threshold) * (a + b) / (1 + threshold) - 1e-9)
+    return F.greatest(F.least(by_share, F.lit(min_shared)), F.lit(1))
 
 
-def leaders(rows: DataFrame, top_k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Leaders among the articles of ``rows`` (see ``buckets``), by rounds.
+def _prefixes(sets: DataFrame, top_k: int, threshold: float, min_shared: int, doc: str) -> DataFrame:
+    """(site, term, doc, size, pos): the keywords of each set by which a similar one of any size can meet it.
 
-    Each round writes its leaders to one folder and what is left to another, so no plan grows with the rounds. A chain of
-    similar articles decides one or more articles a round; more than ``MAX_ROUNDS`` rounds are an error, not a cut.
+    Fewest keywords are needed for the smallest partner that can reach them; the prefix for it holds all others.
     """
-    spark, folder = rows.sparkSession, written_folder(rows.sparkSession, "leaders")
-    undecided = rows
-    for turn in range(MAX_ROUNDS + 1):
-        if undecided.isEmpty():
-            return spark.read.parquet(folder).select(*DOC) if turn else rows.select(*DOC)
-        rivals = (
-            _smallest_partner(undecided, undecided, top_k, hot_rows)
-            .groupBy(*DOC)
-            .agg(F.min("partner").alias("partner"))
-        )
-        rivals.where(F.col("partner").isNull() | (F.col("partner") >= F.col("doc"))).select(*DOC).write.parquet(f"{folder}/round={turn}")
-        new = spark.read.parquet(f"{folder}/round={turn}")
-        led = undecided.join(new, DOC, "left_semi")
-        taken = (
-            _smallest_partner(undecided, led, top_k, hot_rows).where(F.col("partner").isNotNull()).select(*DOC)
-        )
-        undecided = written_table(undecided.join(taken.unionByName(new).distinct(), DOC, "left_anti"), "undecided")
-    raise RuntimeError(f"leaders not found in {MAX_ROUNDS} rounds")
+    least = F.array_min(F.array(*[F.when(_needed(F.col("size"), F.lit(b), threshold, min_shared) <= F.least(F.col("size"), F.lit(b)), _needed(F.col("size"), F.lit(b), threshold, min_shared)) for b in range(1, top_k + 1)]))
+    cut = sets.withColumn("least", least).where("least IS NOT NULL")
+    prefix = F.slice("terms", F.lit(1), F.col("size") - F.col("least") + 1)
+    return each(cut, ["site", F.col("doc").alias(doc), F.col("size").alias(f"{doc}_size")], prefix, "term", f"{doc}_pos")
+
+
+def candidates(sets: DataFrame, leaders: DataFrame, top_k: int, threshold: float, min_shared: int) -> DataFrame:
+    """(site, doc, leader): pairs that share a prefix keyword at places behind which enough keywords can follow."""
+    left = _prefixes(sets, top_k, threshold, min_shared, "doc")
+    right = _prefixes(leaders, top_k, threshold, min_shared, "leader")
+    need = _needed(F.col("doc_size"), F.col("leader_size"), threshold, min_shared)
+    # positions of the first keyword that both have; a later common one says less and is tried as well
+    left_of = F.least(F.col("doc_size") - F.col("doc_pos"), F.col("leader_size") - F.col("leader_pos"))
+    in_both = (F.col("doc_pos") <= F.col("doc_size") - need) & (F.col("leader_pos") <= F.col("leader_size") - need)
+    met = left.join(right, ["site", "term"]).where((need <= F.least("doc_size", "leader_size")) & in_both & (left_of >= 1))
+    return met.select("site", "doc", "leader").distinct()
+
+
+def _taken(sets: DataFrame, leaders: DataFrame, top_k: int, threshold: float, min_shared: int) -> DataFrame:
+    """(site, doc, leader): articles of ``sets`` that a leader takes, with the first that does; verified on whole sets."""
+    met = candidates(sets, leaders, top_k, threshold, min_shared)
+    of_leader = leaders.select("site", F.col("doc").alias("leader"), F.col("terms").alias("leader_terms"))
+    both = met.join(sets.select(*DOC, "terms"), DOC).join(of_leader, ["site", "leader"])
+    shared = F.size(F.array_intersect("terms", "leader_terms"))
+    union = F.size("terms") + F.size("leader_terms") - shared
+    return both.where((shared >= min_shared) | (shared / union >= threshold)).groupBy(*DOC).agg(F.min("leader").alias("leader"))
+
+
+def _decided(block: DataFrame, threshold: float, min_shared: int) -> DataFrame:
+    """(site, doc, leader) of a block, each article in its turn against the leaders before it."""
+
+    def decide(articles: pd.DataFrame) -> pd.DataFrame:
+        articles = articles.sort_values("doc", kind="stable")
+        holders: dict[str, list[int]] = {}
+        sizes: list[int] = []
+        names, out = [], []
+        for doc, terms in zip(articles["doc"], articles["terms"], strict=True):
+            shared: Counter = Counter()
+            for term in terms:
+                shared.update(holders.get(term, ()))
+            close = [k for k, n in shared.items() if n >= min_shared or n / (len(terms) + sizes[k] - n) >= threshold]
+            if close:
+                out.append(names[min(close)])
+                continue
+            for term in terms:
+                holders.setdefault(term, []).append(len(names))
+            sizes.append(len(terms))
+            names.append(doc)
+            out.append(doc)
+        return pd.DataFrame({"site": articles["site"], "doc": articles["doc"], "leader": out})
+
+    kind = block.schema["doc"].dataType.simpleString()
+    return block.select(*DOC, "terms").groupBy("site").applyInPandas(decide, f"site string, doc {kind}, leader {kind}")
 
 
 def clusters(
-    articles: DataFrame,
-    keyword_table: DataFrame,
-    threshold: float = 0.1,
-    min_shared: int = 3,
-    top_k: int = 15,
-    hot_rows: int = HOT_ROWS,
+    articles: DataFrame, keyword_table: DataFrame, threshold: float = 0.1, min_shared: int = 3, top_k: int = 15, block: int = BLOCK
 ) -> DataFrame:
-    """(site, doc, leader): every article of ``articles`` with the leader of its cluster (itself if it leads)."""
-    if threshold <= 0 or min_shared < 1:
-        raise ValueError("threshold must be positive and min_shared at least 1")
-    rows = buckets(keyword_table, top_k, threshold, min_shared, hot_rows)
-    lead = leaders(rows, top_k, hot_rows)
-    led = rows.join(lead, DOC, "left_semi")
-    joined = (
-        _smallest_partner(rows, led, top_k, hot_rows)
-        .where(F.col("partner") <= F.col("doc"))
-        .groupBy(*DOC)
-        .agg(F.min("partner").alias("leader"))
-    )
-    return articles.select(*DOC).join(joined, DOC, "left").select(
-        *DOC, F.coalesce("leader", "doc").alias("leader")
-    )
+    """(site, doc, leader): every article of ``articles`` with the leader of its cluster (itself if it leads).
 
-
-def leader_similarity(clustered: DataFrame, keyword_table: DataFrame, top_k: int = 15, hot_rows: int = HOT_ROWS) -> DataFrame:
+    Each turn's results are written to a folder and what is left to another, so no plan grows with the turns.
+    """
+    if threshold <= 0 or min_shared < 1 or block < 1:
+        raise ValueError("threshold must be positive, min_shared and block at least 1")
+    spark, folder = articles.sparkSession, written_folder(articles.sparkSession, "clusters")
+    sets = written_table(term_sets(keyword_table, top_k), "term-sets")
+    left, turn = sets, 0
+    while turn == 0 or not left.isEmpty():
+        first = top_per_group(left, ["site"], ["doc"], block, "place").drop("place")
+        _decided(first, threshold, min_shared).write.parquet(f"{folder}/turn={turn}/part=block")
+        done = spark.read.parquet(f"{folder}/turn={turn}/part=block")
+        later = left.join(done.select(*DOC), DOC, "left_anti")
+        if later.isEmpty():
+            break
+        later = written_table(later, "later")
+        leaders = left.join(done.where("leader = doc").select(*DOC), DOC, "left_semi")
+        _taken(later, leaders, top_k, threshold, min_shared).write.parquet(f"{folder}/turn={turn}/part=taken")
+        left = written_table(later.join(spark.read.parquet(f"{folder}/turn={turn}/part=taken"), DOC, "left_anti"), "open")
+        turn += 1
+    found = spark.read.parquet(folder).select(*DOC, "leader")
+    return articles.select(*DOC).join(found, DOC, "left").select(*DOC, F.coalesce("leader", "doc").alias("leader"))
+
+
+def leader_similarity(clustered: DataFrame, keyword_table: DataFrame, top_k: int = 15) -> DataFrame:
     """Shared keywords and Jaccard index of each article with its leader: (site, doc, leader, shared, jaccard)."""
     sets = keyword_table.where(F.col("rank") <= top_k).groupBy(*DOC).agg(F.collect_set("term").alias("terms"))
     own = clustered.join(sets, DOC, "left")
-    members = clustered.groupBy("site", F.col("leader")).agg(F.count("*").alias("n"))
-    of_leader = members.join(
-        sets.select("site", F.col("doc").alias("leader"), F.col("terms").alias("leader_terms")),
-        ["site", "leader"],
-        "left",
-    )
-    both = lookup_join(own, of_leader, ["site", "leader"], "n", ["doc"], hot_rows=hot_rows)
+    of_leader = sets.select("site", F.col("doc").alias("leader"), F.col("terms").alias("leader_terms"))
+    both = own.join(of_leader, ["site", "leader"], "left")
     none = F.array().cast("array<string>")
     a, b = F.coalesce("terms", none), F.coalesce("leader_terms", none)
     shared = F.size(F.array_intersect(a, b))

@@ -14,7 +14,6 @@ from ..functions import jsonld as J
 from ..functions.rows import each
 from ..sources.dimensions import AI_BOTS
 from ..sources.tables import first_per_site
-from .skew import HOT_ROWS, lookup_join, per_site_join
 
 ERROR_PAGES = ("404.html", "500.html")
 DISALLOWED = ("/admin/", "/private/", "/.git/", "/data/")
@@ -68,7 +67,7 @@ def llms_txt(pages: DataFrame, about: DataFrame, max_pages: int | None = None) -
     narrow = pages.select("site", "page_id", "path", H.title(F.col("html")).alias("title"))
     first = narrow if max_pages is None else first_per_site(narrow, max_pages, "path", "page_id")
     kept = first.withColumn("rel", relative_path(F.col("path"))).where(~F.col("rel").isin(*ERROR_PAGES))
-    named = per_site_join(kept, about.select("site", "base_url"), ["page_id"])
+    named = kept.join(about.select("site", "base_url"), "site")
     line = F.concat(F.lit("- ["), _or(F.col("title"), F.col("rel")), F.lit("]("), "base_url", F.lit("/"), "rel", F.lit(")"))
     head = F.concat(F.lit("# "), "site_name", F.lit("\n\n> "), "description", F.lit("\n\n## Articles\n"))
     return _with_head(named.withColumn("text", line), about, "llms.txt", head)
@@ -138,7 +137,7 @@ def sitemap_entries(pages: DataFrame, about: DataFrame) -> DataFrame:
         .withColumn("rel", relative_path(F.col("path")))
         .where(~rel.isin(*ERROR_PAGES))
     )
-    staged = per_site_join(staged, about.select("site", "base_url"), ["page_id"])
+    staged = staged.join(about.select("site", "base_url"), "site")
     entry = F.concat(
         F.lit("  <url>\n    <loc>"), _xml(F.col("loc")), F.lit("</loc>\n    <lastmod>"), "lastmod",
         F.lit("</lastmod>\n    <changefreq>"), "changefreq", F.lit("</changefreq>\n    <priority>"), "priority",
@@ -163,7 +162,7 @@ SITEMAP_OPEN = (
 )
 
 
-def sitemap_files(entries: DataFrame, per_file: int = 20_000, hot_rows: int = HOT_ROWS) -> DataFrame:
+def sitemap_files(entries: DataFrame, per_file: int = 20_000) -> DataFrame:
     """Numbered parts, sitemap-1.xml and so on, of about ``per_file`` URLs each; ``sitemap_index`` lists them.
 
     All sites get parts and an index, whatever their size. Parts are cut by a hash of the page, so a large site is
@@ -171,7 +170,7 @@ def sitemap_files(entries: DataFrame, per_file: int = 20_000, hot_rows: int = HO
     """
     sizes = entries.groupBy("site").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("parts", F.ceil(F.col("n") / per_file).cast("bigint"))
-    placed = lookup_join(entries, sizes, ["site"], "n", ["path", "page_id"], "inner", hot_rows=hot_rows)
+    placed = entries.join(sizes, "site")
     code = F.conv(F.left(F.md5(F.concat_ws("#", "path", "page_id")), F.lit(8)), 16, 10).cast("bigint")
     numbered = placed.withColumn("part", F.pmod(code, F.col("parts")) + 1)
     urls = F.array_sort(F.collect_list(F.struct("path", "page_id", F.col("xml").alias("text"))))
@@ -271,7 +270,7 @@ def with_schema(pages: DataFrame, about: DataFrame, today: str, lang: str = "pl-
     html, base, rel = F.col("html"), F.col("base_url"), F.col("rel")
     existing = F.flatten(F.transform(H.jsonld_blobs(html), lambda b: J.declared_types(J.parse(b))))
     staged = (
-        per_site_join(pages, about, ["page_id"])
+        pages.join(about, "site")
         .withColumn("rel", relative_path(F.col("path")))
         .withColumn("_types", existing)
         .withColumn("_title", page_title(html, rel))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import band, card_colour, layer_colour, mean_of_present, schema_score, whole
-from .skew import HOT_ROWS, lookup_join, previous_values, top_per_group
+from .skew import previous_values, top_per_group
 
 STEP = 5
 
@@ -40,38 +40,38 @@ def run_pairs(history: DataFrame) -> DataFrame:
     return runs.withColumn("next_ts", F.lead("run_ts").over(by_site))
 
 
-def _appeared_and_gone(facts: DataFrame, runs: DataFrame, key: str, hot_rows: int) -> DataFrame:
+def _appeared_and_gone(facts: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     """Set difference between consecutive runs: (site, run_ts, key, change) with change 'new' or 'gone'.
 
     Each fact is counted as +1 in its run and -1 in the next; what does not cancel has changed. One aggregation per
     (site, key, run), no self-join.
     """
     distinct = facts.select("site", "run_ts", key).distinct()
-    placed = lookup_join(distinct, runs, ["site", "run_ts"], "n", [key], "inner", hot_rows=hot_rows)
+    placed = distinct.join(runs, ["site", "run_ts"])
     here = placed.select("site", "run_ts", key, F.lit(1).alias("d"))
     after = placed.where(F.col("next_ts").isNotNull()).select(
         "site", F.col("next_ts").alias("run_ts"), key, F.lit(-1).alias("d")
     )
-    first = runs.groupBy("site").agg(F.min("run_ts").alias("first_ts"), F.sum("n").alias("n"))
+    first = runs.groupBy("site").agg(F.min("run_ts").alias("first_ts"))
     changed = (
         here.unionByName(after).groupBy("site", "run_ts", key).agg(F.sum("d").alias("d")).where(F.col("d") != 0)
     )
     return (
-        lookup_join(changed, first, ["site"], "n", ["run_ts", key], "inner", hot_rows=hot_rows)
+        changed.join(first, "site")
         .where(F.col("run_ts") > F.col("first_ts"))
         .select("site", "run_ts", key, F.when(F.col("d") > 0, "new").otherwise("gone").alias("change"))
     )
 
 
-def failure_changes(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def failure_changes(history: DataFrame) -> DataFrame:
     """Checks that started or stopped failing, by ``check_id``: (site, run_ts, check_id, change)."""
     fails = history.where(F.col("status") == "fail")
-    return _appeared_and_gone(fails, run_pairs(history), "check_id", hot_rows)
+    return _appeared_and_gone(fails, run_pairs(history), "check_id")
 
 
-def type_changes(types: DataFrame, runs: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def type_changes(types: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Structured-data types that appeared or vanished between runs: (site, run_ts, schema_type, change)."""
-    return _appeared_and_gone(types, run_pairs(types) if runs is None else runs, "schema_type", hot_rows)
+    return _appeared_and_gone(types, run_pairs(types) if runs is None else runs, "schema_type")
 
 
 def first_changes(changes: DataFrame, key: str, n: int = 10) -> DataFrame:

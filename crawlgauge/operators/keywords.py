@@ -2,8 +2,8 @@
 
 ``articles`` has (site, doc, title, h1, h2_list, meta_description, article_tags, body_text, word_count,
 citation_count, fact_count); see ``signals.article_fields`` and ``signals.document_articles``. ``doc`` orders the
-articles of a site. One article is one row, so grouping by (site, doc) is never a hot key; joins on a term go
-through ``lookup_join``.
+articles of a site. One article is one row, so grouping by (site, doc) is never a hot key. Joins on a site or a term
+are plain; adaptive execution splits the partitions of hot ones.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..functions.rows import each
 from ..functions.scoring import band, mean_of_present, whole
 from ..session import written_table
 from ..sources.dimensions import STOPWORDS
-from .skew import HOT_ROWS, lookup_join, per_site_join, top_per_group
+from .skew import top_per_group
 
 DOC = ["site", "doc"]
 
@@ -26,8 +26,13 @@ MIN_WORDS = 100
 
 
 def long_enough(articles: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Articles of at least ``min_words`` words; all measures of a site are over these."""
-    return articles.where(F.col("word_count") >= min_words)
+    """Articles of at least ``min_words`` words; all measures of a site are over these.
+
+    The filter stands above an explode of the whole row, so the optimiser can't push it below what computes the row and
+    extract every text once for the filter and once more for the result.
+    """
+    row = F.array(F.struct(*[F.col(f"`{c}`") for c in articles.columns]))
+    return each(articles, [], row, "row").where(F.col("row.word_count") >= min_words).select("row.*")
 
 
 def article_terms(articles: DataFrame, stopwords=STOPWORDS, boost: bool = False) -> DataFrame:
@@ -65,17 +70,17 @@ def document_frequency(terms: DataFrame) -> DataFrame:
     return terms.groupBy("site", "term").agg(F.count("*").alias("df"))
 
 
-def _with_idf(rows: DataFrame, articles: DataFrame, spread_by: list[str], hot_rows: int) -> DataFrame:
+def _with_idf(rows: DataFrame, articles: DataFrame) -> DataFrame:
     """Adds n, the articles of the site, and idf = ln((n + 1) / (df + 1)) + 1; 1 where df is unknown."""
     sizes = articles.groupBy("site").agg(F.count("*").alias("n"))
-    joined = per_site_join(rows, sizes, spread_by, hot_rows)
+    joined = rows.join(sizes, "site")
     weight = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     return joined.withColumn("idf", F.coalesce(weight, F.lit(1.0)))
 
 
-def idf(articles: DataFrame, stopwords=STOPWORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def idf(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """(site, term, df, n, idf) for every term."""
-    return _with_idf(document_frequency(article_terms(articles, stopwords)), articles, ["term"], hot_rows)
+    return _with_idf(document_frequency(article_terms(articles, stopwords)), articles)
 
 
 def _boost_columns() -> list[Column]:
@@ -87,7 +92,7 @@ def _boost_columns() -> list[Column]:
 
 
 def keywords(
-    articles: DataFrame, top_k: int = 15, stopwords=STOPWORDS, boost: bool = True, hot_rows: int = HOT_ROWS
+    articles: DataFrame, top_k: int = 15, stopwords=STOPWORDS, boost: bool = True
 ) -> DataFrame:
     """Best ``top_k`` terms per article: (site, doc, rank, term, score, idf).
 
@@ -96,8 +101,10 @@ def keywords(
     whatever order they were computed in. The term counts are written once and read for both uses.
     """
     terms = written_table(article_terms(articles, stopwords, boost), "terms")
-    counted = lookup_join(terms.where(F.col("tf") >= 2), document_frequency(terms), ["site", "term"], "df", ["doc"], hot_rows=hot_rows)
-    known = _with_idf(counted, articles, ["doc", "term"], hot_rows)
+    scored_terms = terms.where(F.col("tf") >= 2)
+    # a term that no article of the site has twice is never scored, so its articles need not be counted
+    asked = terms.join(scored_terms.select("site", "term").distinct(), ["site", "term"], "left_semi")
+    known = _with_idf(scored_terms.join(document_frequency(asked), ["site", "term"]), articles)
     score = F.col("tf") / F.greatest(F.col("word_count"), F.lit(1)) * F.col("idf") * 1000
     if boost:
         score = score * F.when(F.col("in_boost"), 3).otherwise(1) * F.when(F.col("in_title"), 2).otherwise(1)
@@ -106,7 +113,7 @@ def keywords(
     return top.select(*DOC, "rank", "term", "score", "idf")
 
 
-def cannibalisation(keyword_table: DataFrame, top_k: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def cannibalisation(keyword_table: DataFrame, top_k: int = 5) -> DataFrame:
     """Terms in the top ``top_k`` of more than one article, one row per competing article.
 
     (site, term, n_articles, winner_delta, doc, score). The count, the best and the second score come from one
@@ -120,7 +127,7 @@ def cannibalisation(keyword_table: DataFrame, top_k: int = 5, hot_rows: int = HO
         .agg((F.max("score") - F.min("score")).alias("winner_delta"))
     )
     conflicts = contested.join(best_two, ["site", "term"])
-    return lookup_join(targets, conflicts, ["site", "term"], "n_articles", ["doc"], "inner", hot_rows=hot_rows).select(
+    return targets.join(conflicts, ["site", "term"]).select(
         "site", "term", "n_articles", F.round("winner_delta", 6).alias("winner_delta"), "doc", "score"
     )
 

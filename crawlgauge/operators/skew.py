@@ -1,4 +1,4 @@
-"""Joins and windows that stay balanced when one key holds a large share of the rows."""
+"""Windows that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
@@ -6,52 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_ROWS = 1_000_000
-
-
-def lookup_join(
-    big: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    weight: str,
-    spread_by: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join ``big`` to ``lookup`` (unique on ``keys``, the first of them text) with hot keys taken apart.
-
-    ``weight`` is a lookup column at least as large as the number of ``big`` rows with that key. Keys at or above
-    ``hot_rows`` are broadcast: there are at most rows(big) / hot_rows of them, which bounds what is broadcast. Their
-    rows do not take part in the shuffle join; they get a first key nothing matches, made from the ``spread_by``
-    columns, which spreads them over all tasks. ``lookup`` keeps the partitioning it was aggregated with.
-    """
-    values = [c for c in lookup.columns if c not in keys]
-    found = F.struct(*values)
-    hot = lookup.where(F.col(weight) >= hot_rows).select(*keys, found.alias("_hot"))
-    aside = F.concat(F.lit("\u0000"), F.xxhash64(*spread_by).cast("string"))
-    marked = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_key", F.when(F.col("_hot").isNull(), F.col(keys[0])).otherwise(aside)
-    )
-    rest = lookup.select(F.col(keys[0]).alias("_key"), *keys[1:], found.alias("_rest"))
-    joined = marked.join(rest, ["_key", *keys[1:]], "left").withColumn("_found", F.coalesce("_hot", "_rest"))
-    if how == "inner":
-        joined = joined.where(F.col("_found").isNotNull())
-    return joined.select(*big.columns, *[F.col("_found")[v].alias(v) for v in values])
-
-
-def per_site_join(
-    big: DataFrame, per_site: DataFrame, spread_by: list[str], hot_rows: int = HOT_ROWS, most: int = 200_000
-) -> DataFrame:
-    """Inner join to a table with one row per site.
-
-    Broadcast when counting shows at most ``most`` rows, so ``big`` is not shuffled; else ``lookup_join``.
-    """
-    if per_site.limit(most + 1).count() <= most:
-        return big.join(F.broadcast(per_site), "site")
-    weights = big.groupBy("site").agg(F.count("*").alias("_weight"))
-    weighted = per_site.join(weights, "site")
-    return lookup_join(big, weighted, ["site"], "_weight", spread_by, "inner", hot_rows).drop("_weight")
-
 
 def previous_values(df: DataFrame, keys: list[str], order: list[str], values: list[str], period: str) -> DataFrame:
     """``lag(1)`` of ``values`` over ``order`` within ``keys``, as columns ``prev_<value>``.

@@ -14,7 +14,7 @@ from pyspark.sql import types as ST
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import clusters as CL
-from ..operators import core, generate, history, pagespeed, quality, signals, skew, visibility
+from ..operators import core, generate, history, pagespeed, quality, signals, visibility
 from ..operators import keywords as K
 from ..operators import structured_data as SD
 from ..session import WRITTEN, configure, shared_dir, written_table
@@ -1374,7 +1374,7 @@ TITLED = f"SELECT page_id, rel, base_url, {TITLE_OR_REL} AS title, list_filter(s
 )
 def _(spark, d):
     rel = generate.relative_path(F.col("path"))
-    pages = skew.per_site_join(D.pages(spark, d), D.about(spark, d), ["page_id"]).withColumn("title", generate.page_title(F.col("html"), rel))
+    pages = D.pages(spark, d).join(D.about(spark, d), "site").withColumn("title", generate.page_title(F.col("html"), rel))
     items = generate.breadcrumbs(rel, F.col("base_url"), F.col("title"))
     return pages.select("page_id", F.explode(items).alias("i")).select("page_id", "i.position", "i.name", "i.item")
 

@@ -290,7 +290,7 @@ def test_sitemap_parts_hold_every_page(spark, about):
         F.lit('<img src="i.png">').alias("html"), F.to_timestamp(F.lit("2024-01-01")).alias("fetched_at"),
     )
     entries = generate.sitemap_entries(pages, about)
-    files = generate.sitemap_files(entries, per_file=10, hot_rows=5)
+    files = generate.sitemap_files(entries, per_file=10)
     rows = files.collect()
     assert len(rows) > 1 and sum(r.content.count("<url>") for r in rows) == 45
     assert "&amp;.html" in rows[0].content and "https://s/i.png" in rows[0].content

@@ -17,26 +17,6 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("hot_rows", [1, 10, 10**9])
-def test_lookup_join_is_a_join(spark, how, hot_rows):
-    rng = random.Random(1)
-    keys = ["hot"] * 40 + [f"k{rng.randrange(12)}" for _ in range(60)] + [None]
-    big = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "site string, x long")
-    counted = big.where("site is not null and site <> 'k3'").groupBy("site").agg(F.count("*").alias("n"))
-    lookup = counted.withColumn("v", F.concat(F.lit("v"), "site"))
-    got = skew.lookup_join(big, lookup, ["site"], "n", ["x"], how, hot_rows)
-    assert rows_of(got.select("site", "x", "n", "v")) == rows_of(big.join(lookup, "site", how).select("site", "x", "n", "v"))
-
-
-def test_per_site_join_beyond_the_broadcast_limit(spark):
-    big = spark.range(50).select(F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("site"), "id")
-    sizes = big.groupBy("site").agg(F.count("*").alias("n"))
-    small = skew.per_site_join(big, sizes, ["id"])
-    large = skew.per_site_join(big, sizes, ["id"], hot_rows=8, most=2)
-    assert rows_of(small.select("site", "id", "n")) == rows_of(large.select("site", "id", "n"))
-
-
 def test_previous_values_is_lag(spark):
     rng = random.Random(2)
     rows = [(f"k{rng.choice([0, 0, 0, 1, 2])}", rng.randrange(40), i, float(rng.randrange(9))) for i in range(300)]
@@ -75,7 +55,7 @@ def test_clusters_follow_the_sequential_rule(spark):
         words += [(f"s{s}", i, f"w{w}", r + 1) for i, ws in sets.items() for r, w in enumerate(sorted(ws))]
         expected |= {(f"s{s}", i): leader for i, leader in leaders_one_by_one(sets).items()}
     table = spark.createDataFrame(words, "site string, doc long, term string, rank int")
-    got = CL.clusters(spark.createDataFrame(articles, "site string, doc long"), table, hot_rows=15)
+    got = CL.clusters(spark.createDataFrame(articles, "site string, doc long"), table)
     assert {(r.site, r.doc): r.leader for r in got.collect()} == expected
 
 
@@ -91,14 +71,46 @@ def test_clusters_compare_with_the_leader_only(spark):
     assert similarity == {"a": (12, 1.0), "b": (3, 0.1429), "c": (12, 1.0)}
 
 
-def test_unbounded_cluster_parameters_are_refused(spark):
+def test_cluster_parameters(spark):
     table = spark.createDataFrame([("s", 1, "w", 1)], "site string, doc long, term string, rank int")
-    with pytest.raises(ValueError):
-        CL.buckets(table, 40, 0.5, 20)
     with pytest.raises(ValueError):
         CL.clusters(table.select("site", "doc"), table, threshold=0)
 
 
+@pytest.mark.parametrize("block,top_k,threshold,min_shared", [(7, 15, 0.1, 3), (4, 15, 0.1, 3), (25, 40, 0.5, 20), (10, 15, 0.3, 2), (50, 5, 0.1, 1)])
+def test_blocks_give_the_same_clusters(spark, block, top_k, threshold, min_shared):
+    rng = random.Random(block)
+    words, articles, expected = [], [], {}
+    for s in range(4):
+        sets = {i: set(rng.sample(range(12 * (s + 1)), rng.randint(0, min(top_k, 12)))) for i in range(30)}
+        articles += [(f"s{s}", i) for i in sets]
+        words += [(f"s{s}", i, f"w{w}", r + 1) for i, ws in sets.items() for r, w in enumerate(sorted(ws))]
+        expected |= {(f"s{s}", i): leader for i, leader in leaders_one_by_one(sets, threshold, min_shared).items()}
+    table = spark.createDataFrame(words, "site string, doc long, term string, rank int")
+    got = CL.clusters(spark.createDataFrame(articles, "site string, doc long"), table, threshold, min_shared, top_k, block=block)
+    assert {(r.site, r.doc): r.leader for r in got.collect()} == expected
+
+
+def test_a_long_chain_ends(spark):
+    """20,000 articles, each similar to its neighbours only: every other one leads."""
+    n = 20_000
+    ids = spark.range(n).select(F.lit("s").alias("site"), F.col("id").alias("doc"))
+    terms = ids.select("site", "doc", F.posexplode(F.array(*[F.concat(F.lit("w"), F.col("doc") * 3 + k) for k in range(6)])).alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
+    got = CL.clusters(ids, terms, threshold=0.5, min_shared=3, block=8000)
+    assert got.where(F.col("leader") != F.col("doc") - F.col("doc") % 2).count() == 0 and got.count() == n
+
+
+def test_a_term_of_all_articles_makes_few_candidates(spark):
+    """Articles that share only their two most frequent terms never meet."""
+    rows = [("s", d, t, i + 1) for d in range(300) for i, t in enumerate(["hot", "warm", *(f"w{d}-{k}" for k in range(13))])]
+    table = spark.createDataFrame(rows, "site string, doc long, term string, rank int")
+    sets = CL.term_sets(table, 15)
+    probes = sets.where("doc >= 100")
+    assert CL.candidates(probes, sets.where("doc < 100"), 15, 0.1, 3).count() == 0
+    got = CL.clusters(table.select("site", "doc").distinct(), table, block=100)
+    assert got.where("leader <> doc").count() == 0
+
+
 def test_needed_overlap():
     assert CL.needed_overlap(15, 15, 0.1, 3) == 3
     assert CL.needed_overlap(5, 6, 0.1, 3) == 1
@@ -159,6 +171,6 @@ def test_worst_contrast_equals_all_pairs(spark):
 def test_cannibalisation_with_a_hot_term(spark):
     rows = [("s", d, 1, "hot", 10.0 + d, 1.0) for d in range(20)] + [("s", 1, 2, "cold", 5.0, 1.0), ("s", 2, 2, "cold", 7.5, 1.0), ("s", 3, 2, "single", 1.0, 1.0)]
     table = spark.createDataFrame(rows, "site string, doc long, rank int, term string, score double, idf double")
-    got = K.cannibalisation(table, hot_rows=5).collect()
+    got = K.cannibalisation(table).collect()
     assert {(r.term, r.n_articles, r.winner_delta) for r in got} == {("hot", 20, 1.0), ("cold", 2, 2.5)}
     assert len(got) == 22
