@@ -53,8 +53,8 @@ class ByteTokens:
         for token, i in ranks.items():
             self.bytes[i] = token
 
-    def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(" " + text)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
 class PieceTokens:
@@ -69,8 +69,8 @@ class PieceTokens:
             piece = self.pieces.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode("utf-8"))
 
-    def encode(self, text: str) -> list[int]:
-        return self.pieces.encode(text)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.pieces.encode(texts, num_threads=1)
 
 
 class Aligner:
@@ -80,22 +80,27 @@ class Aligner:
         self.first, self.second = first, second
         self.widths = [np.array([len(b) for b in t.bytes], np.int64) for t in (first, second)]
         # an id's text and what stands behind it: inside a group, and at the end of its side of the group
-        self.texts = [f"{i}{c}".encode() for t, inner, last in ((first, ",", "|"), (second, ",", ";")) for i in range(len(t.bytes)) for c in (inner, last)]
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both; none if a side does not spell the space and the text."""
-        if text:
-            want, a, b = (" " + text).encode("utf-8"), self.first.encode(text), self.second.encode(text)
-            if all(b"".join(map(t.bytes.__getitem__, ids)) == want for t, ids in ((self.first, a), (self.second, b))):
-                return a, b
-        return [], []
-
-    def align(self, text: str | None) -> Alignment:
-        a, b = self.tokens(text)
+        self.texts = np.array([f"{i}{c}".encode() for t, inner, last in ((first, ",", "|"), (second, ",", ";")) for i in range(len(t.bytes)) for c in (inner, last)])
+
+    def align(self, texts: list[str | None]) -> Iterator[Alignment]:
+        """One alignment for each text; without tokens if a side does not spell the space and the text."""
+        filled = [t for t in texts if t]
+        encoded = zip(filled, self.first.encode(filled), self.second.encode(filled), strict=True)
+        for text in texts:
+            a, b = [], []
+            if text:
+                _, a, b = next(encoded)
+                want = (" " + text).encode("utf-8")
+                if any(b"".join(map(t.bytes.__getitem__, ids)) != want for t, ids in ((self.first, a), (self.second, b))):
+                    a, b = [], []
+            yield self._aligned(a, b)
+
+    def _aligned(self, a: list[int], b: list[int]) -> Alignment:
         ids = np.array(a, np.int64), np.array(b, np.int64)
         ends = [np.cumsum(w[i]) for w, i in zip(self.widths, ids, strict=True)]
-        index = [dict(zip(e.tolist(), range(1, len(e) + 1), strict=True)) for e in ends]
-        common = sorted(index[0].keys() & index[1].keys())
+        index = [dict(zip(e.tolist(), range(1, len(e) + 1))) for e in ends]  # noqa: B905
+        both = index[0].keys() & index[1].keys()
+        common = np.sort(np.fromiter(both, np.int64, len(both))).tolist()
         cuts = [np.fromiter(map(i.__getitem__, common), np.int64, len(common)) for i in index]
         return Alignment(ids, ends, cuts, self.texts, len(self.first.bytes))
 
@@ -130,7 +135,8 @@ class Alignment:
             last = np.zeros(len(self.ids[side]), np.int64)
             last[own - 1] = 1
             out[np.arange(len(last)) + np.repeat(before, sizes)] = 2 * (self.ids[side] + side * self.n_first) + last
-        return b"".join(map(self.texts.__getitem__, out.tolist()))[:-1]
+        # texts are as wide as the longest; what fills them up goes
+        return self.texts[out].tobytes().replace(b"\0", b"")[:-1]
 
 
 ALIGNED_SCHEMA = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary, pairs binary, holders binary"
@@ -165,8 +171,7 @@ def chunks_of(documents: DataFrame, links_per_chunk: int = LINKS_PER_CHUNK, keep
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), ALIGNED, strict=True)], [n for n, _ in ALIGNED])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                aligned = aligner.align(text)
+            for doc_id, aligned in zip(batch.column("doc_id").to_pylist(), aligner.align(batch.column("text").to_pylist()), strict=True):
                 links, groups = aligned.links(), aligned.text()
                 digest = hashlib.sha256(groups).hexdigest() if groups else ""
                 rows.append((doc_id, len(aligned.ids[0]), len(aligned.ids[1]), aligned.n_groups, len(links), digest, groups.decode("ascii") if keep_groups else None))
