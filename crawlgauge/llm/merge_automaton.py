@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 from array import array
 from bisect import bisect_right
@@ -33,7 +32,7 @@ from crawlgauge.llm.common import prepared, table
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept with their tokens by a task; beyond it the memory of words starts anew, longer words are never kept.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 400_000
 REMEMBERED_LENGTH = 64
 
 # The splitting pattern of the vocabulary file, and the same for lower-case ASCII text.
@@ -137,18 +136,28 @@ class Automaton:
 
     def encode(self, symbols: str) -> list[int]:
         """Tokens of one word, given as its symbols without the end mark. Linear in the word's length."""
-        n, arcs, longest = len(symbols), self.arcs, self.longest
-        token, start, state = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for k in range(max(0, i - longest), i):
-                label = arcs.get(symbols[k:i] if i < n else symbols[k:i] + self.end)
+        n, longest, get, row, refused, number, after = len(symbols), self.longest, self.arcs.get, self.row, self.refused, self.number, self.state
+        whole = get(symbols + self.end)
+        if whole is not None:
+            return [whole]  # words begin in a state that refuses nothing
+        token, start, state = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+
+        def settle(i: int) -> None:
+            mark = self.end if i == n else ""
+            for k in range(i - longest if i > longest else 0, i):
+                label = get(symbols[k:i] + mark) if mark else get(symbols[k:i])
                 if label is not None:
-                    after = self.step(state[k], label)
-                    if after >= 0:
-                        token[i], start[i], state[i] = label, k, after
-                        break
-            else:
-                raise ValueError(f"no token ends at {i} of {symbols[:40]!r}")
+                    if k and token[k] < 0:
+                        settle(k)
+                    lo = row[state[k]]  # as in step
+                    if not (bisect_right(refused, number[label], lo, row[state[k] + 1]) - lo) & 1:
+                        token[i], start[i], state[i] = label, k, after[label]
+                        return
+            raise ValueError(f"no token ends at {i} of {symbols[:40]!r}")
+
+        # of a short word only the places that matter, asked for from its end
+        for i in range(1, n + 1) if n > REMEMBERED_LENGTH else [n] if n else []:
+            settle(i)
         out = []
         while n:
             out.append(token[n])
@@ -167,16 +176,12 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(256 + other.index(b)) for b in range(256)]
 
 
-def unassigned() -> str:
-    """Pattern for code points that this Python's Unicode tables don't know; the library's tables may be newer."""
-    spans: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c)) == "Cn":
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) + "]"
+class Unassigned(dict):
+    """character -> whether this Python's Unicode tables don't know it; the library's tables may be newer."""
+
+    def __missing__(self, character: str) -> bool:
+        self[character] = unknown = unicodedata.category(character) == "Cn"
+        return unknown
 
 
 class WordTokens(dict):
@@ -206,10 +211,10 @@ class Splitter:
     Texts with code points unknown to this Python go through the library's own normaliser and splitter.
     """
 
-    def __init__(self, path: str, unknown: str, added: dict[str, int]):
+    def __init__(self, path: str, added: dict[str, int]):
         self.path, self.added = path, added
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.unknown, self.words, self.ascii_words = re.compile(unknown), regex.compile(WORDS), re.compile(ASCII_WORDS)
+        self.unknown, self.words, self.ascii_words = Unassigned(), regex.compile(WORDS), re.compile(ASCII_WORDS)
         self.library = None
 
     def parts(self, text: str) -> list[str]:
@@ -219,7 +224,7 @@ class Splitter:
     def split(self, part: str) -> list[str]:
         if part.isascii():
             return self.ascii_words.findall(part.lower())
-        if self.unknown.search(part):
+        if any(map(self.unknown.__getitem__, set(part))):
             return self._by_library(part)
         return self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
 
@@ -267,12 +272,12 @@ def encoded(documents: DataFrame, keep_ids: bool = False, tokenizer_dir: str | N
     spark = prepared(documents.sparkSession)
     path = vocabulary_file(folder=tokenizer_dir)
     automaton, added = compiled(path)
-    shipped, unknown = spark.sparkContext.broadcast(automaton), unassigned()
+    shipped = spark.sparkContext.broadcast(automaton)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * keep_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, splitter = WordTokens(shipped.value), Splitter(path, unknown, added)
+        words, splitter = WordTokens(shipped.value), Splitter(path, added)
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
