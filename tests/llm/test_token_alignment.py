@@ -120,3 +120,33 @@ def test_op11(spark, owners):
         if r["doc_id"] in small:
             assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"]) == (*want[r["doc_id"]][1:5], want[r["doc_id"]][7])
             assert r["count_sum"] >= want[r["doc_id"]][6]
+
+
+def test_no_token_goes_over_a_single_space():
+    import public_tokenizers
+
+    first = token_alignment.ByteTokens(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    second = token_alignment.PieceTokens(public_tokenizers.path("piece_bpe_32k.model"))
+    for tokens in (first.bytes, second.bytes):
+        over = [t.decode("utf-8", "ignore") for t in tokens if token_alignment.BETWEEN_UNITS.search(t.decode("utf-8", "replace"))]
+        ends = [t for t in tokens if t.endswith(b" ") and t.decode("utf-8", "replace").strip()]
+        assert over == [] and ends == []
+
+
+@pytest.mark.parametrize("units, links, at_once", [(0, 1, 1), (3, 1 << 22, 2), (200_000, 5, 7)])
+def test_forgetting_changes_nothing(monkeypatch, units, links, at_once):
+    import public_tokenizers
+
+    def aligner():
+        return token_alignment.Aligner(token_alignment.ByteTokens(public_tokenizers.path("byte_bpe_50k.tiktoken")), token_alignment.PieceTokens(public_tokenizers.path("piece_bpe_32k.model")))
+
+    texts = [*ODD, "one two one  two\none two", " ".join(f"word{k % 9}" for k in range(50))]
+    want = [aligner().align(t) for t in texts]
+    monkeypatch.setattr(token_alignment, "REMEMBERED_UNITS", units)
+    monkeypatch.setattr(token_alignment, "REMEMBERED_LINKS", links)
+    monkeypatch.setattr(token_alignment, "UNITS_AT_ONCE", at_once)
+    forgetful = aligner()
+    for text, w in zip(texts, want, strict=True):
+        got = forgetful.align(text)
+        assert got[:3] == w[:3] and got.text == w.text
+        assert got.pairs.tolist() == w.pairs.tolist() and got.times.tolist() == w.times.tolist()
