@@ -79,6 +79,39 @@ def types_anywhere(v: Column) -> Column:
     return F.array_distinct(each)
 
 
+def typed_nodes(v: Column, max_depth: int = 25) -> Column:
+    """Every @type of every object with the object's path: array<struct<path, schema_type>>.
+
+    The walk goes through all members and list elements, level by level down to ``max_depth``, the root being level 0.
+    Paths look like $."@graph"[0]."author"; keys stand in quotes as they are.
+    """
+    node = "struct<path:string,v:variant>"
+    start = F.struct(
+        F.array(F.struct(F.lit("$").alias("path"), v.alias("v"))).alias("nodes"),
+        F.array().cast("array<struct<path:string,schema_type:string>>").alias("found"),
+    )
+
+    def types_of(n: Column) -> Column:
+        types = F.when(is_kind(n["v"], "OBJECT"), F.array_compact(_own_types(n["v"])))
+        pairs = F.transform(F.array_distinct(types), lambda t: F.struct(n["path"].alias("path"), t.alias("schema_type")))
+        return F.coalesce(pairs, F.array().cast("array<struct<path:string,schema_type:string>>"))
+
+    def below(n: Column) -> Column:
+        listed = F.transform(
+            elements(n["v"]), lambda x, i: F.struct(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v"))
+        )
+        named = F.transform(
+            F.map_entries(members(n["v"])), lambda e: F.struct(F.concat(n["path"], F.lit('."'), e["key"], F.lit('"')).alias("path"), e["value"].alias("v"))
+        )
+        return F.coalesce(listed, named, F.array().cast(f"array<{node}>"))
+
+    def deeper(s: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(s["nodes"], types_of))
+        return F.struct(F.flatten(F.transform(s["nodes"], below)).alias("nodes"), F.concat(s["found"], found).alias("found"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), start, deeper, lambda s: s["found"])
+
+
 def declared_types(v: Column) -> Column:
     """Types declared at the top, in lists and inside @graph at any depth, not in other nested fields.
 

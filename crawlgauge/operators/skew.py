@@ -34,3 +34,24 @@ def top_per_group(df: DataFrame, group: list[str], order: list, n: int, rank: st
     """First ``n`` rows per group with their rank; limited inside each partition before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
+def trailing_sums(df: DataFrame, keys: list[str], time: str, values: list[str], width: str, period: str) -> DataFrame:
+    """Sums of the exact numbers ``values`` over a key's rows from ``width`` before a row up to its time, as ``sum_<value>``.
+
+    Both ends count, so rows of one time have the same sums. Every row enters at its time and leaves behind ``width``; a
+    running total of both is the sum, linear in the rows however many a frame holds. The history of a key is cut by
+    ``period`` (month, day, ...), so one window task totals one period of one key; a period begins with what the ones
+    before it leave, one row.
+    """
+    gone = F.expr(f"`{time}` + INTERVAL {width} + INTERVAL 1 MICROSECOND")
+    leaving = df.select(*keys, gone.alias(time), *[(-F.col(v)).alias(v) for v in values], F.lit(False).alias("_own"))
+    events = df.withColumn("_own", F.lit(True)).unionByName(leaving, allowMissingColumns=True)
+    events = events.withColumn("_period", F.date_trunc(period, time))
+    totals = events.groupBy(*keys, "_period").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.partitionBy(*keys).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    left = totals.select(*keys, "_period", F.col("_period").alias(time), *[F.sum(v).over(earlier).alias(v) for v in values], F.lit(False).alias("_own"))
+    so_far = Window.partitionBy(*keys, "_period").orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = events.unionByName(left, allowMissingColumns=True)
+    summed = running.select("*", *[F.sum(v).over(so_far).alias(f"sum_{v}") for v in values])
+    return summed.where("_own").drop("_own", "_period")

@@ -33,6 +33,12 @@ def types_anywhere(pages: DataFrame) -> DataFrame:
     )
 
 
+def typed_nodes(pages: DataFrame) -> DataFrame:
+    """Which types a page's structured data has and where: (site, page_id, blob_pos, path, schema_type)."""
+    found = each(blobs(pages).where("is_valid"), ["site", "page_id", "blob_pos"], J.typed_nodes(F.col("v")), "node")
+    return found.select("site", "page_id", "blob_pos", "node.*")
+
+
 def declared_types(pages: DataFrame) -> DataFrame:
     """Types a page declares itself: at the top, in lists and inside @graph, not in other nested fields."""
     valid = blobs(pages).where("is_valid")

@@ -551,6 +551,20 @@ def _(spark, d):
     return SD.types_anywhere(D.pages(spark, d))
 
 
+@query(
+    "typed_nodes_json02",
+    O.sql(
+        """SELECT DISTINCT site, page_id, blob_pos, regexp_replace(path, '\\.([A-Za-z0-9_]+)', '."\\1"', 'g') AS path, unnest(types) AS schema_type FROM (
+ SELECT r.site, r.page_id, r.blob_pos, t.fullkey AS path, CASE json_type(t.value, '$."@type"') WHEN 'ARRAY' THEN
+ list_filter(CAST(json_extract(t.value, '$."@type"') AS VARCHAR[]), lambda x: x IS NOT NULL) WHEN 'VARCHAR' THEN [json_extract_string(t.value, '$."@type"')] ELSE [] END AS types
+ FROM roots r, json_tree(r.v) t WHERE t.type = 'OBJECT')""",
+        **{k: O.JSON_CTES[k] for k in ("pg", "b0", "b", "roots")},
+    ),
+)
+def _(spark, d):
+    return SD.typed_nodes(D.pages(spark, d))
+
+
 @query(
     "declared_types_json03",
     O.sql(
@@ -1049,6 +1063,42 @@ def _(spark, d):
     return history.score_trend(main, ("run_ts", "tie"), "day").select("site", "layer", "label", "tie", "score", "prev_score")
 
 
+@query(
+    "moving_mean_m06",
+    O.sql(
+        """SELECT site, layer, run_ts, tie, score, CAST(sum(CAST(score AS DECIMAL(18,6))) OVER w AS DOUBLE) / count(*) OVER w AS mean, count(*) OVER w AS n_runs
+ FROM ls WHERE score IS NOT NULL WINDOW w AS (PARTITION BY site, layer ORDER BY run_ts RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW)""",
+        ls=O.LAYERS,
+    ),
+)
+def _(spark, d):
+    return history.moving_mean(D.layer_scores(spark, d))
+
+
+@query(
+    "monthly_sketches",
+    O.sql(
+        """SELECT layer, CAST(date_trunc('month', run_ts) AS TIMESTAMP) AS period, count(*) AS n_runs, count(DISTINCT site) AS n_exact,
+ true AS sites_close, true AS median_close FROM ls GROUP BY ALL""",
+        ls=O.LAYERS,
+    ),
+)
+def _(spark, d):
+    """Sites and median score of each month by merged daily sketches, held against exact ones: sites within four standard
+    errors, the median's rank within 4 %."""
+    runs = D.layer_scores(spark, d)
+    merged = history.merged_sketches(history.daily_sketches(runs))
+    held = runs.withColumn("period", F.date_trunc("month", "run_ts")).join(merged, ["layer", "period"])
+    below, upto = F.count_if(F.col("score") < F.col("median")), F.count_if(F.col("score") <= F.col("median"))
+    exact = held.groupBy("layer", "period", "n_runs", "n_sites").agg(
+        F.count_distinct("site").alias("n_exact"),
+        # half of the scores lie between the two ranks of the median, give or take
+        ((below <= 0.54 * F.count("score") + 1) & (upto >= 0.46 * F.count("score") - 1)).alias("median_close"),
+    )
+    bound = 4 * 1.04 / 2 ** (history.SKETCH_BITS / 2) * F.col("n_exact")
+    return exact.withColumn("sites_close", F.abs(F.col("n_sites") - F.col("n_exact")) <= bound).drop("n_sites")
+
+
 @query(
     "composite_trend_m06",
     O.sql(

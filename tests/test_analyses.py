@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from crawlgauge.functions import jsonld as J
 from crawlgauge.operators import core, generate, history, pagespeed, quality, registry, signals, visibility
 from crawlgauge.operators import keywords as K
 from crawlgauge.operators import structured_data as SD
@@ -369,3 +371,35 @@ def test_module_selection(spark):
         registry.select_modules(registry.QUALITY_MODULES, "speed")
     found = registry.run(registry.QUALITY_MODULES, "all", signals.page_signals(site_pages(spark)))
     assert {r.module for r in found.select("module").distinct().collect()} == {"performance", "accessibility", "content"}
+
+
+def test_types_are_found_with_their_paths(spark):
+    def walk(node, path="$", depth=0):
+        if depth > 25:
+            return
+        if isinstance(node, dict):
+            types = node.get("@type")
+            for t in types if isinstance(types, list) else [types]:
+                if isinstance(t, str):
+                    yield path, t
+        inner = [(f'{path}."{k}"', v) for k, v in node.items()] if isinstance(node, dict) else [(f"{path}[{i}]", v) for i, v in enumerate(node)] if isinstance(node, list) else []
+        for below, value in inner:
+            yield from walk(value, below, depth + 1)
+
+    deep = {"@type": "T0"}
+    for k in range(1, 40):
+        deep = {"@type": f"T{k}", "a": deep} if k % 2 else [deep, {"@type": ["L", 5, None, "M"]}]
+    values = [deep, {}, [], 5, "x", None, {"@type": "A", "x.y": {'k"q': [{"@type": "B"}, [[{"@type": "C"}]]]}, "n": None, "@graph": [None, {"@type": ["D", "D"]}]}]
+    rows = [(i, json.dumps(v)) for i, v in enumerate(values)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, j string").select("id", F.try_parse_json("j").alias("v"))
+    got = {(r["id"], r["path"], r["schema_type"]) for r in df.select("id", F.explode(J.typed_nodes(F.col("v"))).alias("n")).select("id", "n.*").collect()}
+    assert got == {(i, p, t) for i, v in enumerate(values) for p, t in walk(v)}
+
+
+def test_sketches_merge_to_any_period(spark):
+    rows = [(f"s{i % 700}", "main", f"2024-0{1 + i % 3}-{1 + i % 28:02d} 10:00:00", float(i % 100) if i % 11 else None) for i in range(6000)]
+    runs = spark.createDataFrame(rows, "site string, layer string, t string, score double").withColumn("run_ts", F.to_timestamp("t"))
+    year = history.merged_sketches(history.daily_sketches(runs), "year").collect()
+    assert len(year) == 1 and year[0]["n_runs"] == 6000
+    assert abs(year[0]["n_sites"] - 700) <= 45 and 44 <= year[0]["median"] <= 55
+    assert history.merged_sketches(history.daily_sketches(runs.limit(0))).count() == 0

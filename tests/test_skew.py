@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
@@ -174,3 +175,16 @@ def test_cannibalisation_with_a_hot_term(spark):
     got = K.cannibalisation(table).collect()
     assert {(r.term, r.n_articles, r.winner_delta) for r in got} == {("hot", 20, 1.0), ("cold", 2, 2.5)}
     assert len(got) == 22
+
+
+@pytest.mark.parametrize("period", ["day", "month", "year"])
+def test_trailing_sums_are_a_range_frame(spark, period):
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 30)
+    times = [start + datetime.timedelta(days=rng.randrange(90), hours=rng.choice([0, 0, 7])) for _ in range(400)]
+    rows = [(f"k{rng.choice([0, 0, 0, 1, 2])}", t, i, rng.randrange(-9, 9)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "k string, t timestamp, tie int, v bigint")
+    got = skew.trailing_sums(df, ["k"], "t", ["v"], "30 DAYS", period)
+    want = {(k, t, i, v, sum(w for k2, t2, _, w in rows if k2 == k and t - datetime.timedelta(days=30) <= t2 <= t)) for k, t, i, v in rows}
+    assert {tuple(r) for r in got.select("k", "t", "tie", "v", "sum_v").collect()} == want and got.count() == len(rows)
+    assert skew.trailing_sums(df.limit(0), ["k"], "t", ["v"], "30 DAYS", period).count() == 0
