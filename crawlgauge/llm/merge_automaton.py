@@ -20,7 +20,7 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,23 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words kept with their tokens by a task; beyond it the memory of words starts anew, longer words are never kept.
 REMEMBERED_WORDS = 400_000
 REMEMBERED_LENGTH = 64
+#: Symbols by which the longest token that can end at a place is looked up.
+TAIL = 3
 
 # The splitting pattern of the vocabulary file, and the same for lower-case ASCII text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+"
 
 
+def most_symbols(tokens: Iterable[str]) -> dict[str, int]:
+    """The last ``TAIL`` symbols of a token -> symbols of the longest token that ends in them."""
+    most: dict[str, int] = {}
+    for token in tokens:
+        if len(token) >= TAIL:
+            most[token[-TAIL:]] = max(most.get(token[-TAIL:], 0), len(token))
+    return most
+
+
 class Automaton:
     """States, arcs and labels of a vocabulary; ``compile`` builds one. All of it is as large as the vocabulary."""
 
@@ -49,7 +60,10 @@ class Automaton:
         self.state, self.number = state, number
         #: by state: where its intervals of refused numbers begin in ``refused``, as alternating starts and ends
         self.row, self.refused = row, refused
-        self.longest = max((len(a) - len(end) * a.endswith(end) for a in arcs), default=0) if end else max(map(len, arcs), default=0)
+        # inside a word and at its end: token by its symbols, and the most symbols of a token that ends in these
+        inside = {a: t for a, t in arcs.items() if not end or not a.endswith(end)}
+        final = {a[: len(a) - len(end)]: t for a, t in arcs.items() if a.endswith(end)}
+        self.ending = [(tokens, most_symbols(tokens)) for tokens in (inside, final)]
 
     @classmethod
     def compile(cls, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str = "") -> Automaton:
@@ -136,16 +150,17 @@ class Automaton:
 
     def encode(self, symbols: str) -> list[int]:
         """Tokens of one word, given as its symbols without the end mark. Linear in the word's length."""
-        n, longest, get, row, refused, number, after = len(symbols), self.longest, self.arcs.get, self.row, self.refused, self.number, self.state
-        whole = get(symbols + self.end)
+        n, row, refused, number, after = len(symbols), self.row, self.refused, self.number, self.state
+        whole = self.ending[1][0].get(symbols)
         if whole is not None:
             return [whole]  # words begin in a state that refuses nothing
         token, start, state = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
 
         def settle(i: int) -> None:
-            mark = self.end if i == n else ""
+            tokens, most = self.ending[i == n]
+            longest = most.get(symbols[i - TAIL : i], TAIL - 1) if i >= TAIL else i
             for k in range(i - longest if i > longest else 0, i):
-                label = get(symbols[k:i] + mark) if mark else get(symbols[k:i])
+                label = tokens.get(symbols[k:i])
                 if label is not None:
                     if k and token[k] < 0:
                         settle(k)
