@@ -17,9 +17,9 @@ from ..operators import clusters as CL
 from ..operators import core, generate, history, pagespeed, quality, signals, visibility
 from ..operators import keywords as K
 from ..operators import structured_data as SD
-from ..session import WRITTEN, configure, shared_dir, written_table
+from ..session import WRITTEN, configure, shared_dir, written_folder, written_table
 from ..sources import dimensions as dim
-from ..sources import sinks, tables
+from ..sources import archives, sinks, tables
 from ..streaming import alerts, page_audit
 from . import derived as D
 from . import oracles as O
@@ -99,22 +99,47 @@ def _(spark, d):
 CRAWLED = "SELECT * REPLACE (CASE WHEN page_id % 5 = 1 THEN concat('https://', site, '/') ELSE concat('https://', site, path) END AS url) FROM pg"
 
 
-@query(
-    "crawl_set_src03",
-    O.sql(
-        """SELECT * FROM (SELECT c.site, c.page_id, c.url, CASE WHEN c.url = concat('https://', c.site, '/') THEN -1 ELSE f.pos END AS ord
+CRAWL_SET = O.sql(
+    """SELECT * FROM (SELECT c.site, c.page_id, c.url, CASE WHEN c.url = concat('https://', c.site, '/') THEN -1 ELSE f.pos END AS ord
  FROM c LEFT JOIN f ON f.site = c.site AND f.loc = c.url WHERE contains(lower(c.html), '<html')) WHERE ord IS NOT NULL""",
-        pg=O.PG,
-        sites=O.SITES,
-        res=O.RES,
-        f=FRONTIER,
-        c=CRAWLED,
-    ),
+    pg=O.PG,
+    sites=O.SITES,
+    res=O.RES,
+    f=FRONTIER,
+    c=CRAWLED,
 )
-def _(spark, d):
+
+
+def _with_own_urls(spark, d) -> DataFrame:
     own = F.concat(F.lit("https://"), "site", F.when(F.expr("page_id % 5 = 1"), "/").otherwise(F.col("path")))
-    pages = D.pages(spark, d).withColumn("url", own)
-    return tables.crawl_set(pages, D.resources(spark, d)).select("site", "page_id", "url", "ord")
+    return D.pages(spark, d).withColumn("url", own)
+
+
+@query("crawl_set_src03", CRAWL_SET)
+def _(spark, d):
+    return tables.crawl_set(_with_own_urls(spark, d), D.resources(spark, d)).select("site", "page_id", "url", "ord")
+
+
+@query("archived_crawl_set_src03", CRAWL_SET)
+def _(spark, d):
+    """The crawl set of pages that were written to crawl archives and read back."""
+    folder = written_folder(spark, "archives")
+    pages = _with_own_urls(spark, d)
+    archives.write_archives(
+        pages.select(
+            F.concat(F.lit("<urn:page:"), "page_id", F.lit(">")).alias("record_id"),
+            F.col("url").alias("target_uri"),
+            F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+            F.lit(200).alias("status"),
+            F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("http_headers"),
+            F.encode("html", "UTF-8").alias("body"),
+        ),
+        folder,
+    )
+    back = archives.archived_pages(archives.read_archives(spark, folder))
+    page_id = F.regexp_extract("record_id", r"(\d+)>$", 1).cast("bigint").alias("page_id")
+    site = F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site")
+    return tables.crawl_set(back.select(site, page_id, "url", "html", "fetched_at"), D.resources(spark, d)).select("site", "page_id", "url", "ord")
 
 
 @query(
