@@ -1468,10 +1468,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """The pages file as a stream, run until it is used up: the days the watermark has closed."""
-    raw = (
-        spark.readStream.schema(D.table(spark, d, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    )
-    pages = raw.select(
+    pages = tables.table_stream(spark, d, "pages").select(
         F.expr(D.SITE).alias("site"),
         "page_id",
         F.expr(D.PATH).alias("path"),
@@ -1480,7 +1477,8 @@ def _(spark, d):
     )
     folder = f"{shared_dir(spark)}/crawlgauge/daily-{_run_id()}"
     page_audit.start_daily_audit(pages, f"{folder}/days", f"{folder}/progress", as_of=D.AS_OF).awaitTermination()
-    return spark.read.parquet(f"{folder}/days")
+    # as long as no day is closed there is no file to take the schema from
+    return spark.read.schema(page_audit.daily_page_audit(pages, D.AS_OF).schema).parquet(f"{folder}/days")
 
 
 @query(
@@ -1504,10 +1502,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """The events file as a stream of scores, run until it is used up: the drops."""
-    raw = (
-        spark.readStream.schema(D.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    )
-    runs = raw.select(
+    runs = tables.table_stream(spark, d, "events").select(
         F.expr("concat('site-', CAST(user_id AS STRING))").alias("site"),
         F.expr(D.LAYER).alias("layer"),
         F.col("ts").alias("run_ts"),

@@ -29,6 +29,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table ``name``.parquet of ``folder`` as a stream, whether it is one file or a folder of part files."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory():
+        return reader.parquet(path)
+    # a stream's path must be a folder
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
 def site_of(url: Column) -> Column:
     return F.regexp_extract(url, "^https?://([^/?#]+)", 1)
 

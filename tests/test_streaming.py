@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from crawlgauge.plans import catalog
 from crawlgauge.streaming import alerts, page_audit
 
 SCORES = "site string, layer string, run_ts timestamp, tie long, score double"
@@ -87,6 +89,25 @@ def test_batch_and_stream_agree(spark, tmp_path):
     assert sorted(batch.collect()) == sorted(spark.read.parquet(str(tmp_path / "out")).collect())
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_tables_are_streamed_from_one_file_or_from_part_files(spark, tmp_path, parts):
+    """A table of part files is a folder named like the file."""
+    small = "/root/testdata/sf0.001"
+    for name in ("pages", "events"):
+        if parts:
+            spark.read.parquet(f"{small}/{name}.parquet").repartition(parts).write.parquet(str(tmp_path / f"{name}.parquet"))
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    for name in ("daily_page_audit_st01", "regression_alerts_st02"):
+        got, want = (sorted(map(tuple, catalog.QUERIES[name](spark, d).collect())) for d in (str(tmp_path), small))
+        assert got == want and got
+
+
+def test_no_closed_day_gives_no_rows(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("page_id % 400 = 7").write.parquet(str(tmp_path / "pages.parquet"))
+    assert catalog.QUERIES["daily_page_audit_st01"](spark, str(tmp_path)).count() == 0
+
+
 def folder_of(spark, tmp_path, name, parts, lateness=alerts.LATENESS):
     source, folder = str(tmp_path / name / "in"), str(tmp_path / name / "out")
     for part in parts:
