@@ -53,18 +53,32 @@ def _signals(spark, d) -> DataFrame:
     return signals.page_signals(D.pages(spark, d), D.AS_OF)
 
 
-def _articles(spark, d) -> DataFrame:
-    return K.long_enough(signals.article_fields(D.pages(spark, d)))
+def _articles(spark, d, *columns) -> DataFrame:
+    return K.long_enough(signals.article_fields(D.pages(spark, d)).select(*columns or "*"))
 
 
 def _documents(spark, d) -> DataFrame:
-    return K.long_enough(signals.document_articles(tables.spread(D.table(spark, d, "documents"), "doc_id")))
+    """Of the documents only what the keyword analyses read."""
+    articles = signals.document_articles(tables.spread(D.table(spark, d, "documents"), "doc_id"))
+    return K.long_enough(articles.select("site", "doc", "body_text", "word_count"))
 
 
 def _document_keywords(spark, d) -> DataFrame:
     return K.keywords(_documents(spark, d), boost=False)
 
 
+#: What keywords of pages are computed from.
+PAGE_FIELDS = ["site", "doc", "title", "h1", "h2_list", "meta_description", "article_tags", "body_text", "word_count"]
+
+
+#: What open questions are found in.
+QUESTION_FIELDS = ["site", "doc", "title", "h2_list", "word_count"]
+
+
+def _page_keywords(spark, d) -> DataFrame:
+    return K.keywords(_articles(spark, d, *PAGE_FIELDS))
+
+
 def rounded(*names: str, digits: int = 6):
     return [F.round(n, digits).alias(n) for n in names]
 
@@ -676,7 +690,7 @@ def _(spark, d):
 
 @query("page_keywords_k05_j12", O.sql("SELECT site, doc, rank, term, round(score, 6) AS score, round(idf, 6) AS idf FROM kw", **O.PAGE_KW))
 def _(spark, d):
-    return K.keywords(_articles(spark, d)).withColumns({c: F.round(c, 6) for c in ("score", "idf")})
+    return _page_keywords(spark, d).withColumns({c: F.round(c, 6) for c in ("score", "idf")})
 
 
 @query(
@@ -793,8 +807,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    articles = _articles(spark, d)
-    return K.content_gaps(K.keywords(articles), articles)
+    return K.content_gaps(_page_keywords(spark, d), _articles(spark, d, *QUESTION_FIELDS))
 
 
 # --- answer visibility -----------------------------------------------------------------------------------------

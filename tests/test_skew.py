@@ -188,3 +188,55 @@ def test_trailing_sums_are_a_range_frame(spark, period):
     want = {(k, t, i, v, sum(w for k2, t2, _, w in rows if k2 == k and t - datetime.timedelta(days=30) <= t2 <= t)) for k, t, i, v in rows}
     assert {tuple(r) for r in got.select("k", "t", "tie", "v", "sum_v").collect()} == want and got.count() == len(rows)
     assert skew.trailing_sums(df.limit(0), ["k"], "t", ["v"], "30 DAYS", period).count() == 0
+
+
+TEXTS = [("s", 1, "alpha beta alpha beta gamma the 42 alpha"), ("s", 2, "alpha beta delta " * 40), ("t", 3, "ab of"), ("t", 4, "gamma"), (None, 5, "alpha beta"), ("t", 6, None)]
+
+
+def grams_of(text):
+    words = [w for w in (text or "").split() if w not in ("the", "of", "42", "ab")]
+    return [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+
+def term_articles(spark):
+    schema = "site string, doc long, body_text string, word_count long"
+    return spark.createDataFrame([(site, doc, text, len((text or "").split())) for site, doc, text in TEXTS], schema).repartition(3)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_terms_are_counted_inside_their_article(spark):
+    """Nothing is shuffled beyond the input's own repartition."""
+    articles = term_articles(spark)
+    for least in (1, 2):
+        got = K.article_terms(articles, min_tf=least)
+        assert exchanges(got) == exchanges(articles)
+        want = {(doc, t): (grams.count(t), grams.index(t)) for _, doc, text in TEXTS for grams in [grams_of(text)] for t in grams if grams.count(t) >= least}
+        assert {(r.doc, r.term): (r.tf, r.first_pos) for r in got.collect()} == want
+
+
+def test_documents_of_terms_are_counted_where_they_arrive(spark):
+    """One shuffle, in rows of many terms; of the asked terms only, if there are any."""
+    articles = term_articles(spark)
+    got = K.document_frequency(articles)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(got) == exchanges(articles) + 1 and "Sort " not in plan
+    found = [(site, t) for site, _, text in TEXTS for t in set(grams_of(text))]
+    assert {(r.site, r.term): r.df for r in got.collect()} == {k: found.count(k) for k in found}
+    asked = spark.createDataFrame([("s", "alpha"), ("s", "alpha beta delta"), ("t", "nowhere"), ("t", "gamma")], "site string, term string")
+    assert {(r.site, r.term): r.df for r in K.document_frequency(articles, asked=asked).collect()} == {("s", "alpha"): 2, ("s", "alpha beta delta"): 1, ("t", "gamma"): 1}
+
+
+def test_only_repeated_terms_are_written_for_keywords(spark, monkeypatch):
+    written = {}
+    real = K.written_table
+
+    def write(df, name):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(K, "written_table", write)
+    assert K.keywords(term_articles(spark), boost=False).count() > 0
+    assert written["terms"].count() > 0 and written["terms"].where("tf < 2").count() == 0
