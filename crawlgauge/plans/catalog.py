@@ -244,11 +244,11 @@ def _(spark, d):
     """Stored page-speed documents, one file each, read from their folder."""
     path = _folder(spark, "psi")
     bodies = D.psi_responses(spark, d)
-    named = bodies.select(F.concat_ws("~", F.regexp_extract("url", "#([0-9]+)$", 1), "strategy").alias("name"), F.col("body").alias("value"))
-    named.write.partitionBy("name").text(path)
-    read = tables.read_psi_folder(spark, path).withColumn("name", F.regexp_extract("source", "name=([^/]*)/", 1))
-    asked = bodies.select(F.concat_ws("~", F.regexp_extract("url", "#([0-9]+)$", 1), "strategy").alias("name"), "url", "strategy")
-    return read.join(asked, "name").select("url", "strategy", F.get_json_object("body", "$.lighthouseResult.categories.performance.score").alias("score"))
+    name = F.concat_ws("~", F.regexp_extract("url", "#([0-9]+)$", 1), "strategy").alias("name")
+    sinks.write_documents(bodies.select(name, "body"), path)
+    score = F.get_json_object("body", "$.lighthouseResult.categories.performance.score").alias("score")
+    read = tables.read_psi_folder(spark, path).select(F.regexp_extract("source", "([^/]*)$", 1).alias("name"), score)
+    return read.join(bodies.select(name, "url", "strategy"), "name").select("url", "strategy", "score")
 
 
 @query("first_stylesheets_src07", O.sql("SELECT site, path FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY path) AS rn FROM css) WHERE rn <= 5", sites=O.SITES, css=O.CSS))

@@ -197,10 +197,13 @@ def read_history(spark: SparkSession, path: str, site: str | None = None) -> Dat
 
 
 def read_psi_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored page-speed responses, one JSON document per file: (source, body)."""
-    return spark.read.text(folder, wholetext=True).select(
-        F.input_file_name().alias("source"), F.col("value").alias("body")
-    )
+    """Stored page-speed responses, one JSON document per file in the folder or below it: (source, body).
+
+    A task reads many of the small files, so their number does not become a number of tasks.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
+    read = files.select(F.input_file_name().alias("source"), F.col("value").alias("body"))
+    return read.coalesce(16 * spark.sparkContext.defaultParallelism)
 
 
 def read_probe_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

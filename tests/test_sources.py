@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from crawlgauge.sources import sinks, tables
@@ -143,3 +144,20 @@ def test_remote_references_stay_spread(spark):
     got = tables.with_asset_bytes(refs, assets)
     assert got.count() == 2001 and got.where("bytes = 7").count() == 1
     assert got.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_documents_are_files_of_their_own_in_few_folders(spark, tmp_path):
+    rows = [(f"{i}~mobile", f'{{"n":\n"ż{i}"}}') for i in range(700)] + [("empty", "")]
+    sinks.write_documents(spark.createDataFrame(rows, "name string, body string").repartition(5), str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert sorted((p.name, p.read_text(encoding="utf-8")) for p in files) == sorted(rows)
+    assert len({p.parent for p in files}) <= sinks.DOCUMENT_FOLDERS
+    back = tables.read_psi_folder(spark, str(tmp_path / "out"))
+    # however many files there are, the number of tasks has a bound
+    assert back.rdd.getNumPartitions() <= 16 * spark.sparkContext.defaultParallelism
+    assert sorted((r.source.rsplit("/", 1)[1], r.body) for r in back.collect()) == sorted(rows[:-1])  # an empty file has no document
+
+
+def test_documents_need_file_names(spark, tmp_path):
+    with pytest.raises(Exception, match="not a file name"):
+        sinks.write_documents(spark.createDataFrame([("a/b", "{}")], "name string, body string"), str(tmp_path / "out"))
