@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from crawlgauge.llm.common import prepared, table
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their tokens by a task; beyond it the memory of words starts anew, longer words are never kept.
+#: Words met since the memory last aged; beyond it those not met since the time before are forgotten. Longer words are never kept.
 REMEMBERED_WORDS = 400_000
 REMEMBERED_LENGTH = 64
 #: Symbols by which the longest token that can end at a place is looked up.
@@ -60,6 +60,7 @@ class Automaton:
         self.state, self.number = state, number
         #: by state: where its intervals of refused numbers begin in ``refused``, as alternating starts and ends
         self.row, self.refused = row, refused
+        self.remembered: WordTokens | None = None
         # inside a word and at its end: token by its symbols, and the most symbols of a token that ends in these
         inside = {a: t for a, t in arcs.items() if not end or not a.endswith(end)}
         final = {a[: len(a) - len(end)]: t for a, t in arcs.items() if a.endswith(end)}
@@ -179,6 +180,12 @@ class Automaton:
             n = start[n]
         return out[::-1]
 
+    def words(self) -> WordTokens:
+        """The memory of words; it stays with the automaton, so all tasks of a worker process share one."""
+        if self.remembered is None:
+            self.remembered = WordTokens(self)
+        return self.remembered
+
     def decode(self, tokens: list[int]) -> str:
         """Labels of the tokens' arcs, with a space between them."""
         return " ".join([self.labels[t] for t in tokens])
@@ -200,20 +207,30 @@ class Unassigned(dict):
 
 
 class WordTokens(dict):
-    """word -> (its ids, their decoding), both as texts; encoded by the automaton when first met."""
+    """word -> (its ids, their decoding), both as texts; encoded by the automaton when first met.
+
+    Holds the words met since it last aged, and beside them those from the time before, of which every one that is met
+    again is taken over.
+    """
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton, self.symbols = automaton, byte_symbols()
+        self.before: dict[str, tuple[str, str]] = {}
 
     def ids(self, word: str) -> list[int]:
+        if word.isascii() and word.isprintable() and " " not in word:
+            return self.automaton.encode(word)  # such bytes are their own symbols
         return self.automaton.encode("".join([self.symbols[b] for b in word.encode("utf-8")]))
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        ids = self.ids(word)
-        found = " ".join(map(str, ids)), self.automaton.decode(ids)
+        found = self.before.get(word)
+        if found is None:
+            ids = self.ids(word)
+            found = " ".join(map(str, ids)), self.automaton.decode(ids)
         if len(word) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -292,7 +309,7 @@ def encoded(documents: DataFrame, keep_ids: bool = False, tokenizer_dir: str | N
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32()), pa.string()] * keep_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, splitter = WordTokens(shipped.value), Splitter(path, added)
+        words, splitter = shipped.value.words(), Splitter(path, added)
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

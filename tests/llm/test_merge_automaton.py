@@ -116,6 +116,20 @@ def test_words_are_forgotten_beyond_the_bound(monkeypatch):
     assert words["y" * 65] and "y" * 65 not in words
 
 
+def test_words_met_again_stay_known(monkeypatch):
+    """Only words not met since the time before are encoded anew; tasks of one process share the memory."""
+    monkeypatch.setattr(merge_automaton, "REMEMBERED_WORDS", 5)
+    automaton, _ = merge_automaton.compiled(merge_automaton.vocabulary_file())
+    words, encoded = automaton.words(), []
+    real = automaton.encode
+    monkeypatch.setattr(automaton, "encode", lambda symbols: encoded.append(symbols) or real(symbols))
+    for k in range(40):
+        assert words["often"] and words[f"word{k}"]
+    assert encoded.count("often") == 1 and len(encoded) == 41
+    assert automaton.words() is words
+    assert [words.ids(w) for w in ("a\x7fb", "ż")] == [real("".join(words.symbols[b] for b in w.encode())) for w in ("a\x7fb", "ż")]
+
+
 def test_op13(spark, library):
     from crawlgauge.llm import catalog
 
